@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .common import scratch_path, table
 
 
@@ -21,5 +22,13 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_token_orc(spark, path))
 
 
-QUERIES = {"op2_token_orc": op2_token_orc}
-ORACLE_SQL: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op2_token_orc": op2_token_orc, "op7_warc": op7_warc}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql()}

@@ -30,5 +30,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_token_orc": op2_token_orc, "op7_warc": op7_warc}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc}
 ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import embeddings, warc
 from .common import scratch_path, table
 
 
@@ -36,5 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc}
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql()}
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE}

@@ -14,6 +14,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_orc import ids_crc32, read_token_orc, write_token_orc
 
@@ -42,5 +48,5 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings}
 ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE}

@@ -70,3 +70,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out_fold(doc_id="doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; null ids count as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def sample_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hash of ``key``: the same ones on every run."""
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
+def labelled_ids(labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of at most ``most`` labelled rows of the training folds; of ids labelled twice, the larger label."""
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out_fold(id_col))
+    return sample_by_hash(rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y")), "id", most)

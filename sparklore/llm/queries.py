@@ -54,5 +54,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece}
 ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE}

@@ -160,11 +160,11 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> D
 
     spread_out = stored(classes.select("fingerprint").mapInArrow(spread, "anchor long, print long"), "simhash_anchors")
     counts = spread_out.groupBy("anchor").count()
-    many = stored(counts.where(F.col("count") > 1).select("anchor", F.ceil(F.col("count") / tile).alias("tiles")), "simhash_counts")
+    hot = stored(counts.where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).alias("tiles")), "simhash_hot")
     # Both sides are read from storage, so that a hot anchor's exchange can be split.
-    held = spread_out.join(many, "anchor")
-    mine = F.pmod(F.xxhash64("print"), F.col("tiles"))
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    held = spread_out.join(hot, "anchor", "left")
+    mine = F.coalesce(F.pmod(F.xxhash64("print"), F.col("tiles")), F.lit(0))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tiles") - 1, F.lit(0))))
     dealt = held.withColumn("mine", mine).withColumn("other", other).select("anchor", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "print")
 
     def compare(batches):

@@ -54,6 +54,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -66,5 +72,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece}
 ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE}

@@ -8,8 +8,11 @@ reader skip stripes and strides, and Spark reads stripes in parallel.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,58 +20,80 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Text chunks a worker remembers; at the bound it starts anew.
-CACHED_CHUNKS = 400_000
+#: Text chunks and lower-case words that a worker remembers; at either bound it forgets those.
+CACHED_CHUNKS, CACHED_WORDS = 300_000, 600_000
 SENTINEL = "\x01"
+#: Precomposed Latin letters, each one letter in lower case too, then full stops and commas.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]*)").fullmatch
 _state: dict = {}
 
 
 class ChunkEncoder:
     """Encodes texts by their distinct space-separated chunks.
 
-    The tokenizer splits at white space, so a text's ids are its chunks' ids one after the other. New
-    chunks go to the library many at a time, parted by a control character that is one token.
+    The tokenizer splits at white space, so a text's ids are its chunks' ids one after the other. A chunk
+    of letters and trailing full stops or commas is the ids of its lower-case letters and of its stops.
+    New letters go to the library many at a time, parted again where a token ends a word; other new
+    chunks are parted by a control character that is one token.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
         (self.mark,) = self._ids([SENTINEL])[0]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks) -> None:
-        import numpy as np
+    def _cut(self, names: list[str], sep: str, ends, past: int, into: dict[str, bytes]) -> None:
+        """Encode ``names`` joined by ``sep``; ``ends(ids)`` has where each one's ids stop."""
+        groups = [names[i : i + 512] for i in range(0, len(names), 512)]
+        for group, ids in zip(groups, self._ids([sep.join(g) for g in groups])):
+            flat = np.array(ids, dtype="<u4")
+            stops, data, at = ends(flat), flat.tobytes(), 0
+            for name, stop in zip(group, stops, strict=True):
+                into[name] = data[4 * at : 4 * stop]
+                at = stop + past
 
-        plain = [c for c in chunks if SENTINEL not in c]
+    def learn(self, chunks) -> None:
+        plain, odd, new = [], [], set()
         for c in chunks:
-            if SENTINEL in c:
+            if m := PLAIN(c):
+                word, stops = m.groups()
+                word = word.lower()
+                plain.append((c, word, stops))
+                if word not in self.letters:
+                    new.add(word)
+                if stops not in self.known:
+                    odd.append(stops)
+            elif SENTINEL in c:
                 self.known[c] = np.array(self._ids([c])[0], dtype="<u4").tobytes()
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        sep = f" {SENTINEL} "
-        for group, ids in zip(groups, self._ids([sep.join(g) for g in groups])):
-            flat = np.array(ids, dtype="<u4")
-            cuts = np.flatnonzero(flat == self.mark).tolist()
-            data = flat.tobytes()
-            starts, ends = [0, *(c + 1 for c in cuts)], [*cuts, len(flat)]
-            for chunk, a, b in zip(group, starts, ends, strict=True):
-                self.known[chunk] = data[4 * a : 4 * b]
+            else:
+                odd.append(c)
+        self._cut(sorted(new), " ", lambda ids: (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0, self.letters)
+        self._cut(list(dict.fromkeys(odd)), f" {SENTINEL} ", lambda ids: [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1, self.known)
+        for c, word, stops in plain:
+            self.known[c] = self.letters[word] + self.known[stops] if stops else self.letters[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHED_CHUNKS:
             self.known = {"": b""}
-        known, out = self.known, []
-        for text in texts:
-            chunks = text.split(" ")
-            if new := set(chunks).difference(known):
-                self.learn(new)
-            out.append(b"".join([known[c] for c in chunks]))
-        return out
+        if len(self.letters) > CACHED_WORDS:
+            self.letters.clear()
+        known, new = self.known, set()
+        cut = [text.split(" ") for text in texts]
+        for chunks in cut:
+            new.update(chunks)
+        self.learn(new.difference(known))
+        return [b"".join([known[c] for c in chunks]) for chunks in cut]
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -81,8 +106,6 @@ def encode_column(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     """Rows of (id_col, ids, n_tokens, part, local_start) in the order they have within each partition."""
 
     def run(batches):
-        import numpy as np
-
         encoder, start, part = _encoder(tokenizer_path), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -153,8 +176,6 @@ def ids_crc32(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32): counts and checksums of the ids as read."""
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
             ids = batch.column(2)
             offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py() if len(ids) else np.zeros(1, int)

@@ -1,0 +1,96 @@
+"""Commands: ``python -m sparklore.cli --kb-path PATH COMMAND``."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import SparkSession
+
+from .config import Config, DedupePolicy
+from .kb import KnowledgeBase, TopicError
+from .operators import matching
+from .sources import PROVIDERS
+from .streaming import runner
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="sparklore")
+    p.add_argument("--kb-path")
+    p.add_argument("--config")
+    sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("topics")
+    for name in ("read", "delete", "search"):
+        sub.add_parser(name).add_argument("words", nargs="+")
+    add = sub.add_parser("add")
+    add.add_argument("title")
+    add.add_argument("--slug")
+    add.add_argument("--tags", nargs="*", default=[])
+    add.add_argument("--aliases", nargs="*", default=[])
+    sub.add_parser("update").add_argument("words", nargs="+")
+    loop = sub.add_parser("loop").add_subparsers(dest="action", required=True)
+    for name in ("run", "start"):
+        one = loop.add_parser(name)
+        one.add_argument("--root", nargs="+", required=True, help="log folder, or database files")
+        one.add_argument("--responses", required=True, help="Parquet table (context_id, response) of the model's answers")
+        one.add_argument("--regime")
+        one.add_argument("--dry-run", action="store_true")
+        one.add_argument("--interval", type=int)
+    loop.add_parser("status")
+    return p
+
+
+def source(config: Config, roots: list[str]):
+    reader = PROVIDERS[config.source]
+    return reader(tuple(roots)) if config.source in ("crush", "opencode") else reader(roots[0])
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = parser().parse_args(argv)
+    config = Config.load(args.config, kb_path=args.kb_path)
+    spark = spark or SparkSession.builder.appName("sparklore").getOrCreate()
+    kb = KnowledgeBase(spark, config.kb_path)
+    try:
+        if args.command == "topics":
+            kb.list().show(10_000, False)
+        elif args.command == "search":
+            kb.search(" ".join(args.words)).show(10_000, False)
+        elif args.command == "read":
+            print(kb.get(" ".join(args.words)).first()["body"])
+        elif args.command == "delete":
+            kb.delete(" ".join(args.words))
+        elif args.command == "add":
+            print(kb.add(args.title, sys.stdin.read(), args.slug, args.tags, args.aliases))
+        elif args.command == "update":
+            kb.update(" ".join(args.words), sys.stdin.read())
+        elif args.action == "status":
+            print(kb.status())
+        else:
+            return _loop(spark, kb, config, args)
+    except TopicError as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
+def _loop(spark: SparkSession, kb: KnowledgeBase, config: Config, args) -> int:
+    from dataclasses import replace
+
+    if args.regime:
+        config = replace(config, dedupe=DedupePolicy.preset(args.regime))
+    logs, model = source(config, args.root), runner.answers(spark.read.parquet(args.responses))
+
+    def once():
+        rows = runner.run_once(spark, logs, kb.store, config, model, dry_run=args.dry_run)
+        matching.outcome_text(rows).select("summary_line").show(10_000, False)
+        return rows
+
+    if args.action == "run":
+        once()
+        return 0
+    runner.start(spark, once, f"{config.kb_path}/stream", args.interval or config.loop.poll_interval_secs).awaitTermination()
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

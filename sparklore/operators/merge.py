@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,12 @@ def add_insight(body: Column, section: Column) -> Column:
     return F.when(at > 0, F.concat(ended(head), F.lit("\n"), section, tail)).otherwise(F.concat(ended(body), F.lit(f"\n{SECTION}\n\n"), section))
 
 
-def merged_topics(topics: DataFrame, rows: DataFrame, context: Column, at: Column) -> DataFrame:
+def merged_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column], Column], at: Column) -> DataFrame:
     """``topics`` after outcome ``rows`` (pos, ..., existing_slug, outcome): appends folded in order, creates coalesced.
 
     All appends of a topic are kept, one after the other. A created topic whose slug exists by now (as two
-    sessions may both create it) replaces nothing: it is appended like any other insight.
+    sessions may both create it) replaces nothing: it is appended like any other insight. ``context`` gives
+    the session's id from a row's ``pos``; the last insight's is the topic's.
     """
     keep = [f.name for f in topics.schema.fields]
     made = coalesce_creates(rows.where(F.col("outcome") == CREATE))
@@ -75,7 +78,7 @@ def merged_topics(topics: DataFrame, rows: DataFrame, context: Column, at: Colum
     fresh = made.join(topics.select("slug"), "slug", "left_anti")
     columns = ["pos", "existing_slug", "title", "summary", "evidence", "tags", "project_path"]
     appends = rows.where(F.col("outcome") == APPEND).select(*columns).unionByName(clash.select(*columns))
-    part = F.struct("pos", insight(F.col("title"), F.col("summary"), F.col("evidence"), context, at).alias("section"), "tags", "project_path")
+    part = F.struct("pos", insight(F.col("title"), F.col("summary"), F.col("evidence"), context(F.col("pos")), at).alias("section"), "tags", "project_path")
     folded = appends.groupBy(F.col("existing_slug").alias("slug")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     old = topics.join(folded, "slug", "left")
     parts = F.coalesce("parts", F.array().cast(folded.schema["parts"].dataType))
@@ -83,11 +86,11 @@ def merged_topics(topics: DataFrame, rows: DataFrame, context: Column, at: Colum
     tags = union_caseless(F.col("tags"), F.flatten(F.transform(parts, lambda p: p["tags"])))
     projects = union_exact(F.col("projects"), F.filter(F.transform(parts, lambda p: p["project_path"]), lambda p: p.isNotNull()))
     touched = F.size(parts) > 0
-    old = old.withColumns({"body": body, "tags": tags, "projects": projects, "updated": F.when(touched, at).otherwise(F.col("updated")), "extracted_at": F.when(touched, at).otherwise(F.col("extracted_at")), "source_context_id": F.when(touched, context.cast("decimal(20,0)")).otherwise(F.col("source_context_id"))})
+    old = old.withColumns({"body": body, "tags": tags, "projects": projects, "updated": F.when(touched, at).otherwise(F.col("updated")), "extracted_at": F.when(touched, at).otherwise(F.col("extracted_at")), "source_context_id": F.when(touched, context(F.try_element_at(parts, F.lit(-1))["pos"]).cast("decimal(20,0)")).otherwise(F.col("source_context_id"))})
     none = F.array().cast("array<string>")
     new = fresh.select(
         "slug", "title", none.alias("aliases"), "tags", F.when(F.col("project_path").isNull(), none).otherwise(F.array("project_path")).alias("projects"), at.alias("created"), at.alias("updated"), at.alias("extracted_at"),
-        F.lit("healing-loop").alias("source"), F.format_string("%.2f", "confidence").alias("confidence"), context.cast("decimal(20,0)").alias("source_context_id"), new_body(F.col("title"), F.col("summary"), F.col("evidence")).alias("body"),
+        F.lit("healing-loop").alias("source"), F.format_string("%.2f", "confidence").alias("confidence"), context(F.col("pos")).cast("decimal(20,0)").alias("source_context_id"), new_body(F.col("title"), F.col("summary"), F.col("evidence")).alias("body"),
     )
     return old.select(*keep).unionByName(new.select(*keep))
 

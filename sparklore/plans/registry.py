@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupePolicy, Regime, TitleMode
+from ..functions import blocks as B
 from ..functions import responses as R
 from ..functions import text as X
 from ..operators import discovery, matching, merge, patterns, search, topics, transcript
@@ -455,3 +456,23 @@ def parsed_extractions(spark, sf_dir):
 def parsed_directives(spark, sf_dir):
     found, _ = R.parse_directives(V.view(spark, sf_dir, V.DIRECTIVES))
     return found.select("context_id", "topic_hint", "title", "summary", "project_path")
+
+
+# --- managed blocks ------------------------------------------------------------------------------
+
+FILES = "select doc_id, case doc_id % 5 when 0 then text when 1 then concat(text, chr(10), chr(10), '{b}old{e}', chr(10), chr(10), text) when 2 then concat('{b}', text) when 3 then concat('{b}{e}', text, '{b}{e}') else '' end as content from documents"
+_B, _E = B.begin("agent") + "\n", "\n" + B.END + "\n"
+FILES = FILES.format(b=_B, e=_E)
+BLOCK = B.wrap("agent", "New $1 text.")
+PARTS = f"strpos(content, '{B.begin('agent')}') as head, strpos(content, '{B.END}') as tail, (len(string_split(content, '{B.begin('agent')}')) - 1) as n"
+AFTER = f"substr(content, tail + {len(B.END)} + case when substr(content, tail + {len(B.END)}, 1) = chr(10) then 1 else 0 end)"
+
+
+@query(f"""with f as (select *, {PARTS} from ({FILES}) x)
+select doc_id, case when content = '' then '{BLOCK}' when n = 0 then content || case when ends_with(content, chr(10)) then '' else chr(10) end || chr(10) || '{BLOCK}'
+  when n = 1 and tail > 0 then substr(content, 1, head - 1) || '{BLOCK}' || {AFTER} else content end as installed,
+  case when n = 1 and tail > 0 then rtrim(regexp_replace(substr(content, 1, head - 1) || {AFTER}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' ') else content end as removed from f""")
+def managed_blocks(spark, sf_dir):
+    V.tables(spark, sf_dir, "documents")
+    rows = spark.sql(FILES.replace("\n", "\\n"))
+    return rows.select("doc_id", B.install(F.col("content"), "agent", BLOCK).alias("installed"), B.remove(F.col("content"), "agent").alias("removed"))

@@ -28,9 +28,9 @@ def _sessions(rows: DataFrame, project: Column) -> DataFrame:
     return rows.select("context_id", "session_id", project.alias("project"), "head_turn_id", "modified", "path")
 
 
-def turn(kind: str, **values: Column) -> Column:
+def turn(item: str, /, **values: Column) -> Column:
     """A turn's ``data``: its type, and an object named like it that holds ``values``."""
-    return F.parse_json(F.to_json(F.struct(F.lit(kind).alias("item_type"), F.struct(*[v.alias(k) for k, v in values.items()]).alias(kind))))
+    return F.parse_json(F.to_json(F.struct(F.lit(item).alias("item_type"), F.struct(*[v.alias(k) for k, v in values.items()]).alias(item))))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

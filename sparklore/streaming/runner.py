@@ -94,7 +94,7 @@ def run_once(spark: SparkSession, source, store: Store, config: Config, model: M
     rows = rows.withColumn("learning_id", F.concat_ws("-", F.col("pos.context_id").cast("string"), F.col("pos.n").cast("string")))
     result = checkpointed(matching.outcomes(rows, topics, config.dedupe))
     if not dry_run:
-        store.topics.replace(merge.merged_topics(topics, result, F.col("pos.context_id"), at))
+        store.topics.replace(merge.merged_topics(topics, result, lambda pos: pos["context_id"], at))
         store.extracted.replace(store.extracted.read().union(result.where(F.col("context_id") != 0).select("hash")).distinct())
         done = chosen.select("context_id", "head_turn_id").join(errors.select("context_id"), "context_id", "left_anti")
         old = state.join(done.select("context_id"), "context_id", "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import PatternConfig
 from ..functions import text as X
 from ..shared import checkpointed
+from .ordered import last_before
 
 #: Phrases that mark a correction.
 CORRECTIONS = ("no,", "no.", "not that", "i said", "i told you", "i meant", "wrong", "that's not", "don't do that", "stop", "undo", "actually,", "instead,", "please don't", "i already said", "as i mentioned", "like i said", "again,", "remember to", "always ", "never ", "you forgot", "you missed", "you need to")
@@ -36,9 +37,7 @@ def is_correction(text: Column) -> Column:
 def preceding_action(turns: DataFrame) -> DataFrame:
     """``turns`` with ``agent_action``: the last agent turn before that is not blank, cut to 200 bytes, scrubbed."""
     agent = F.col("kind").isin("assistant", "assistant_turn", "tool_call") & (X.trim_space(F.col("text")) != "")
-    before = Window.partitionBy("context_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(agent, F.col("text")), ignorenulls=True).over(before)
-    rows = turns.withColumn("__last", last)
+    rows = last_before(turns, "context_id", "turn_id", F.when(agent, F.col("text")), "__last")
     cut = F.when(F.octet_length("__last") > 200, F.concat(X.truncate_bytes(F.col("__last"), 200), F.lit("..."))).otherwise(F.col("__last"))
     return rows.withColumn("agent_action", F.coalesce(X.scrub(cut), F.lit(""))).drop("__last")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ordered import running_sum
 
 AGENT_WORDS = ("error", "failed", "fix", "workaround", "instead", "solution")
 USER_WORDS = ("error", "failed", "fix", "not working")
@@ -37,18 +38,22 @@ def entry(kind: Column, text: Column, tool: Column) -> Column:
 
 
 def within_budget(entries: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    """(key, transcript, truncated): ``entry`` texts in ``order``, line by line, up to the first that breaks the budget.
+    """(key, transcript, truncated): ``entry`` texts in ``order`` (a number), line by line, up to the first that breaks the budget.
 
-    An entry breaks it if the bytes so far, its own and 2 exceed ``most``; later ones do not resume.
+    An entry breaks it if the bytes so far, its own and 2 exceed ``most``; later ones do not resume. Only
+    entries within the budget are put together, so a transcript's task never holds more than ``most`` bytes of it.
     """
-    so_far = Window.partitionBy(key).orderBy(order)
     size = F.octet_length("entry")
-    before = F.coalesce(F.sum(size + 1).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    broken = F.max((before + size + 2 > most).cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
-    kept = entries.where("entry is not null").withColumn("broken", broken)
-    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("broken") == 0, F.struct(order, "entry")))), lambda x: F.concat(x["entry"], F.lit("\n")))
-    out = kept.groupBy(key).agg(F.array_join(lines, "").alias("body"), F.max("broken").alias("broken"))
-    return out.select(key, F.concat("body", F.when(F.col("broken") == 1, TRUNCATED).otherwise("")).alias("transcript"), (F.col("broken") == 1).alias("truncated"))
+    rows = entries.where("entry is not null").select(key, order, "entry")
+    rows = running_sum(rows, key, F.col(order), [order], (size + 1).cast("long"), "__before")
+    rows = rows.withColumn("__fits", F.col("__before") + size + 2 <= most)
+    breaks = rows.groupBy(key).agg(F.min(F.when(~F.col("__fits"), F.col(order))).alias("__first"))
+    kept = rows.where("__fits").join(breaks, key).where(F.col("__first").isNull() | (F.col(order) < F.col("__first")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, "entry"))), lambda x: F.concat(x["entry"], F.lit("\n")))
+    bodies = kept.groupBy(key).agg(F.array_join(lines, "").alias("__body"))
+    cut = F.col("__first").isNotNull()
+    out = breaks.join(bodies, key, "left")
+    return out.select(key, F.concat(F.coalesce("__body", F.lit("")), F.when(cut, TRUNCATED).otherwise("")).alias("transcript"), cut.alias("truncated"))
 
 
 def transcripts(turns: DataFrame, most: int = 30_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DedupePolicy, Regime, TitleMode
@@ -10,6 +10,7 @@ from ..functions import blocks as B
 from ..functions import responses as R
 from ..functions import text as X
 from ..operators import discovery, matching, merge, patterns, search, topics, transcript
+from ..operators.ordered import running_sum
 from ..shared import checkpointed
 from . import views as V
 
@@ -41,8 +42,8 @@ EVENT_TEXT = "case event_type when 'view' then concat('view: ', props) when 'err
 @query(f"select user_id as context_id, row_number() over (partition by user_id order by ts, event_id) as turn_id, {EVENT_KIND} as kind from events")
 def turns_normalized(spark, sf_dir):
     rows = V.typed_events(spark, sf_dir)
-    place = Window.partitionBy("context_id").orderBy("ts", "event_id")
-    return rows.select("context_id", F.row_number().over(place).cast("long").alias("turn_id"), "kind")
+    placed = running_sum(rows, "context_id", F.unix_seconds(F.col("ts").cast("timestamp")), ["ts", "event_id"], F.lit(1), "before", span=3600)
+    return placed.select("context_id", (F.col("before") + 1).cast("long").alias("turn_id"), "kind")
 
 
 @query(f"select event_id, {EVENT_TEXT} as text, case when event_type = 'view' then 'view' end as tool from events")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.turns import get_array, get_string, get_true, has
+from ..operators.ordered import running_sum
 
 V = "variant"
 
@@ -35,8 +36,9 @@ def turn(item: str, /, **values: Column) -> Column:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """(context_id, turn_id, data) of ``rows`` (context_id, place, data), numbered from 1 in the order of ``place``."""
-    place = Window.partitionBy("context_id").orderBy("place")
-    return rows.where("data is not null").select("context_id", F.row_number().over(place).cast("long").alias("turn_id"), "data")
+    kept = rows.where("data is not null").withColumn("__at", F.col("place")[rows.schema["place"].dataType.names[0]])
+    kept = running_sum(kept, "context_id", F.col("__at"), ["place"], F.lit(1), "__before")
+    return kept.select("context_id", (F.col("__before") + 1).cast("long").alias("turn_id"), "data")
 
 
 def _texts(spark: SparkSession, sessions: DataFrame, pattern: str) -> DataFrame:

@@ -57,6 +57,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def worker_state(key, make):
+    """What ``make()`` built for ``key`` in this worker, which holds one such thing: another key's is let go first.
+
+    Workers outlive tasks and serve several operators; their vocabularies and caches must not add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

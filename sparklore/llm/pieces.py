@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, worker_state
 
 MARK = "▁"
-#: Words and pairs of pieces that a worker remembers; at the bound it starts anew.
-REMEMBERED = 300_000
+#: Key of a vocabulary node's own piece; no character.
+PIECE = ""
+#: Words, and pairs of pieces, that a worker remembers; at its bound it forgets all of a kind.
+REMEMBERED, PAIRS = 300_000, 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
@@ -33,30 +35,21 @@ class Pieces:
 
     def __init__(self, texts: dict[str, tuple[int, float]], bytes_: list[int], unknown: int, bpe: bool, names: list[bytes]):
         self.texts, self.bytes, self.unknown, self.bpe, self.names = texts, bytes_, unknown, bpe, names
-        self.longest = max(map(len, texts), default=1)
+        self.trie: dict = {}
+        for text, (_, score) in texts.items():
+            node = self.trie
+            for c in text:
+                node = node.setdefault(c, {})
+            node[PIECE] = text, score
         self.least = min((s for _, s in texts.values()), default=0.0) - 10.0
+        self.blobs = {t: i.to_bytes(4, "little") for t, (i, _) in texts.items()}
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
     def load(cls, path: str, bpe: bool = True) -> Pieces:
-        import sentencepiece
-
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        texts, names, bytes_ = {}, [], [0] * 256
-        for i in range(m.get_piece_size()):
-            piece = m.id_to_piece(i)
-            if m.is_byte(i):
-                bytes_[int(piece[3:5], 16)] = i
-                names.append(bytes([int(piece[3:5], 16)]))
-            elif m.is_control(i):
-                names.append(b"")
-            elif m.is_unknown(i):
-                names.append(" ⁇ ".encode())
-            else:
-                texts[piece] = i, m.get_score(i)
-                names.append(piece.replace(MARK, " ").encode())
-        return cls(texts, bytes_, m.unk_id(), bpe, names)
+        texts, names, bytes_, unknown = _vocabulary(path)
+        return cls(texts, bytes_, unknown, bpe, names)
 
     def merged(self, text: str) -> list[str]:
         """``text`` by merging, best score first and leftmost among equals."""
@@ -73,72 +66,105 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _stays(self, left: str, piece: str) -> bool:
-        key = (left, piece)
-        if (known := self.pairs.get(key)) is None:
-            known = self.pairs[key] = self.merged(left + piece) == ([left, piece] if left else [piece])
-        return known
+        """Whether ``piece`` is left as it is beside ``left`` (no piece, where none precedes or it is unknown)."""
+        known = left if left in self.texts else ""
+        out = self.pairs[left, piece] = self.merged(known + piece) == ([known, piece] if known else [piece])
+        return out
 
     def _forward(self, words: list[str]):
-        """(word, its pieces) for sorted ``words``; lists hold one state a prefix of the current path."""
-        last, scores, path = [""], [0.0], ""
+        """(word, its pieces) for sorted ``words``; lists hold one state a prefix of the current path.
+
+        ``open_`` has, for a prefix, where a piece may have begun and the vocabulary node reached since,
+        the longest first.
+        """
+        last, scores, open_, path, root, stays = [""], [0.0], [[]], "", self.trie, self.pairs
         for word in words:
             keep, most = 0, min(len(path), len(word))
             while keep < most and path[keep] == word[keep]:
                 keep += 1
-            del last[keep + 1 :], scores[keep + 1 :]
+            del last[keep + 1 :], scores[keep + 1 :], open_[keep + 1 :]
             for end in range(keep + 1, len(word) + 1):
-                piece, score = word[end - 1], None
-                for start in range(max(0, end - self.longest), end):
-                    known = self.texts.get(word[start:end])
+                c = word[end - 1]
+                begun = [(start, after) for start, node in open_[-1] if (after := node.get(c)) is not None]
+                if (after := root.get(c)) is not None:
+                    begun.append((end - 1, after))
+                open_.append(begun)
+                piece, score = c, None
+                for start, node in begun:
+                    known = node.get(PIECE)
                     if known is None:
                         continue
                     if not self.bpe:
                         if score is None or scores[start] + known[1] > score:
-                            piece, score = word[start:end], scores[start] + known[1]
-                    elif self._stays(last[start] if last[start] in self.texts else "", word[start:end]):
-                        piece = word[start:end]
+                            piece, score = known[0], scores[start] + known[1]
+                        continue
+                    key = last[start], known[0]
+                    fits = stays.get(key)
+                    if self._stays(*key) if fits is None else fits:
+                        piece = known[0]
                         break
                 last.append(piece)
-                scores.append(score if score is not None else scores[end - 1] + self.least)
+                if not self.bpe:
+                    scores.append(score if score is not None else scores[end - 1] + self.least)
             path, out, end = word, [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(last[end])
             yield word, out[::-1]
 
-    def _ids(self, piece: str) -> list[int]:
-        known = self.texts.get(piece)
-        if known:
-            return [known[0]]
-        return [self.bytes[b] for b in piece.encode()] if any(self.bytes) else [self.unknown]
+    def _ids(self, unknown: str) -> bytes:
+        """The ids of a character that is no piece: its bytes', or the unknown piece's."""
+        ids = [self.bytes[b] for b in unknown.encode()] if any(self.bytes) else [self.unknown]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        if len(self.pairs) > REMEMBERED:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         cut = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        blobs = self.blobs
         for word, pieces in self._forward(sorted({w for ws in cut for w in ws}.difference(self.words))):
-            self.words[word] = np.array([i for p in pieces for i in self._ids(p)], dtype="<u4").tobytes()
+            self.words[word] = b"".join([blobs.get(p) or self._ids(p) for p in pieces])
         words = self.words
         return [b"".join([words[w] for w in ws]) for ws in cut]
 
     def decode(self, ids) -> str:
-        """The text of ``ids``; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
-        names, n = self.names, len(self.names)
-        known = [i for i in ids if 0 <= i < n and names[i]]
-        text = b"".join([names[i] for i in known]).decode("utf-8", "replace")
-        return text.removeprefix(" ") if known and known[0] != self.unknown else text
-
-
-_loaded: dict = {}
+        return decoded(self.names, self.unknown, ids)
+
+
+def _vocabulary(path: str) -> tuple[dict[str, tuple[int, float]], list[bytes], list[int], int]:
+    """Ids and scores of the model's pieces, the bytes each id stands for, the ids of bytes, and the unknown piece's."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts, names, bytes_ = {}, [], [0] * 256
+    for i in range(m.get_piece_size()):
+        piece = m.id_to_piece(i)
+        if m.is_byte(i):
+            bytes_[int(piece[3:5], 16)] = i
+            names.append(bytes([int(piece[3:5], 16)]))
+        elif m.is_control(i):
+            names.append(b"")
+        elif m.is_unknown(i):
+            names.append(" ⁇ ".encode())
+        else:
+            texts[piece] = i, m.get_score(i)
+            names.append(piece.replace(MARK, " ").encode())
+    return texts, names, bytes_, m.unk_id()
+
+
+def decoded(names: list[bytes], unknown: int, ids) -> str:
+    """The text of ``ids``; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
+    n = len(names)
+    known = [i for i in ids if 0 <= i < n and names[i]]
+    text = b"".join([names[i] for i in known]).decode("utf-8", "replace")
+    return text.removeprefix(" ") if known and known[0] != unknown else text
 
 
 def _pieces(path: str, bpe: bool) -> Pieces:
-    if (path, bpe) not in _loaded:
-        _loaded[path, bpe] = Pieces.load(path, bpe)
-    return _loaded[path, bpe]
+    return worker_state(("pieces", path, bpe), lambda: Pieces.load(path, bpe))
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "ids", bpe: bool = True) -> DataFrame:
@@ -162,10 +188,9 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", name: str = "
     at, schema = rows.columns.index(ids_col), T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches):
-        pieces = _pieces(model_path, True)
+        _, names, _, unknown = worker_state(("names", model_path), lambda: (None, *_vocabulary(model_path)[1:]))
         for batch in batches:
-            column = batch.column(at)
-            texts = [None if i is None else pieces.decode(i.values.to_numpy(zero_copy_only=False).tolist()) if i.values is not None else None for i in column]
+            texts = [None if ids is None else decoded(names, unknown, ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)

@@ -1,15 +1,15 @@
 """Which topic a learning belongs to: a cascade of five stages, the first that hits decides.
 
 1 slug = normalised hint, 2 an alias equals the hint, 3 title (exact, contains or fuzzy), 4 shared tags (and
-slug affinity), 5 tag Jaccard. Stages 1, 2, 4 and 5 are equi joins on slug, alias or tag; title containment
-is the one stage that is no equi join, and it runs on what stages 1 and 2 leave.
+slug affinity), 5 tag Jaccard. All are equi joins: on slug, alias, tag, title token, or for containment on a
+stretch of three characters. Each stage runs on what those before leave.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DedupePolicy, TitleMode
@@ -29,16 +29,6 @@ def slug_jaccard(a: Column, b: Column) -> Column:
     return X.jaccard(F.array_distinct(parts(a)), F.array_distinct(parts(b)))
 
 
-def title_matches(title: Column, hint_slug: Column, policy: DedupePolicy) -> Column:
-    lower, spaced = F.lower(title), F.replace(hint_slug, F.lit("-"), F.lit(" "))
-    if policy.title_mode is TitleMode.EXACT:
-        return X.slug(lower) == hint_slug
-    contains = F.contains(lower, spaced) | F.contains(spaced, F.replace(lower, F.lit(" "), F.lit("-")))
-    if policy.title_mode is TitleMode.CONTAINS:
-        return contains
-    return contains | (slug_jaccard(X.slug(title), hint_slug) >= policy.title_similarity)
-
-
 def is_covered(body: Column, title: Column, summary: Column, threshold: float) -> Column:
     """Whether the body holds the title, or more than ``threshold`` of the summary's words of 4 bytes or more."""
     lower = F.lower(body)
@@ -47,9 +37,49 @@ def is_covered(body: Column, title: Column, summary: Column, threshold: float) -
     return F.contains(lower, F.lower(title)) | F.coalesce(hits / F.nullif(F.size(words), F.lit(0)) > threshold, F.lit(False))
 
 
-def _first(hits: DataFrame, *order: Column) -> DataFrame:
-    best = Window.partitionBy("learning_id").orderBy(*order, "slug")
-    return hits.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+def _first(hits: DataFrame, *better: Column) -> DataFrame:
+    """Each learning's hit that is first by ``better`` and slug."""
+    best = hits.groupBy("learning_id").agg(F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(better)], F.col("slug").alias("slug"))).alias("b"))
+    return best.select("learning_id", "b.slug")
+
+
+def _grams(text: Column, n: int) -> Column:
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(o, i): where ``text`` of ``outer`` (o, text) holds that of ``inner`` (i, text), which is not empty.
+
+    An equi join: the first three characters of the inner text (or all of a shorter one) are among the
+    outer's stretches of that length.
+    """
+    keys = F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)])
+    held = outer.select("o", F.col("text").alias("otext"), F.explode(keys).alias("gram"))
+    wanted = inner.where("text <> ''").select("i", F.col("text").alias("itext"), F.substring("text", 1, 3).alias("gram"))
+    return held.join(wanted, "gram").where(F.contains("otext", "itext")).select("o", "i").distinct()
+
+
+def _by_title(rest: DataFrame, names: DataFrame, policy: DedupePolicy) -> DataFrame:
+    """(learning_id, slug) of titles that match: every way to match is an equi join on grams or tokens."""
+    if policy.title_mode is TitleMode.EXACT:
+        return rest.join(names.withColumn("hint_slug", X.slug(F.lower("title"))), "hint_slug").select("learning_id", "slug")
+    spaced, hyphened = F.replace("hint_slug", F.lit("-"), F.lit(" ")), F.replace(F.lower("title"), F.lit(" "), F.lit("-"))
+    hints = rest.select("learning_id", spaced.alias("text"))
+    found = containing(names.select(F.col("slug").alias("o"), F.lower("title").alias("text")), hints.withColumnRenamed("learning_id", "i")).select(F.col("i").alias("learning_id"), F.col("o").alias("slug"))
+    found = found.union(containing(hints.withColumnRenamed("learning_id", "o"), names.select(F.col("slug").alias("i"), hyphened.alias("text"))).select(F.col("o").alias("learning_id"), F.col("i").alias("slug")))
+    # An empty text is within any other: the first topic for empty hints, the first untitled one for any hint.
+    ends = names.agg(F.min("slug").alias("any"), F.min(F.when(F.col("title") == "", F.col("slug"))).alias("untitled")).first()
+    if ends["any"] is not None:
+        found = found.union(hints.where("text = ''").select("learning_id", F.lit(ends["any"])))
+    if ends["untitled"] is not None:
+        found = found.union(hints.select("learning_id", F.lit(ends["untitled"])))
+    if policy.title_mode is TitleMode.FUZZY:
+        parts = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, "-"), lambda w: w != "")))
+        shared = rest.select("learning_id", "hint_slug", parts(F.col("hint_slug")).alias("w")).join(names.select("slug", "title", parts(X.slug(F.col("title"))).alias("w")), "w")
+        near = shared.dropDuplicates(["learning_id", "slug"]).where(slug_jaccard(X.slug(F.col("title")), F.col("hint_slug")) >= policy.title_similarity)
+        found = found.union(near.select("learning_id", "slug"))
+    return found
 
 
 def match(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> DataFrame:
@@ -66,8 +96,7 @@ def match(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> Data
     rest = settle(keyed.join(names.select("slug"), F.col("hint_slug") == F.col("slug")), 1, keyed)
     alias = topics.select("slug", F.explode("aliases").alias("a")).select("slug", F.lower("a").alias("hint"))
     rest = settle(_first(rest.join(alias, "hint")), 2, rest)
-    titled = rest.join(names, X.slug(F.lower("title")) == F.col("hint_slug")) if policy.title_mode is TitleMode.EXACT else rest.join(names, title_matches(F.col("title"), F.col("hint_slug"), policy))
-    rest = settle(_first(titled), 3, rest)
+    rest = settle(_first(_by_title(rest, names, policy)), 3, rest)
     tag_rows = topics.select("slug", "tags", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
     shared = rest.withColumn("tag", F.explode(F.array_distinct("ltags"))).join(tag_rows, "tag").dropDuplicates(["learning_id", "slug"])
     enough = tag_overlap(F.col("tags"), F.col("ltags")) >= policy.tag_overlap_minimum
@@ -77,7 +106,7 @@ def match(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> Data
     if policy.tag_jaccard_threshold < 1:
         near = shared.withColumn("j", X.jaccard(F.array_distinct("ltags"), F.array_distinct(F.transform("tags", F.lower))))
         near = near.where(F.col("j") >= policy.tag_jaccard_threshold).join(rest.select("learning_id"), "learning_id", "left_semi")
-        settle(_first(near, F.desc("j")), 5, rest)
+        settle(_first(near, -F.col("j")), 5, rest)
     return reduce(DataFrame.unionByName, found)
 
 

@@ -21,11 +21,23 @@ def search(topics: DataFrame, query: str) -> DataFrame:
     return topics.withColumn("score", score.cast("int")).where("score > 0").orderBy(F.desc("score"), "slug")
 
 
-def search_all(queries: DataFrame, topics: DataFrame) -> DataFrame:
-    """(query_id, slug, score) for a table of queries (query_id, query). A query's terms are scored in one pass over the topics."""
-    terms = queries.select("query_id", X.words(F.lower("query")).alias("terms")).where(F.size("terms") > 0)
-    score = F.aggregate("terms", F.lit(0), lambda a, t: a + term_score(t))
-    return topics.join(terms, F.lit(True)).withColumn("score", score.cast("int")).where("score > 0").select("query_id", "slug", "score")
+def search_all(queries: DataFrame, topics: DataFrame, block: int = 500) -> DataFrame:
+    """(query_id, slug, score) for a stated set of queries (query_id, query), taken in blocks of ``block``.
+
+    Each block goes through the topics once, as a constant; the topics are never shuffled or collected.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.select("query_id", X.words(F.lower("query")).alias("terms")).where(F.size("terms") > 0)
+    n = max(1, -(-rows.count() // block))
+    out = topics.select(F.lit(None).cast(kind).alias("query_id"), "slug", F.lit(None).cast("int").alias("score")).limit(0)
+    for b in range(n):
+        part = rows.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(n)) == b).collect()
+        if part:
+            stated = F.array(*[F.struct(F.lit(r.query_id).cast(kind).alias("query_id"), F.array(*map(F.lit, r.terms)).alias("terms")) for r in part])
+            asked = topics.withColumn("q", F.explode(stated)).withColumns({"query_id": F.col("q.query_id"), "terms": F.col("q.terms")})
+            score = F.aggregate("terms", F.lit(0), lambda a, t: a + term_score(t))
+            out = out.union(asked.withColumn("score", score.cast("int")).where("score > 0").select("query_id", "slug", "score"))
+    return out
 
 
 def tag_vocabulary(topics: DataFrame) -> DataFrame:

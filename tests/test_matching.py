@@ -109,3 +109,22 @@ def test_markdown_round_trip(spark, store, tmp_path):
     with pytest.raises(Exception, match="no front matter"):
         read_markdown(spark, str(tmp_path)).count()
     assert [r.error for r in read_markdown(spark, str(tmp_path), strict=False).collect() if r.error] == ["no front matter"]
+
+
+def test_containment_by_grams(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("ab c", k=rng.randint(0, 9))) for _ in range(60)]
+    outer = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "o long, text string")
+    inner = spark.createDataFrame([(i, w) for i, w in enumerate(words[30:])], "i long, text string")
+    want = {(o, i) for o, a in enumerate(words) for i, b in enumerate(words[30:]) if b and b in a}
+    got = matching.containing(outer, inner).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_empty_hints_and_titles(spark, store):
+    rows = [learning(1, "", "zq", "s"), learning(2, "nothing like it", "zq", "s")]
+    assert outcomes(spark, store, rows, DedupePolicy())[1] == (3, "aws-sso", "APPEND")
+    untitled = store.union(spark.createDataFrame([topic("u", "", body="x")], TOPICS))
+    assert outcomes(spark, untitled, rows, DedupePolicy())[2] == (3, "u", "APPEND")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +69,13 @@ def worker_state(key, make):
     """
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

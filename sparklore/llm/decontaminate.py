@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_state
 
 #: Edits allowed for each character of a test item (after folding), rounded down.
 ERROR_RATE = 0.08
@@ -133,14 +133,8 @@ class Matcher:
         return [(self.items[w].id, *f) for w, f in best.items()]
 
 
-_matchers: dict = {}
-
-
 def _matcher(items, rate: float) -> Matcher:
-    if (key := (items.id, rate)) not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items.value, rate)
-    return _matchers[key]
+    return worker_state(("items", items.id, rate), lambda: Matcher(items.value, rate))
 
 
 class _Shipped:

@@ -18,6 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, worker_state
@@ -26,7 +27,9 @@ MARK = "▁"
 #: Key of a vocabulary node's own piece; no character.
 PIECE = ""
 #: Words, and pairs of pieces, that a worker remembers; at its bound it forgets all of a kind.
-REMEMBERED, PAIRS = 300_000, 200_000
+REMEMBERED, PAIRS = 150_000, 150_000
+#: Texts whose words are cut and encoded at a time.
+TEXTS = 100
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
@@ -119,6 +122,9 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
+        return [blob for at in range(0, len(texts), TEXTS) for blob in self._some(texts[at : at + TEXTS])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.pairs) > PAIRS:
@@ -167,6 +173,11 @@ def _pieces(path: str, bpe: bool) -> Pieces:
     return worker_state(("pieces", path, bpe), lambda: Pieces.load(path, bpe))
 
 
+def _as_lists(blobs: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "ids", bpe: bool = True) -> DataFrame:
     """``docs`` with ``name`` (array<int>), the ids of the whole text; null and empty texts have none."""
     small_batches(docs.sparkSession)
@@ -176,9 +187,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", name: str =
         pieces = _pieces(model_path, bpe)
         for batch in batches:
             blobs = pieces.encode([t or "" for t in batch.column(at).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns, _as_lists(blobs)], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
@@ -202,8 +211,18 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     Null texts count as empty. A text that itself holds U+2581 decodes to a space in its place, so it is
     not exact. Rows that repeat are encoded each; other columns are ignored; empty in, empty out.
     """
-    from pyspark.sql import functions as F
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    back = decode(encode(rows, model_path), model_path)
-    return back.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("exact"))
+    def run(batches):
+        # One worker does both ways: two chained ones would each hold the vocabulary.
+        pieces = _pieces(model_path, True)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            blobs = pieces.encode(texts)
+            exact = [pieces.decode(np.frombuffer(b, "<u4").tolist()) == t for b, t in zip(blobs, texts)]
+            sizes = pa.array([len(b) // 4 for b in blobs], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _as_lists(blobs), sizes, pa.array(exact, pa.bool_())], names=[id_col, "ids", "n_tokens", "exact"])
+
+    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
+    return rows.mapInArrow(run, schema)

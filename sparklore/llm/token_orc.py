@@ -18,14 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_state
 
 #: Text chunks and lower-case words that a worker remembers; at either bound it forgets those.
 CACHED_CHUNKS, CACHED_WORDS = 300_000, 600_000
 SENTINEL = "\x01"
 #: Precomposed Latin letters, each one letter in lower case too, then full stops and commas.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]*)").fullmatch
-_state: dict = {}
 
 
 class ChunkEncoder:
@@ -97,9 +96,7 @@ class ChunkEncoder:
 
 
 def _encoder(path: str) -> ChunkEncoder:
-    if path not in _state:
-        _state[path] = ChunkEncoder(path)
-    return _state[path]
+    return worker_state(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def encode_column(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

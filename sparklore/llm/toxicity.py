@@ -26,7 +26,7 @@ THRESHOLD = 0.3
 #: A feature is in at least so many fitted documents.
 LEAST_DOCUMENTS = 4
 #: Words that a worker remembers the weight of; at the bound it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 BEGINNINGS = range(3, 9)
 _SENTENCE = re.compile(r"[^.!?\n]+").finditer
 _WORDS = re.compile(r"[^\W\d_]+").findall

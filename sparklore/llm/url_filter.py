@@ -19,8 +19,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Labelled URLs that the trees are fitted on, at most.
 FITTED = 20_000
 TREES, DEPTH = 10, 4
-#: Suffix statistics are kept for so many hash buckets, so the table of them has a bounded size.
-BUCKETS = 1024
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "vowels", "entropy", "parameters", "query_length", "fragment", "secure", "dotted_end")
 SUFFIX = ("suffix_urls", "suffix_blocked", "suffix_allowed", "site_urls", "site_blocked", "site_allowed")
 
@@ -65,13 +63,13 @@ def with_suffix_statistics(rows: DataFrame) -> DataFrame:
     Shares are of all URLs with that suffix: how many the rules block, how many they allow.
     """
     blocked, allowed = (F.coalesce((F.col("verdict") == v).cast("int"), F.lit(0)) for v in ("block", "allow"))
-    for kind, count in (("suffix", -1), ("site", -2)):
-        bucket = F.pmod(F.xxhash64(F.substring_index("host", ".", count)), F.lit(BUCKETS)).cast("int")
-        rows = rows.withColumn("__bucket", bucket)
-        stats = rows.groupBy("__bucket").agg(F.count("*").alias("n"), F.sum(blocked).alias("b"), F.sum(allowed).alias("a"))
-        stats = stats.select("__bucket", F.log1p("n").alias(f"{kind}_urls"), (F.col("b") / F.col("n")).alias(f"{kind}_blocked"), (F.col("a") / F.col("n")).alias(f"{kind}_allowed"))
-        # BUCKETS rows at most
-        rows = rows.join(F.broadcast(stored(stats, f"url_{kind}")), "__bucket").drop("__bucket")
+    keys = {"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -2)}
+    keyed = rows
+    for kind, key in keys.items():
+        stats = keyed.groupBy(key.alias(f"__{kind}")).agg(F.count("*").alias("n"), F.sum(blocked).alias("b"), F.sum(allowed).alias("a"))
+        stats = stats.select(f"__{kind}", F.log1p("n").alias(f"{kind}_urls"), (F.col("b") / F.col("n")).alias(f"{kind}_blocked"), (F.col("a") / F.col("n")).alias(f"{kind}_allowed"))
+        # One row a suffix or site, of any number: Spark broadcasts the table by its size or splits the hot keys' rows.
+        rows = rows.withColumn(f"__{kind}", key).join(stored(stats, f"url_{kind}"), f"__{kind}").drop(f"__{kind}")
     return rows
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from sparklore.llm.html_text import host_of
 from sparklore.llm.queries import op10_url_filter
-from sparklore.llm.url_filter import RULES, judge, path_of, with_features
+from sparklore.llm.url_filter import RULES, judge, path_of, with_features, with_suffix_statistics
 
 
 def parts(url):
@@ -56,3 +56,19 @@ def test_trees_learn_the_rules(spark):
     ruled = [r for r in rows if r.rule]
     assert sum((r.score >= 0.5) == (r.verdict == "block") for r in ruled) / len(ruled) > 0.8
     assert all(r.verdict == ("block" if r.score >= 0.5 else "allow") for r in rows if not r.rule)
+
+
+def test_every_suffix_and_site_has_its_own_statistics(spark):
+    rows = [(f"h{k}.site{i}.t{i % 1500}", ("block", "allow", None)[(i + k * (i % 2)) % 3]) for i in range(3000) for k in range(1 + i % 3)] + [("", None)]
+    got = with_suffix_statistics(spark.createDataFrame(rows, "host string, verdict string")).collect()
+    assert len(got) == len(rows)
+    for kind, labels in (("suffix", 1), ("site", 2)):
+        n, b, a = Counter(), Counter(), Counter()
+        for host, verdict in rows:
+            key = ".".join(host.split(".")[-labels:])
+            n[key] += 1
+            b[key] += verdict == "block"
+            a[key] += verdict == "allow"
+        for r in got:
+            key = ".".join(r.host.split(".")[-labels:])
+            assert abs(r[f"{kind}_urls"] - math.log1p(n[key])) < 1e-9 and (r[f"{kind}_blocked"], r[f"{kind}_allowed"]) == (b[key] / n[key], a[key] / n[key])

@@ -1,7 +1,7 @@
 """Operator 3: main text of HTML pages by consensus host paths.
 
-Each page's containers are scored by the text they hold outside menus, forms, adverts and the like, and the
-page votes for one generalised tag-class path. Votes are counted per host in Spark; the winning path is
+A page votes for the generalised tag-class path of the innermost container that holds all of its text outside
+links, menus, forms, adverts and the like. Votes are counted per host in Spark; the winning path is
 what the host's pages are extracted with again. A page without that container falls back to its own best.
 """
 
@@ -38,8 +38,7 @@ BOILERPLATE = frozenset(
     "sidebar sidenav aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies respond disqus discussion share sharing social "
     "related recommended recommendations newsletter subscribe subscription login signup search searchbox pagination pager toolbar skip hidden contentinfo complementary".split()
 )
-#: The share of a page's text that a container must hold to be its best; less is asked of article and main.
-MOST, MARKED = 0.7, 0.3
+_WORD = re.compile(r"[^\W_]")
 #: Elements nested deeper than this are looked through, so that work stays in proportion to the page.
 DEEPEST = 512
 
@@ -65,32 +64,35 @@ def _names(attributes: str) -> tuple[list[str], set[str]]:
 def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
     """(rank of the innermost container, text, characters of links) of each text block, and the containers.
 
-    Containers are ranked in page order; a block counts for its container and all around it. Inline
-    elements are looked through, so that they may be left open; ends without a beginning are ignored.
+    A block without a letter or digit outside links is all links. Containers are ranked in page order; a block
+    counts for its container and all around it. Inline elements are looked through, so that they may be left
+    open; ends without a beginning are ignored.
     """
     out: list[tuple[int, str, int]] = []
     root = Node("", "", False, 0)
-    nodes, stack, held, links, in_link, at, n = [root], [root], [], 0, 0, 0, len(page)
+    nodes, stack, held, links, worded, in_link, at, n = [root], [root], [], 0, False, 0, 0, len(page)
 
     def flush():
-        nonlocal held, links
+        nonlocal held, links, worded
         if held:
             if text := " ".join("".join(held).split()):
                 inner = next(s.rank for s in reversed(stack) if s.tag in CONTAINERS or not s.tag)
-                out.append((inner, text, min(links, len(text))))
-            held, links = [], 0
+                out.append((inner, text, min(links, len(text) - 1) if worded else len(text)))
+            held, links, worded = [], 0, False
 
     def close(depth):
         flush()
         del stack[depth:]
 
     def add(text):
-        nonlocal links
+        nonlocal links, worded
         if text and not stack[-1].dropped:
             text = html.unescape(text) if "&" in text else text
             held.append(text)
             if in_link:
                 links += len(text)
+            elif not worded:
+                worded = _WORD.search(text) is not None
 
     while at < n:
         lt = page.find("<", at)
@@ -181,15 +183,17 @@ def _parents(nodes: list[Node]) -> dict[int, int]:
 
 
 def best_path(page: str) -> tuple[str, int]:
-    """The generalised path of the page's best container, and the characters it holds; "" if none."""
+    """The generalised path of the page's best container, and the characters outside links it holds; "" if none.
+
+    It is the innermost one around every block that is no boilerplate, so only what is marked as such, and
+    blocks of links alone, can stand outside.
+    """
     held, nodes = blocks(page)
     total = _around(nodes, held, _parents(nodes))
     whole = total.get(0, 0)
     if not whole:
         return "", 0
-    marked = [n for n in nodes if n.tag in ("article", "main") and total.get(n.rank, 0) >= MARKED * whole]
-    fit = marked or [n for n in nodes if total.get(n.rank, 0) >= MOST * whole]
-    best = min(fit, key=lambda n: (-n.path.count("/"), -total[n.rank], n.rank))
+    best = max((n for n in nodes if total.get(n.rank, 0) == whole), key=lambda n: n.path.count("/"))
     return best.path, total[best.rank]
 
 

@@ -87,3 +87,14 @@ def test_hosts_agree_and_edges(spark):
     assert got[3] == ["Short 3."] and got[5] == ["Quite a long stretch of text 5."]
     assert got[20] == ["x", "x"] and got[21] == [""] and got[None] == [""]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_all_that_is_no_boilerplate_is_kept(spark):
+    lead, rest = "A lead that says what follows. " * 5, "The body of the article goes on. " * 20
+    split = f"<body><nav>Menu here</nav><div class=content><p>{lead}</p><div class=wrap><div class=body><p>{rest}</p></div></div></div><footer>Foot</footer></body>"
+    marked = f"<body><nav>Menu here</nav><main><article><p>{lead}</p></article><section><p>{rest}</p></section></main><div class=advert>Buy</div><div>.</div></body>"
+    want = f"{lead.strip()}\n{rest.strip()}"
+    assert best_path(split)[0] == "/body/div.content" and best_path(marked)[0] == "/body/main"
+    assert main_text(split, None) == main_text(marked, None) == want
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", (split, marked)[i % 2]) for i in range(6)], "page_id long, url string, html string")
+    assert [r.text for r in extract(pages).collect()] == [want] * 6

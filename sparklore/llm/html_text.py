@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+|[^>]*)(?:>|\Z)", re.S)
-_CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The end of a tag, or an attribute's value up to its opening quote or (unquoted) whole; quotes elsewhere are no quotes.
+_VALUE = re.compile(r">|=\s*+(?:([\"'])|([^\s>\"'][^\s>]*))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -50,13 +51,37 @@ class Node(NamedTuple):
     rank: int
 
 
-def _names(attributes: str) -> tuple[list[str], set[str]]:
+def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[list[tuple[str, str]], int]:
+    """The classes, ids and roles of the tag whose attributes begin ``at``, and where the tag ends.
+
+    A quote that is never closed leaves the tag to end at the next ">". ``unclosed`` collects the kinds of
+    quotes that the page has no more of, so that each is looked for in vain but once.
+    """
+    found = []
+    while m := _VALUE.search(page, at):
+        if m.group() == ">":
+            return found, m.end()
+        start, end, quote = m.start(2), m.end(), m.group(1)
+        if quote:
+            start = m.end()
+            end = -1 if quote in unclosed else page.find(quote, start)
+            if end < 0:
+                unclosed.add(quote)
+                return found, page.find(">", start) + 1 or len(page)
+        name = page[at : m.start()].replace("/", " ").split()[-1:]
+        if name and name[0].lower() in ("class", "id", "role"):
+            found.append((name[0].lower(), page[start:end]))
+        at = end + 1 if quote else end
+    return found, len(page)
+
+
+def _names(attributes: list[tuple[str, str]]) -> tuple[list[str], set[str]]:
     """Classes, and all lower-case words of classes, ids and roles."""
     classes, words = [], set()
-    for kind, a, b, c in _CLASS.findall(attributes):
-        value = html.unescape(a or b or c)
+    for kind, value in attributes:
+        value = html.unescape(value)
         words.update(w.lower() for w in _NAME.findall(value))
-        if kind.lower() == "class":
+        if kind == "class":
             classes += value.split()
     return classes, words
 
@@ -72,6 +97,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
     root = Node("", "", False, 0)
     nodes, stack, held, links, worded, in_link, at, n = [root], [root], [], 0, False, 0, 0, len(page)
 
+    unclosed: set[str] = set()
+
     def flush():
         nonlocal held, links, worded
         if held:
@@ -107,6 +134,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
         at = m.end()
         if m.group(2) is None:
             continue
+        attributes, at = _attributes(page, at, unclosed)
         tag, ends = m.group(2).lower(), m.group(1) == "/"
         if tag == "br":
             add(" ")
@@ -140,7 +168,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
                 first = next((d for d in range(1, len(stack)) if stack[d].tag in ("head", "nav", "header", "footer")), None)
                 if first:
                     del stack[first:]
-            classes, words = _names(m.group(3)) if m.group(3) else ([], set())
+            classes, words = _names(attributes)
             inside = any(s.tag in ("article", "main") for s in stack)
             dropped = stack[-1].dropped or tag in DROPPED or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(words))
             path = stack[-1].path

@@ -98,3 +98,15 @@ def test_all_that_is_no_boilerplate_is_kept(spark):
     assert main_text(split, None) == main_text(marked, None) == want
     pages = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", (split, marked)[i % 2]) for i in range(6)], "page_id long, url string, html string")
     assert [r.text for r in extract(pages).collect()] == [want] * 6
+
+
+def test_long_attributes_and_quotes():
+    long = "<p class='x'>a > b</p>" * 1000
+    for quote, value in (('"', long), ("'", long.replace("'", '"'))):
+        page = f"<body><p>Before.</p><div data-x={quote}{value}{quote} class=advert>Buy</div><img src={quote}{value}{quote}><p>After.</p></body>"
+        assert main_text(page, None) == "Before.\nAfter."
+    assert main_text("<p title=it's>one</p><p class=\"a\"\">two</p><p don't>three</p>", None) == "one\ntwo\nthree"
+    assert main_text('<p>one</p><p title="never closed>two</p>', None) == "one\ntwo"
+    assert main_text("<p>x</p>" + "<p a=\"b' >y</p>" * 50_001, None).startswith("x\ny")
+    assert main_text("<p>x</p>" + "<a b=" * 100_000 + "<a b=' c" * 100_001, None).startswith("x")
+    assert main_text("<i " + "= " * 500_000 + "\t" * 500_000 + ">x", None) == "x"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,7 +41,9 @@ BOILERPLATE = frozenset(
     "related recommended recommendations newsletter subscribe subscription login signup search searchbox pagination pager toolbar skip hidden contentinfo complementary".split()
 )
 _WORD = re.compile(r"[^\W_]")
-#: Elements nested deeper than this are looked through, so that work stays in proportion to the page.
+#: Elements that an article does not stand in: it ends those that were left open.
+MENUS = ("head", "nav", "header", "footer")
+#: Of elements nested deeper than this only the tag is kept, so that work stays in proportion to the page.
 DEEPEST = 512
 
 
@@ -98,6 +101,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
     nodes, stack, held, links, worded, in_link, at, n = [root], [root], [], 0, False, 0, 0, len(page)
 
     unclosed: set[str] = set()
+    deep: list[tuple[str, bool]] = []  # (tag, dropped) of the open elements beyond DEEPEST,
+    opened: Counter[str] = Counter()  # and how many there are of each tag
 
     def flush():
         nonlocal held, links, worded
@@ -110,10 +115,27 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
     def close(depth):
         flush()
         del stack[depth:]
+        deep.clear()
+        opened.clear()
+
+    def rise(tags):
+        """Close the innermost element beyond DEEPEST that is one of ``tags``, and those in it."""
+        flush()
+        while deep:
+            tag = deep.pop()[0]
+            opened[tag] -= 1
+            if tag in tags:
+                break
+
+    def in_article():
+        return opened["article"] > 0 or opened["main"] > 0 or any(s.tag in ("article", "main") for s in stack)
+
+    def hidden():
+        return deep[-1][1] if deep else stack[-1].dropped
 
     def add(text):
         nonlocal links, worded
-        if text and not stack[-1].dropped:
+        if text and not hidden():
             text = html.unescape(text) if "&" in text else text
             held.append(text)
             if in_link:
@@ -142,6 +164,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
             if tag == "a":
                 in_link = 0 if ends else 1
             continue
+        elif ends and opened[tag] > 0:
+            rise((tag,))
         elif ends:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
             if depth:
@@ -155,22 +179,32 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
             at = page.find(">", close_at.end()) + 1 or n if close_at else n
         else:
             flush()
-            if tag in VOID or len(stack) >= DEEPEST:
+            if tag in VOID:
                 continue
-            if stack[-1].tag == "p":
-                stack.pop()
-            for others in (CLOSED_BY.get(tag),):
-                if others and stack[-1].tag in others:
+            others = CLOSED_BY.get(tag, ())
+            if deep and deep[-1][0] == "p":
+                rise(("p",))
+            for _ in range(2 if tag == "tr" else 1):
+                if deep and deep[-1][0] in others:
+                    rise(others)
+            if not deep:
+                if stack[-1].tag == "p":
+                    stack.pop()
+                if stack[-1].tag in others:
                     close(len(stack) - 1)
                     if tag == "tr" and stack[-1].tag == "tr":
                         close(len(stack) - 1)
-            if tag in ("article", "main", "body"):  # these stand in no menu that was left open
-                first = next((d for d in range(1, len(stack)) if stack[d].tag in ("head", "nav", "header", "footer")), None)
-                if first:
-                    del stack[first:]
+            if tag in ("article", "main", "body"):
+                while any(opened[t] > 0 for t in MENUS):
+                    rise(MENUS)
+                if first := next((d for d in range(1, len(stack)) if stack[d].tag in MENUS), None):
+                    close(first)
             classes, words = _names(attributes)
-            inside = any(s.tag in ("article", "main") for s in stack)
-            dropped = stack[-1].dropped or tag in DROPPED or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(words))
+            dropped = hidden() or tag in DROPPED or (tag == "header" and not in_article()) or (tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(words))
+            if len(stack) >= DEEPEST:
+                deep.append((tag, dropped))
+                opened[tag] += 1
+                continue
             path = stack[-1].path
             if tag in CONTAINERS or tag in ("html", "table"):
                 path += "/" + ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])

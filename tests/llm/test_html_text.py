@@ -110,3 +110,13 @@ def test_long_attributes_and_quotes():
     assert main_text("<p>x</p>" + "<p a=\"b' >y</p>" * 50_001, None).startswith("x\ny")
     assert main_text("<p>x</p>" + "<a b=" * 100_000 + "<a b=' c" * 100_001, None).startswith("x")
     assert main_text("<i " + "= " * 500_000 + "\t" * 500_000 + ">x", None) == "x"
+
+
+def test_text_around_and_boilerplate_within_deep_nests():
+    nest = "<div>" * 600 + "{}" + "</div>" * 600
+    page = "<body><div class=post><p>Before.</p>" + nest.format("<p>In the nest.") + "<p>After.</p></div><div class=advert>Buy</div></body>"
+    assert best_path(page)[0] == "/body/div.post" and main_text(page, "/body/div.post") == "Before.\nIn the nest.\nAfter."
+    hidden = nest.format("<nav><div>Menu</div></nav><ul><li>One<li>Two</ul><div class=advert><div>Buy</div>now</div><p>Kept")
+    assert main_text("<body><ul><li>First" + hidden + "<li>Last</ul><p>After.", None) == "First\nOne\nTwo\nKept\nLast\nAfter."
+    assert main_text("<body>" + nest.format("<nav>Menu<article>Text</article>"), None) == "Text"
+    assert main_text("<body>" + "<div>" * 600 + "<nav><ul><li>" * 30_000 + "<article>Text" + "</b></i></section>" * 30_000, None) == "Text"

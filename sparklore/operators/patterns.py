@@ -108,18 +108,22 @@ def leaders(messages: DataFrame, threshold: float) -> DataFrame:
     return members.join(checkpointed(led), "rep").select("idx", "leader")
 
 
+def clusters_of(messages: DataFrame, membership: DataFrame, kind: str, least: int, least_contexts: int | None = None) -> DataFrame:
+    """Clusters by ``membership`` (idx, leader); see ``clusters``. No texts are gathered: a leader is its cluster's first message."""
+    rows = messages.select("idx", "context_id").join(membership, "idx")
+    sized = rows.groupBy("leader").agg(F.count("*").alias("n"), F.countDistinct("context_id").alias("contexts"))
+    sized = sized.where((F.col("n") >= least) & (F.col("contexts") >= (least_contexts or least)))
+    first = messages.select(F.col("idx").alias("leader"), F.col("text").alias("representative"))
+    out = sized.join(first, "leader").withColumn("kind", F.lit(kind))
+    return out.select("kind", "leader", "representative", "n", "contexts", X.cluster_hash(F.col("representative"), F.col("kind")).alias("content_hash"))
+
+
 def clusters(messages: DataFrame, kind: str, threshold: float, least: int, least_contexts: int | None = None) -> DataFrame:
     """Clusters of ``messages`` (idx, context_id, text, tokens) with at least ``least`` members from ``least_contexts`` sessions (as many by default).
 
-    (kind, leader, representative, n, contexts, occurrences, content_hash)
+    (kind, leader, representative, n, contexts, content_hash); who belongs to them is told by ``leaders``.
     """
-    rows = messages.join(leaders(messages, threshold), "idx")
-    occurrence = F.struct("idx", "context_id", "text")
-    sized = rows.groupBy("leader").agg(F.count("*").alias("n"), F.countDistinct("context_id").alias("contexts"))
-    sized = sized.where((F.col("n") >= least) & (F.col("contexts") >= (least_contexts or least)))
-    out = rows.join(sized, "leader").groupBy("leader", "n", "contexts").agg(F.array_sort(F.collect_list(occurrence)).alias("occurrences"))
-    out = out.withColumn("representative", F.col("occurrences")[0]["text"]).withColumn("kind", F.lit(kind))
-    return out.select("kind", "leader", "representative", "n", "contexts", "occurrences", X.cluster_hash(F.col("representative"), F.col("kind")).alias("content_hash"))
+    return clusters_of(messages, leaders(messages, threshold), kind, least, least_contexts)
 
 
 def novel(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -134,7 +138,12 @@ def largest(found: DataFrame, most: int) -> DataFrame:
 
 def detect(messages: DataFrame, corrected: DataFrame, config: PatternConfig, known: DataFrame) -> DataFrame:
     """The pass's clusters: repeated instructions and repeated corrections that ``known`` does not hold, largest first."""
-    said = clusters(messages, INSTRUCTION, config.similarity_threshold, config.min_occurrences)
-    tokens = corrected.withColumn("tokens", X.tokens(F.col("text")))
-    again = clusters(tokens, CORRECTION, config.similarity_threshold, max(config.min_occurrences, 2), 2)
-    return largest(novel(said.unionByName(again), known), config.max_clusters_per_pass)
+    corrected = corrected.withColumn("tokens", X.tokens(F.col("text")))
+    said, again = (checkpointed(leaders(m, config.similarity_threshold)) for m in (messages, corrected))
+    found = clusters_of(messages, said, INSTRUCTION, config.min_occurrences).unionByName(clusters_of(corrected, again, CORRECTION, max(config.min_occurrences, 2), 2))
+    found = checkpointed(largest(novel(found, known), config.max_clusters_per_pass))
+    # Messages are gathered for the clusters taken alone (at most max_clusters_per_pass rows): the pass's prompt is one text.
+    taken = F.broadcast(found.select("kind", "leader"))
+    rows = [m.select("idx", "context_id", "text").join(of, "idx").withColumn("kind", F.lit(kind)).join(taken, ["kind", "leader"]) for m, of, kind in ((messages, said, INSTRUCTION), (corrected, again, CORRECTION))]
+    listed = rows[0].unionByName(rows[1]).groupBy("kind", "leader").agg(F.array_sort(F.collect_list(F.struct("idx", "context_id", "text"))).alias("occurrences"))
+    return largest(found.join(listed, ["kind", "leader"]), config.max_clusters_per_pass)

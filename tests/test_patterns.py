@@ -68,3 +68,18 @@ def test_action_is_cut_between_characters_and_scrubbed(spark):
     rows = [(1, 1, "assistant", long), (1, 2, "user_input", "wrong"), (2, 1, "tool_call", "sh: password=hunter2"), (2, 2, "system", "x"), (2, 3, "user_input", "stop")]
     got = {r.context_id: r.agent_action for r in patterns.corrections(spark.createDataFrame(rows, TURNS)).collect()}
     assert got == {1: "a" * 199 + "...", 2: "sh: [REDACTED:password]"}
+
+
+def test_clusters_do_not_gather_their_texts(spark, capsys):
+    rows = [(i, i % 50, f"alpha bravo charlie {'delta ' * (i % 3)}", ["alpha", "bravo", "charlie", *["delta"] * (i % 3 > 0)]) for i in range(300)] + [(1000, 1, "echo", ["echo"])]
+    found = patterns.clusters(spark.createDataFrame(rows, "idx long, context_id long, text string, tokens array<string>"), patterns.INSTRUCTION, 0.4, 3)
+    assert [(r.leader, r.n, r.contexts, r.representative) for r in found.collect()] == [(0, 300, 50, rows[0][2])]
+    found.explain("formatted")
+    assert "collect_list" not in capsys.readouterr().out and "occurrences" not in found.columns
+
+
+def test_detected_clusters_list_their_messages(spark):
+    rows = [(c, 1, f"run make gen before every build {'now' * (c == 2)}") for c in (1, 2, 3)] + [(4, 1, "no, not that at all")]
+    said = spark.createDataFrame(rows, "context_id long, turn_id long, text string").selectExpr("context_id * 10 + turn_id as idx", "*", "split(text, ' ') as tokens")
+    got = patterns.detect(said, said.where("false"), PatternConfig(), spark.createDataFrame([], "content_hash string")).collect()
+    assert [[(o.idx, o.context_id, o.text) for o in r.occurrences] for r in got] == [[(c * 10 + 1, c, t) for c, _, t in rows[:3]]]

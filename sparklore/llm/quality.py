@@ -1,7 +1,7 @@
 """Operator 5: quality classifier by positive-unlabelled learning.
 
 Trusted positives are training-fold documents labelled good; everything unlabelled is a mixture of good
-and bad in an unknown share. The class prior is estimated from how a first classifier's scores are spread
+and bad in an unknown share. Where too little is unlabelled, all documents with labels ignored are that mixture. The class prior is estimated from how a first classifier's scores are spread
 in both samples; then a small network minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with the logistic loss, so that its output is a probability of being good. Bad labels are never used.
@@ -153,11 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on ``docs`` by ``labels`` (doc_id, quality); None where there is nothing to fit on.
 
     Taken are at most ``positives`` documents labelled 1 in the training folds and at most ``unlabelled``
-    documents that have no label and are of those folds too, whole texts each.
+    documents that have no label and are of those folds too, whole texts each. Where those are fewer than
+    the positives, the sample is drawn from all documents of those folds, labels ignored.
     """
-    good = labelled_ids(labels.where("quality = 1"), "quality", positives, "doc_id")
+    good = stored(labelled_ids(labels.where("quality = 1"), "quality", positives, "doc_id"), "quality_good")
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & ~held_out_fold("id")).distinct()
-    free = sample_by_hash(ids.join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti"), "id", unlabelled)
+    free = stored(sample_by_hash(ids.join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti"), "id", unlabelled), "quality_free")
+    if free.count() < min(good.count(), unlabelled):
+        free = sample_by_hash(ids, "id", unlabelled)
     both = stored(good.select("id", F.lit(1).alias("y")).union(free.select("id", F.lit(0).alias("y"))), "quality_sample")
     # The sample has at most positives + unlabelled rows, so it may be broadcast.
     rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(both), "id")
@@ -190,13 +193,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, held_out, score, predicted) for every row of ``docs``.
 
     Null texts score as empty ones. A null id counts as held out. Rows that repeat are scored each;
-    language, source and id are no inputs; other columns are ignored. Empty in, empty out.
+    language, source and id are no inputs; other columns are ignored. Empty in, empty out. Where no model
+    can be fitted (no document is labelled good) scores are 0.5 and ``predicted`` is null.
     """
     small_batches(docs.sparkSession)
-    scored = with_quality(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), train(docs, labels, id_col, text_col))
-    return scored.select(F.col("id").alias(id_col), held_out_fold("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs, labels, id_col, text_col)
+    scored = with_quality(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
+    predicted = (F.col("score") >= threshold).cast("int") if model else F.lit(None).cast("int")
+    return scored.select(F.col("id").alias(id_col), held_out_fold("id").alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those whose score is under ``threshold``."""
-    return with_quality(docs, train(docs, labels, id_col, text_col), text_col, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    """``docs`` without those whose score is under ``threshold``; all of them where no model can be fitted."""
+    model = train(docs, labels, id_col, text_col)
+    if model is None:
+        return docs
+    return with_quality(docs, model, text_col, "__quality").where(F.col("__quality") >= threshold).drop("__quality")

@@ -66,6 +66,17 @@ def test_quality_edges(world):
     assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_where_all_or_none_are_labelled(spark, world):
+    docs, labels = world
+    numbered = docs.where("doc_id < 400")
+    every = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    kept = [r.doc_id for r in good_only(numbered, every).collect()]
+    assert {i for i in range(400) if i % 3 and i % 5} <= set(kept) and sum(i % 3 == 0 for i in kept) <= 13  # of 134
+    for none in (labels.limit(0), every.where("quality = 0")):
+        assert sorted(r.doc_id for r in good_only(numbered, none).collect()) == sorted(r.doc_id for r in numbered.collect())
+        assert {(r.score, r.predicted) for r in quality_scores(numbered, none).collect()} == {(0.5, None)}
+
+
 def test_toxicity_edges_and_sentences(world):
     docs, labels = world
     got = toxicity_scores(docs, labels).collect()

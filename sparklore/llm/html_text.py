@@ -34,12 +34,19 @@ CONTAINERS = frozenset("article body center div main section td".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that are never part of an article.
 DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea dialog menu title input".split())
-#: Words in classes, ids and roles of what is not part of an article.
+#: Words for what is not part of an article, in classes, ids and roles.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar sidenav aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies respond disqus discussion share sharing social "
     "related recommended recommendations newsletter subscribe subscription login signup search searchbox pagination pager toolbar skip hidden contentinfo complementary".split()
 )
+#: Words that may stand beside those: what the thing is made of, and where. With any other word a name may well mean something else.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons center close col column container content count desktop element entry field fixed float footer form global group head header holder icon icons id image img "
+    "inline inner is item items js label large layout left link links list main message mobile module outer page panel placeholder post posts primary region results right row section secondary site slot small space sticky "
+    "submit tab table text the thread title top unit user view widget wide wrap wrapper zone".split()
+)
+_MEANT = BOILERPLATE | NEUTRAL
 _WORD = re.compile(r"[^\W_]")
 #: Elements that an article does not stand in: it ends those that were left open.
 MENUS = ("head", "nav", "header", "footer")
@@ -52,6 +59,7 @@ class Node(NamedTuple):
     path: str
     dropped: bool
     rank: int
+    doubtful: int = 0
 
 
 def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[list[tuple[str, str]], int]:
@@ -78,15 +86,21 @@ def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[list[tuple[str,
     return found, len(page)
 
 
-def _names(attributes: list[tuple[str, str]]) -> tuple[list[str], set[str]]:
-    """Classes, and all lower-case words of classes, ids and roles."""
-    classes, words = [], set()
+def _names(attributes: list[tuple[str, str]]) -> tuple[list[str], bool, bool]:
+    """Classes; whether a class, id or role names boilerplate; whether one has a word for it beside others."""
+    classes, named, doubtful = [], False, False
     for kind, value in attributes:
-        value = html.unescape(value)
-        words.update(w.lower() for w in _NAME.findall(value))
+        held = html.unescape(value).split()
         if kind == "class":
-            classes += value.split()
-    return classes, words
+            classes += held
+        for name in held:
+            words = {w.lower() for w in _NAME.findall(name) if len(w) > 1}
+            if not BOILERPLATE.isdisjoint(words):
+                if _MEANT.issuperset(words):
+                    named = True
+                else:
+                    doubtful = True
+    return classes, named, doubtful
 
 
 def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
@@ -94,14 +108,17 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
 
     A block without a letter or digit outside links is all links. Containers are ranked in page order; a block
     counts for its container and all around it. Inline elements are looked through, so that they may be left
-    open; ends without a beginning are ignored.
+    open; ends without a beginning are ignored. An element whose name has a word for boilerplate beside others
+    (``share-price``) is dropped if more than half of its text is links.
     """
     out: list[tuple[int, str, int]] = []
+    doubts: list[int] = []  # of each block, the innermost doubtful element around it: its rank in
+    doubtful = [0]  # this list, of the rank of the doubtful one around it
     root = Node("", "", False, 0)
     nodes, stack, held, links, worded, in_link, at, n = [root], [root], [], 0, False, 0, 0, len(page)
 
     unclosed: set[str] = set()
-    deep: list[tuple[str, bool]] = []  # (tag, dropped) of the open elements beyond DEEPEST,
+    deep: list[tuple[str, bool, int]] = []  # (tag, dropped, doubtful) of the open elements beyond DEEPEST,
     opened: Counter[str] = Counter()  # and how many there are of each tag
 
     def flush():
@@ -110,6 +127,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
             if text := " ".join("".join(held).split()):
                 inner = next(s.rank for s in reversed(stack) if s.tag in CONTAINERS or not s.tag)
                 out.append((inner, text, min(links, len(text) - 1) if worded else len(text)))
+                doubts.append(deep[-1][2] if deep else stack[-1].doubtful)
             held, links, worded = [], 0, False
 
     def close(depth):
@@ -199,21 +217,41 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
                     rise(MENUS)
                 if first := next((d for d in range(1, len(stack)) if stack[d].tag in MENUS), None):
                     close(first)
-            classes, words = _names(attributes)
-            dropped = hidden() or tag in DROPPED or (tag == "header" and not in_article()) or (tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(words))
+            classes, named, unsure = _names(attributes)
+            whole = tag in ("body", "html", "article", "main")
+            dropped = hidden() or tag in DROPPED or (tag == "header" and not in_article()) or (named and not whole)
+            doubt = deep[-1][2] if deep else stack[-1].doubtful
+            if unsure and not named and not whole:
+                doubtful.append(doubt)
+                doubt = len(doubtful) - 1
             if len(stack) >= DEEPEST:
-                deep.append((tag, dropped))
+                deep.append((tag, dropped, doubt))
                 opened[tag] += 1
                 continue
             path = stack[-1].path
             if tag in CONTAINERS or tag in ("html", "table"):
                 path += "/" + ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
-            node = Node(tag, path, dropped, len(nodes))
+            node = Node(tag, path, dropped, len(nodes), doubt)
             stack.append(node)
             if tag in CONTAINERS:
                 nodes.append(node)
     flush()
-    return out, nodes
+    return (_without_link_lists(out, doubts, doubtful) if len(doubtful) > 1 else out), nodes
+
+
+def _without_link_lists(out: list, doubts: list[int], doubtful: list[int]) -> list:
+    """``out`` without the blocks in doubtful elements whose text is links for more than half."""
+    size, linked = [0] * len(doubtful), [0] * len(doubtful)
+    for (_, text, links), d in zip(out, doubts):
+        size[d] += len(text)
+        linked[d] += links
+    for d in range(len(doubtful) - 1, 0, -1):  # an element comes after those around it
+        size[doubtful[d]] += size[d]
+        linked[doubtful[d]] += linked[d]
+    gone = [False] * len(doubtful)
+    for d in range(1, len(doubtful)):
+        gone[d] = gone[doubtful[d]] or 2 * linked[d] > size[d]
+    return [block for block, d in zip(out, doubts) if not gone[d]]
 
 
 def _around(nodes: list[Node], held: list[tuple[int, str, int]], spans: dict[int, int]) -> dict[int, int]:

@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 from sparklore.llm.html_text import best_path, extract, main_text
@@ -120,3 +121,57 @@ def test_text_around_and_boilerplate_within_deep_nests():
     assert main_text("<body><ul><li>First" + hidden + "<li>Last</ul><p>After.", None) == "First\nOne\nTwo\nKept\nLast\nAfter."
     assert main_text("<body>" + nest.format("<nav>Menu<article>Text</article>"), None) == "Text"
     assert main_text("<body>" + "<div>" * 600 + "<nav><ul><li>" * 30_000 + "<article>Text" + "</b></i></section>" * 30_000, None) == "Text"
+
+
+def test_names_that_only_hold_such_a_word():
+    page = (
+        '<body><article><p class="share-price">Shares rose.</p><p id="notice-period">A month.</p><div class="search-results-study"><p>Found in a study.</p></div>'
+        '<p class="notice">Closed today.</p><div id="comment-list"><p>Great read!</p></div><div class="adSlot_300x250">Buy</div><div class="related-posts box">More</div>'
+        '<div class="promo-kitchen"><ul><li><a href=1>Pans</a></li><li><a href=2>Pots</a></li></ul><div><p>See <a href=3>all of our offers</a></p></div></div>'
+        '<div class="widget-maker"><p>The maker of widgets <a href=4>spoke</a>.</p><div class="menu-planner"><a href=5>Plan</a></div></div><p>The end.</p></article></body>'
+    )
+    assert main_text(page, None).split("\n") == ["Shares rose.", "A month.", "Found in a study.", "The maker of widgets spoke.", "The end."]
+
+
+class Kept(Plain):
+    """Text blocks outside the elements named, of pages whose elements are all closed."""
+
+    def __init__(self, gone):
+        super().__init__()
+        self.inside, self.gone, self.depth = True, gone, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if self.depth or tag in ("nav", "footer", "script") or dict(attrs).get("class") in self.gone:
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        self.flush()
+        self.depth -= self.depth > 0
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.held += data
+
+
+def test_hosts_without_article_elements(spark):
+    """Pages of four hosts, each with its own layout and no article element, against the standard library's parser."""
+    rng, gone = random.Random(4), ("advert", "sidebar", "comments", "cookie-banner")
+    words = lambda: " ".join(rng.choices("alpha beta gamma delta of the price menu".split(), k=rng.randint(3, 30)))
+    layouts = [
+        lambda b: f"<div class='page'><div class='entry'>{b}</div><div class='sidebar'><p>{words()}</p></div></div>",
+        lambda b: f"<table><tr><td class='text'>{b}</td></tr></table>",
+        lambda b: f"<main>{b}</main><div class='comments'><p>{words()}</p></div>",
+        lambda b: f"<section><div class='share-price'>{b}</div></section>",
+    ]
+    rows = []
+    for i in range(60):
+        body = "".join(f"<p>{words()}</p>" if rng.random() < 0.8 else f"<div class='{rng.choice(gone)}'><p>{words()}</p></div>" for _ in range(rng.randint(1, 9))) + f"<p>{words()}</p>"
+        head = f"<html><body><nav><p>{words()}</p></nav><div class='cookie-banner'><p>{words()}</p></div>"
+        rows.append((i, f"https://h{i % 4}.example/{i}", head + layouts[i % 4](body) + f"<script>x</script><footer><p>{words()}</p></footer></body></html>"))
+    for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        plain = Kept(gone)
+        plain.feed(rows[r.page_id][2])
+        plain.close()
+        plain.flush()
+        assert r.text == "\n".join(plain.out), rows[r.page_id]

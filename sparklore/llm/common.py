@@ -75,10 +75,45 @@ def worker_state(key, make):
     return _held[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class Remembered:
+    """A worker's results by key, about twice ``bound`` at most: at the bound those not asked for since the last time are let go."""
+
+    def __init__(self, bound: int):
+        self.bound, self.recent, self.before = bound, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that have to be made; the others are in ``recent`` then, as all of ``keys`` must be when asked for."""
+        if len(self.recent) > self.bound:
+            self.before, self.recent = self.recent, {}
+        new = keys.difference(self.recent)
+        if self.before:
+            known = {k: self.before[k] for k in new if k in self.before}
+            self.recent.update(known)
+            new.difference_update(known)
+        return new
+
+
+def slices(texts: list[str], most: int = 4 << 20):
+    """``texts`` in turn, as lists of ``most`` characters or a single text at most."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= most:
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch of whole texts can hold, by rows and by bytes.
+
+    These are settings of the session, read when a query runs, so they stay; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Operator 9: SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-A text is marked (a leading space, spaces as U+2581) and cut before each run of marks; no piece reaches
-over such a cut, so a text's ids are its marked words' ids one after the other. The distinct marked words
-of a batch are sorted, which lays them out as a trie, and traversed depth-first: the forward states of
-the prefix that a word shares with the one before are kept, only the rest is computed.
+A text is marked (a leading space, spaces as U+2581) and cut before each run of marks, and between letters
+and those other characters that no piece of the vocabulary has next to a letter. No piece reaches over such
+a cut, so a text's ids are its marked words' ids one after the other. The distinct marked words of a batch
+are sorted, which lays them out as a trie, and traversed depth-first: the forward states of the prefix that
+a word shares with the one before are kept, only the rest is computed.
 
 For a unigram model the state of a prefix is its best score and last piece (Viterbi). In a BPE model
 pieces are not chosen by the sum of their scores but by merge rank; there the state is the last piece of
@@ -21,16 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, worker_state
+from .common import Remembered, slices, small_batches, worker_state
 
 MARK = "▁"
 #: Key of a vocabulary node's own piece; no character.
 PIECE = ""
-#: Words, and pairs of pieces, that a worker remembers; at its bound it forgets all of a kind.
-REMEMBERED, PAIRS = 150_000, 150_000
-#: Texts whose words are cut and encoded at a time.
-TEXTS = 100
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*").findall
+#: Words that a worker remembers (see ``Remembered``), and pairs of pieces, which it forgets at the bound.
+REMEMBERED, PAIRS = 250_000, 250_000
+#: Letters, in a regular expression: digits, underscores and superscripts are none.
+LETTER = r"[^\W\d_²³¹]"
+
+
+def word_cutter(pieces):
+    """A function from a marked text to its words, such that no piece of ``pieces`` reaches over a cut.
+
+    Words are runs of marks with what follows; parted from those are runs of ASCII characters besides letters
+    that no piece has next to a letter, where they stand between letters, marks or the text's ends.
+    """
+    letter, apart = re.compile(LETTER).match, {chr(c) for c in range(128) if not chr(c).isalpha()}
+    for piece in pieces:
+        if not apart.isdisjoint(piece):
+            apart.difference_update(x if letter(y) else y for x, y in zip(piece, piece[1:]) if bool(letter(x)) != bool(letter(y)))
+    other = "[" + "".join(map(re.escape, sorted(apart))) + "]" if apart else "(?!)"
+    return re.compile(rf"{MARK}*{LETTER}++(?={other}|{MARK}|\Z)|{other}++(?={LETTER}|{MARK}|\Z)|{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
 class Pieces:
@@ -46,7 +60,7 @@ class Pieces:
             node[PIECE] = text, score
         self.least = min((s for _, s in texts.values()), default=0.0) - 10.0
         self.blobs = {t: i.to_bytes(4, "little") for t, (i, _) in texts.items()}
-        self.words: dict[str, bytes] = {}
+        self.cut, self.words = word_cutter(texts), Remembered(REMEMBERED)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -122,19 +136,18 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
-        return [blob for at in range(0, len(texts), TEXTS) for blob in self._some(texts[at : at + TEXTS])]
+        return [blob for some in slices(texts) for blob in self._some(some)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        cut = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        blobs = self.blobs
-        for word, pieces in self._forward(sorted({w for ws in cut for w in ws}.difference(self.words))):
-            self.words[word] = b"".join([blobs.get(p) or self._ids(p) for p in pieces])
-        words = self.words
-        return [b"".join([words[w] for w in ws]) for ws in cut]
+        cut, found = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts], set()
+        for words in cut:
+            found.update(words)
+        new, blobs, known = sorted(self.words.missing(found)), self.blobs, self.words.recent
+        for word, pieces in self._forward(new):
+            known[word] = b"".join([blobs.get(p) or self._ids(p) for p in pieces])
+        return [b"".join([known[w] for w in words]) for words in cut]
 
     def decode(self, ids) -> str:
         return decoded(self.names, self.unknown, ids)

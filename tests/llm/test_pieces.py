@@ -31,6 +31,22 @@ def test_same_as_the_library(library, sf_dir):
         assert pieces.decode(ids(blob)) == library.decode(ids(blob))
 
 
+def test_cut_texts_and_forgotten_words(library, monkeypatch):
+    """Texts of what may or may not be cut apart, with a cache that forgets all the time."""
+    from sparklore.llm import pieces as P
+
+    monkeypatch.setattr(P, "REMEMBERED", 20)
+    monkeypatch.setattr(P, "PAIRS", 20)
+    rng = random.Random(8)
+    parts = ["the", "ing", " ", ",", ".\n", "1", "2.", "².", " ▁", "..", "://", "www.", "(s)", "it's", "C++", "_x", "½", "é", "THE", "\x00", "Ⅻ", "漢"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(2000)]
+    pieces = Pieces.load(MODEL)
+    assert pieces.cut("▁ab,\n▁▁c.5 ▁(s)") == ["▁ab", ",\n", "▁▁c", ".5 ", "▁(s)"]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        assert [ids(b) for b in pieces.encode(some)] == library.encode(some)
+
+
 def test_unigram_scores_against_all_cuts():
     rng = random.Random(5)
     names = {"".join(rng.choices("▁ab", k=rng.randint(1, 4))) for _ in range(30)} | {"a", "▁"}

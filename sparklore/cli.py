@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .config import Config, DedupePolicy
 from .kb import KnowledgeBase, TopicError
@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("topics")
+    sub.add_parser("init")
     for name in ("read", "delete", "search"):
         sub.add_parser(name).add_argument("words", nargs="+")
     add = sub.add_parser("add")
@@ -27,12 +28,18 @@ def parser() -> argparse.ArgumentParser:
     add.add_argument("--slug")
     add.add_argument("--tags", nargs="*", default=[])
     add.add_argument("--aliases", nargs="*", default=[])
-    sub.add_parser("update").add_argument("words", nargs="+")
+    update = sub.add_parser("update", help="the body from standard input; an empty one is left as it is")
+    update.add_argument("words", nargs="+")
+    for name in ("--title", "--slug"):
+        update.add_argument(name)
+    for name in ("--tags", "--aliases"):
+        update.add_argument(name, nargs="*")
     loop = sub.add_parser("loop").add_subparsers(dest="action", required=True)
     for name in ("run", "start"):
         one = loop.add_parser(name)
-        one.add_argument("--root", nargs="+", required=True, help="log folder, or database files")
+        one.add_argument("--root", nargs="+", required=True, help="log folder; for SQLite logs database files, the projects manifest, or the folder of OpenCode's settings")
         one.add_argument("--responses", required=True, help="Parquet table (context_id, response) of the model's answers")
+        one.add_argument("--directives", help="Parquet table (context_id 0, response) of the model's answer on repeated messages; without it none are mined")
         one.add_argument("--regime")
         one.add_argument("--dry-run", action="store_true")
         one.add_argument("--interval", type=int)
@@ -42,9 +49,19 @@ def parser() -> argparse.ArgumentParser:
 
 def source(config: Config, roots: list[str]):
     reader = PROVIDERS[config.source]
+    if config.source == "crush" and roots[0].endswith(".json"):
+        return reader.of_manifest(roots[0])
+    if config.source == "opencode" and not roots[0].endswith(".db"):
+        return reader.found(*roots)
     return reader(tuple(roots)) if config.source in ("crush", "opencode") else reader(roots[0])
 
 
+def shown(rows: DataFrame) -> None:
+    """Prints every row, a partition at a time."""
+    for row in rows.toLocalIterator():
+        print("\t".join("" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     config = Config.load(args.config, kb_path=args.kb_path)
@@ -52,9 +69,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     kb = KnowledgeBase(spark, config.kb_path)
     try:
         if args.command == "topics":
-            kb.list().show(10_000, False)
+            shown(kb.list())
+        elif args.command == "init":
+            print("made" if kb.init() else "was there")
         elif args.command == "search":
-            kb.search(" ".join(args.words)).show(10_000, False)
+            shown(kb.search(" ".join(args.words)))
         elif args.command == "read":
             print(kb.get(" ".join(args.words)).first()["body"])
         elif args.command == "delete":
@@ -62,8 +81,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.command == "add":
             print(kb.add(args.title, sys.stdin.read(), args.slug, args.tags, args.aliases))
         elif args.command == "update":
-            kb.update(" ".join(args.words), sys.stdin.read())
+            print(kb.update(" ".join(args.words), sys.stdin.read() or None, args.title, args.slug, args.tags, args.aliases))
         elif args.action == "status":
+            print(config.dedupe.summary())
             print(kb.status())
         else:
             return _loop(spark, kb, config, args)
@@ -74,20 +94,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _loop(spark: SparkSession, kb: KnowledgeBase, config: Config, args) -> int:
+    """1 where a session has failed, as its error says; the others' work is kept."""
     from dataclasses import replace
 
     if args.regime:
         config = replace(config, dedupe=DedupePolicy.preset(args.regime))
     logs, model = source(config, args.root), runner.answers(spark.read.parquet(args.responses))
+    synthesize = runner.answers(spark.read.parquet(args.directives)) if args.directives else None
 
-    def once():
-        rows = runner.run_once(spark, logs, kb.store, config, model, dry_run=args.dry_run)
-        matching.outcome_text(rows).select("summary_line").show(10_000, False)
-        return rows
+    def once() -> int:
+        done = runner.run_pass(spark, logs, kb.store, config, model, synthesize, dry_run=args.dry_run)
+        shown(matching.outcome_text(done.outcomes).select("summary_line"))
+        totals = done.totals().first().asDict()
+        print(", ".join(f"{k} {v}" for k, v in totals.items()))
+        for r in done.errors.toLocalIterator():
+            print(f"{r.context_id}: {r.error}", file=sys.stderr)
+        return 0 if done.errors.isEmpty() else 1
 
     if args.action == "run":
-        once()
-        return 0
+        return once()
     runner.start(spark, once, f"{config.kb_path}/stream", args.interval or config.loop.poll_interval_secs).awaitTermination()
     return 0
 

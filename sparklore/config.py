@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field, fields, replace
@@ -80,12 +81,34 @@ class LoopConfig:
     patterns: PatternConfig = field(default_factory=PatternConfig)
 
 
+#: The model taken of a provider, and the environment's name for its key, in the order they are looked for.
+MODELS = {"anthropic": ("claude-sonnet-4-6", "ANTHROPIC_API_KEY"), "openai": ("gpt-4o-mini", "OPENAI_API_KEY"), "gemini": ("gemini-2.0-flash", "GEMINI_API_KEY")}
+
+
 @dataclass(frozen=True)
 class ModelConfig:
+    """Which model the caller's client asks; see ``resolved`` for what is not set."""
+
     provider: str = ""
     model: str = ""
     max_tokens: int = 4096
 
+    def resolved(self, env: dict | None = None) -> ModelConfig:
+        """With the provider whose key ``env`` holds where none is set, and that provider's usual model."""
+        env = os.environ if env is None else env
+        provider = self.provider.strip().lower() or next((p for p, (_, key) in MODELS.items() if env.get(key)), "")
+        if provider and provider not in MODELS:
+            raise ValueError(f"unknown provider {provider!r}; one of {', '.join(MODELS)}")
+        return replace(self, provider=provider, model=self.model or (MODELS[provider][0] if provider else ""))
+
+    def key(self, env: dict | None = None) -> str:
+        """The provider's key; an error where it is not set."""
+        env, provider = os.environ if env is None else env, self.resolved(env).provider
+        value = env.get(MODELS[provider][1], "") if provider else ""
+        if not value:
+            raise ValueError(f"{MODELS[provider][1] if provider else 'a key of ' + ', '.join(MODELS)} is not set")
+        return value
+
 
 @dataclass(frozen=True)
 class Config:
@@ -102,11 +125,51 @@ class Config:
         out = cls()
         if path and Path(path).expanduser().exists():
             out = cls.from_dict(tomllib.loads(Path(path).expanduser().read_text()))
-        named = {"kb_path": env.get("SPARKLORE_KB_PATH"), "source": env.get("SPARKLORE_SOURCE")}
-        named |= {k: v for k, v in given.items() if k in named}
-        out = replace(out, **{k: v for k, v in named.items() if v})
+        out = out.with_env(env)
+        named = {k: v for k, v in given.items() if k in ("kb_path", "source") and v}
+        out = replace(out, **named)
         return replace(out, source=provider_name(out.source), kb_path=os.path.expanduser(out.kb_path))
 
+    def with_env(self, env: dict) -> Config:
+        """With what ``SPARKLORE_*`` variables set: the settings' own names, upper case, those of the parts after the part's."""
+
+        def over(part, prefix: str):
+            changes = {}
+            for f in fields(part):
+                name, held = f"{prefix}{f.name.upper()}", getattr(part, f.name)
+                if hasattr(held, "__dataclass_fields__"):
+                    changes[f.name] = over(held, f"{name}_") if f.name != "dedupe" else held
+                elif env.get(name):
+                    text = env[name]
+                    changes[f.name] = text.strip().lower() in ("1", "true", "yes", "on") if isinstance(held, bool) else type(held)(text)
+            return replace(part, **changes)
+
+        out = over(self, "SPARKLORE_")
+        if regime := env.get("SPARKLORE_REGIME"):
+            out = replace(out, dedupe=DedupePolicy.preset(regime))
+        return out
+
+    def to_toml(self) -> str:
+        """The settings as a file that ``load`` reads back."""
+        rules = self.dedupe
+        tables = {
+            "": {"kb_path": self.kb_path, "source": self.source},
+            "loop": {f.name: getattr(self.loop, f.name) for f in fields(self.loop) if f.name != "patterns"},
+            "loop.patterns": {f.name: getattr(self.loop.patterns, f.name) for f in fields(self.loop.patterns)},
+            "llm": {f.name: getattr(self.llm, f.name) for f in fields(self.llm)},
+            "dedupe": {"regime": rules.regime, "coverage_threshold": rules.coverage_threshold, "tag_overlap_minimum": rules.tag_overlap_minimum, "require_slug_affinity": rules.require_slug_affinity, "title_match_mode": rules.title_mode},
+        }
+        value = lambda v: json.dumps(str(v) if isinstance(v, str) else v)  # noqa: E731  a TOML value of these kinds is one of JSON
+        return "\n".join("\n".join([*([f"[{name}]"] if name else []), *(f"{k} = {value(v)}" for k, v in held.items()), ""]) for name, held in tables.items())
+
+    def write(self, path: str) -> None:
+        """Written beside its place and moved there, so that no half of a file is ever read."""
+        at = Path(path).expanduser()
+        at.parent.mkdir(parents=True, exist_ok=True)
+        made = at.with_name(at.name + ".tmp")
+        made.write_text(self.to_toml())
+        made.replace(at)
+
     @classmethod
     def from_dict(cls, data: dict) -> Config:
         def only(kind, values):

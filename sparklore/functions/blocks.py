@@ -22,14 +22,25 @@ def wrap(target: str, content: str) -> str:
     return f"{begin(target)}\n{content}{'' if content.endswith(chr(10)) else chr(10)}{END}\n"
 
 
-def render(target: str, title: str, topics: int | None = None) -> str:
-    """The block that tells an agent how to use the topics."""
-    lines = [f"## {title}", "", "Solutions to tool errors met before are kept as topics. Look there before running commands:", "", "1. `sparklore topics` lists them.", "2. `sparklore search <words>` finds those on a task.", "3. `sparklore read <topic>` shows one.", ""]
-    if topics is not None:
-        lines.append(f"{topics} topics at the last refresh.")
+#: Fixed value: what the line that lists a block's topics begins with.
+LISTED = "Current topics: "
+
+
+def render(target: str, title: str, topics: list[str] | None = None, shell: bool = True) -> str:
+    """The block that tells an agent how to use the topics; ``shell``: the agent runs commands itself."""
+    steps = "Look there before running commands, with a shell:" if shell else "Ask for what is on your task before commands are run:"
+    lines = [f"## {title}", "", f"Solutions to tool errors met before are kept as topics. {steps}", "", "1. `sparklore topics` lists them.", "2. `sparklore search <words>` finds those on a task.", "3. `sparklore read <topic>` shows one.", ""]
+    if topics:
+        lines.append(LISTED + ", ".join(topics))
     return wrap(target, "\n".join(lines))
 
 
+def topic_count(content: Column) -> Column:
+    """How many topics the block within ``content`` lists; 0 without such a line."""
+    line = F.regexp_extract(content, rf"(?m)^{LISTED}(.*)$", 1)
+    return F.when(F.coalesce(content, F.lit("")).rlike(rf"(?m)^{LISTED}"), F.size(F.split(line, ", "))).otherwise(0)
+
+
 def _pattern(target: str) -> str:
     return rf"(?s)\Q{begin(target)}\E.*?\Q{END}\E\n?"
 

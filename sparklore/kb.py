@@ -19,6 +19,16 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
 
+    def is_initialized(self) -> bool:
+        return bool(self.store.topics.versions())
+
+    def init(self) -> bool:
+        """An empty store, unless there is one; whether it was made."""
+        made = not self.is_initialized()
+        if made:
+            self.store.topics.replace(self.load())
+        return made
+
     def load(self) -> DataFrame:
         return self.store.topics.read()
 
@@ -42,11 +52,11 @@ class KnowledgeBase:
         full = made.withColumns({"projects": F.array().cast("array<string>"), "created": now, "updated": now, "extracted_at": none.cast("timestamp"), "source": F.lit("manual"), "confidence": F.lit("high"), "source_context_id": none.cast("decimal(20,0)")})
         return full.select(*[c.split()[0] for c in schemas.TOPICS.split(", ")])
 
-    def _checked(self, row: DataFrame) -> DataFrame:
+    def _checked(self, row: DataFrame, others: DataFrame | None = None) -> DataFrame:
         error = topics.checked(row).first()["error"]
         if error:
             raise TopicError(f"bad slug: {error}")
-        clash = topics.alias_collisions(row, self.load()).first()
+        clash = topics.alias_collisions(row, self.load() if others is None else others).first()
         if clash:
             raise TopicError(f"alias {clash['alias']!r} belongs to {clash['other_slug']!r}")
         return row
@@ -60,9 +70,18 @@ class KnowledgeBase:
         self.store.topics.replace(topics.upsert(self.load(), row))
         return slug
 
-    def update(self, name: str, body: str) -> None:
-        row = self.get(name).withColumns({"body": F.lit(body), "updated": F.current_timestamp()})
-        self.store.topics.replace(topics.upsert(self.load(), row))
+    def update(self, name: str, body: str | None = None, title: str | None = None, slug: str | None = None, tags=None, aliases=None) -> str:
+        """The topic of that slug or alias with what is given in place of what it had; a new ``slug`` renames it."""
+        row = self.get(name)
+        old = row.first()["slug"]
+        lists = {k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in (("tags", tags), ("aliases", aliases)) if v is not None}
+        row = row.withColumns({k: F.lit(v) for k, v in (("body", body), ("title", title), ("slug", slug)) if v is not None} | lists | {"updated": F.current_timestamp()})
+        others = topics.delete(self.load(), self.spark.createDataFrame([(old,)], "slug string"))
+        new = self._checked(row, others).first()["slug"]
+        if not others.where(F.col("slug") == new).isEmpty():
+            raise TopicError(f"topic {new!r} exists")
+        self.store.topics.replace(topics.upsert(others, row))
+        return new
 
     def upsert(self, rows: DataFrame) -> None:
         """Topics of ``rows`` in place of those of their slugs, or added; one bad slug or alias stops all of it."""
@@ -77,4 +96,5 @@ class KnowledgeBase:
     def status(self) -> dict:
         """Sizes of the state tables."""
         s = self.store
-        return {n: t.read().count() for n, t in (("topics", s.topics), ("processed", s.processed), ("extraction_hashes", s.extracted), ("pattern_hashes", s.patterns))}
+        sizes = {"topics": self.load(), "processed": s.heads(), "extraction_hashes": s.extracted.read().distinct(), "pattern_hashes": s.patterns.read().distinct()}
+        return {n: t.count() for n, t in sizes.items()}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def newest_first(sessions: DataFrame) -> DataFrame:
-    return sessions.orderBy(F.desc("modified"), "session_id")
+    """Newest first, within their container (``place``) where sessions have one."""
+    place = ["place"] if "place" in sessions.columns else []
+    return sessions.orderBy(*place, F.desc("modified"), "session_id")
 
 
 def unprocessed(sessions: DataFrame, state: DataFrame) -> DataFrame:

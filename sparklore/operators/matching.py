@@ -123,9 +123,9 @@ def outcomes(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> D
 def outcome_text(rows: DataFrame) -> DataFrame:
     """``rows`` of ``outcomes`` with ``summary_line``, the line that shows one to a reader."""
     line = (
-        F.when(F.col("outcome") == CREATE, F.format_string("CREATE topic '%s': %s", "topic_hint", "title"))
-        .when(F.col("outcome") == APPEND, F.format_string("APPEND to '%s': %s", "existing_slug", "title"))
-        .otherwise(F.format_string("SKIP '%s' (matches '%s'): already covered", "title", "existing_slug"))
+        F.when(F.col("outcome") == CREATE, F.format_string("new topic %s: %s", "topic_hint", "title"))
+        .when(F.col("outcome") == APPEND, F.format_string("added to %s: %s", "existing_slug", "title"))
+        .otherwise(F.format_string("known from %s: %s", "existing_slug", "title"))
     )
     return rows.withColumn("summary_line", line)
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .matching import APPEND, CREATE, NOOP
 
+#: Fixed value: the heading that insights go under.
 SECTION = "## Key Insights"
+#: What topics made by a pass have as their source.
+SOURCE = "sparklore"
 
 
 def union_exact(first: Column, more: Column) -> Column:
@@ -90,7 +93,7 @@ def merged_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column]
     none = F.array().cast("array<string>")
     new = fresh.select(
         "slug", "title", none.alias("aliases"), "tags", F.when(F.col("project_path").isNull(), none).otherwise(F.array("project_path")).alias("projects"), at.alias("created"), at.alias("updated"), at.alias("extracted_at"),
-        F.lit("healing-loop").alias("source"), F.format_string("%.2f", "confidence").alias("confidence"), context(F.col("pos")).cast("decimal(20,0)").alias("source_context_id"), new_body(F.col("title"), F.col("summary"), F.col("evidence")).alias("body"),
+        F.lit(SOURCE).alias("source"), F.format_string("%.2f", "confidence").alias("confidence"), context(F.col("pos")).cast("decimal(20,0)").alias("source_context_id"), new_body(F.col("title"), F.col("summary"), F.col("evidence")).alias("body"),
     )
     return old.select(*keep).unionByName(new.select(*keep))
 

@@ -136,14 +136,22 @@ def largest(found: DataFrame, most: int) -> DataFrame:
     return found.orderBy(F.desc("n"), F.when(F.col("kind") == INSTRUCTION, 0).otherwise(1), "leader").limit(most)
 
 
+def contexts(found: DataFrame) -> DataFrame:
+    """(context_id): the sessions of clusters with their ``occurrences``, each once."""
+    return found.select(F.explode("occurrences.context_id").alias("context_id")).distinct()
+
+
 def detect(messages: DataFrame, corrected: DataFrame, config: PatternConfig, known: DataFrame) -> DataFrame:
-    """The pass's clusters: repeated instructions and repeated corrections that ``known`` does not hold, largest first."""
+    """The pass's clusters: repeated instructions and repeated corrections that ``known`` does not hold, largest first.
+
+    Both inputs: (idx, context_id, project, text), messages with their tokens.
+    """
     corrected = corrected.withColumn("tokens", X.tokens(F.col("text")))
     said, again = (checkpointed(leaders(m, config.similarity_threshold)) for m in (messages, corrected))
     found = clusters_of(messages, said, INSTRUCTION, config.min_occurrences).unionByName(clusters_of(corrected, again, CORRECTION, max(config.min_occurrences, 2), 2))
     found = checkpointed(largest(novel(found, known), config.max_clusters_per_pass))
     # Messages are gathered for the clusters taken alone (at most max_clusters_per_pass rows): the pass's prompt is one text.
     taken = F.broadcast(found.select("kind", "leader"))
-    rows = [m.select("idx", "context_id", "text").join(of, "idx").withColumn("kind", F.lit(kind)).join(taken, ["kind", "leader"]) for m, of, kind in ((messages, said, INSTRUCTION), (corrected, again, CORRECTION))]
-    listed = rows[0].unionByName(rows[1]).groupBy("kind", "leader").agg(F.array_sort(F.collect_list(F.struct("idx", "context_id", "text"))).alias("occurrences"))
+    rows = [m.select("idx", "context_id", "project", "text").join(of, "idx").withColumn("kind", F.lit(kind)).join(taken, ["kind", "leader"]) for m, of, kind in ((messages, said, INSTRUCTION), (corrected, again, CORRECTION))]
+    listed = rows[0].unionByName(rows[1]).groupBy("kind", "leader").agg(F.array_sort(F.collect_list(F.struct("idx", "context_id", "project", "text"))).alias("occurrences"))
     return largest(found.join(listed, ["kind", "leader"]), config.max_clusters_per_pass)

@@ -10,6 +10,7 @@ from .ordered import running_sum
 
 AGENT_WORDS = ("error", "failed", "fix", "workaround", "instead", "solution")
 USER_WORDS = ("error", "failed", "fix", "not working")
+#: Fixed value: what a transcript over its budget ends with.
 TRUNCATED = "\n[... transcript truncated ...]\n"
 #: What opens each kind of turn.
 PREFIXES = {"tool_result": "[TOOL_RESULT]", "assistant": "[ASSISTANT]", "assistant_turn": "[ASSISTANT]", "system": "[SYSTEM]", "user_input": "[USER]"}

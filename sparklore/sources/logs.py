@@ -1,7 +1,9 @@
 """Session logs of coding agents in files: listings without content, turns by parsing JSON in the engine.
 
-Every reader gives ``sessions`` (context_id, session_id, project, head_turn_id, modified, path) and ``turns``
-(context_id, turn_id, data VARIANT). A session's version is its file size, so any change shows as a new head.
+Every reader gives ``sessions`` (context_id, session_id, project, head_turn_id, modified, path, place) and
+``read``: turns (context_id, turn_id, data VARIANT) and the sessions that could not be read (context_id, error).
+``place`` orders containers of sessions before the time does. A session's version is its file size, so any
+change shows as a new head. Given a few chosen sessions, only their files are opened.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as X
 from ..functions.turns import get_array, get_string, get_true, has
 from ..operators.ordered import running_sum
+from ..shared import checkpointed
 
 V = "variant"
 
@@ -26,7 +30,12 @@ def _listing(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
 
 
 def _sessions(rows: DataFrame, project: Column) -> DataFrame:
-    return rows.select("context_id", "session_id", project.alias("project"), "head_turn_id", "modified", "path")
+    place = F.col("db") if "db" in rows.columns else F.lit(0)
+    return rows.select("context_id", "session_id", project.alias("project"), "head_turn_id", "modified", "path", place.alias("place"))
+
+
+def no_errors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], schemas.ERRORS)
 
 
 def turn(item: str, /, **values: Column) -> Column:
@@ -41,17 +50,29 @@ def numbered(rows: DataFrame) -> DataFrame:
     return kept.select("context_id", (F.col("__before") + 1).cast("long").alias("turn_id"), "data")
 
 
-def _texts(spark: SparkSession, sessions: DataFrame, pattern: str) -> DataFrame:
-    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def _files(spark: SparkSession, sessions: DataFrame, pattern: str, few, **options) -> DataFrame:
+    """(context_id, value, split, seq): what the text reader gives of the sessions' files; ``few`` as in ``read``.
+
+    Names with a glob's characters cannot be listed one by one; with such a one all files of ``pattern`` are read.
+    """
+    paths = sorted({r.path for r in few}) if few is not None else None
+    if paths is None or any(c in p for p in paths for c in "*?[]{}\\"):
+        paths = pattern
+    elif not paths:
+        return sessions.select("context_id", F.lit("").alias("value"), F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("seq")).limit(0)
+    files = spark.read.text(paths, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
     key = lambda c: F.url_decode(F.regexp_replace(F.regexp_replace(c, r"\+", "%2B"), "^file:/+", "/"))
-    return files.withColumn("__key", key(F.col("file"))).join(sessions.select("context_id", key(F.regexp_replace("path", "%(?![0-9A-Fa-f]{2})", "%25")).alias("__key")), "__key").select("context_id", "value")
+    wanted = sessions.select("context_id", key(F.regexp_replace("path", "%(?![0-9A-Fa-f]{2})", "%25")).alias("__key"))
+    return files.withColumn("__key", key(F.col("file"))).join(wanted, "__key").select("context_id", "value", "split", "seq")
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """(context_id, line, entry): the lines that are JSON; others and blank ones are skipped."""
-    rows = texts.select("context_id", F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    rows = rows.withColumn("raw", X.trim_space(F.col("raw"))).where("raw <> ''")
-    return rows.select("context_id", "line", F.try_parse_json("raw").alias("entry")).where("entry is not null")
+def _lines(files: DataFrame) -> DataFrame:
+    """(context_id, split, seq, entry): the lines that are JSON; others and blank ones are skipped.
+
+    Lines are read in splits: their order in a file is that of the splits' starts, then of the rows of a split.
+    """
+    rows = files.withColumn("raw", X.trim_space(F.col("value"))).where("raw <> ''")
+    return rows.select("context_id", "split", "seq", F.try_parse_json("raw").alias("entry")).where("entry is not null")
 
 
 def _exploded(rows: DataFrame, items: Column, at: str, name: str) -> DataFrame:
@@ -72,7 +93,7 @@ def _nonempty(text: Column, data: Column) -> Column:
 
 
 def claude_turns(entries: DataFrame) -> DataFrame:
-    """Turns of ``entries`` (context_id, line, entry): assistant, user and system records with their content blocks."""
+    """Turns of ``entries`` (context_id, split, seq, entry): assistant, user and system records with their content blocks."""
     e, b = F.col("entry"), F.col("block")
     kind = get_string(e, "$.type")
     rows = _exploded(entries, F.when(kind.isin("assistant", "user"), get_array(e, "$.message.content")), "at", "block")
@@ -91,7 +112,7 @@ def claude_turns(entries: DataFrame) -> DataFrame:
         .when((kind == "user") & b.isNull(), _nonempty(flat, turn("user_input", text=flat)))
         .when(kind == "system", _nonempty(system, turn("system", kind=_or(get_string(e, "$.subtype"), "info"), content=system)))
     )
-    return numbered(rows.select("context_id", F.struct("line", "at").alias("place"), data.alias("data")))
+    return numbered(rows.select("context_id", F.struct("split", "seq", "at").alias("place"), data.alias("data")))
 
 
 def codex_turns(entries: DataFrame) -> DataFrame:
@@ -108,7 +129,7 @@ def codex_turns(entries: DataFrame) -> DataFrame:
         .when(kind == "error", turn("system", kind=F.lit("error"), content=_or(get_string(e, "$.data.message"), "unknown error")))
         .when(kind == "response.completed", _nonempty(b_text, turn("assistant", text=b_text)))
     )
-    return numbered(rows.select("context_id", F.struct("line", "at", "sub").alias("place"), data.alias("data")))
+    return numbered(rows.select("context_id", F.struct("split", "seq", "at", "sub").alias("place"), data.alias("data")))
 
 
 def gemini_turns(documents: DataFrame) -> DataFrame:
@@ -124,8 +145,20 @@ def gemini_turns(documents: DataFrame) -> DataFrame:
     return numbered(spoken.unionByName(made).unionByName(done))
 
 
+class LogReader:
+    """A source of sessions. ``read(spark, sessions, few)`` gives their turns, and errors (context_id, error) of those
+    without; ``few`` are collected rows of ``sessions`` where they are of a bounded number: nothing else is opened then.
+    """
+
+    #: Whether the newest sessions are taken before those already processed are left out.
+    limit_first = False
+
+    def turns(self, spark: SparkSession, sessions: DataFrame, few=None) -> DataFrame:
+        return self.read(spark, sessions, few)[0]
+
+
 @dataclass(frozen=True)
-class ClaudeLogs:
+class ClaudeLogs(LogReader):
     """``<root>/<project>/<session>.jsonl``; the project is the folder with hyphens as slashes."""
 
     root: str
@@ -135,39 +168,38 @@ class ClaudeLogs:
         rows = _listing(spark, f"{self.root}/*/*.jsonl", r"\.jsonl")
         return _sessions(rows, F.replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit("-"), F.lit("/")))
 
-    def turns(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
-        return claude_turns(_lines(_texts(spark, sessions, f"{self.root}/*/*.jsonl")))
+    def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
+        return claude_turns(_lines(_files(spark, sessions, f"{self.root}/*/*.jsonl", few, lineSep="\n"))), no_errors(spark)
 
 
 @dataclass(frozen=True)
-class CodexLogs:
+class CodexLogs(LogReader):
     """``<root>/<session>.jsonl``."""
 
     root: str
-    limit_first = False
 
     def sessions(self, spark: SparkSession) -> DataFrame:
         return _sessions(_listing(spark, f"{self.root}/*.jsonl", r"\.jsonl"), F.lit(None).cast("string"))
 
-    def turns(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
-        return codex_turns(_lines(_texts(spark, sessions, f"{self.root}/*.jsonl")))
+    def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
+        return codex_turns(_lines(_files(spark, sessions, f"{self.root}/*.jsonl", few, lineSep="\n"))), no_errors(spark)
 
 
 @dataclass(frozen=True)
-class GeminiLogs:
+class GeminiLogs(LogReader):
     """``<root>/<project>/chats/<session>.json``, each one JSON document."""
 
     root: str
-    limit_first = False
 
     def sessions(self, spark: SparkSession) -> DataFrame:
         return _sessions(_listing(spark, f"{self.root}/*/chats/*.json", r"\.json"), F.lit(None).cast("string"))
 
-    def documents(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
+    def documents(self, spark: SparkSession, sessions: DataFrame, few=None) -> DataFrame:
         """(context_id, entry, error): a document that is no JSON has an error instead of an entry."""
-        rows = _texts(spark, sessions, f"{self.root}/*/chats/*.json")
+        rows = _files(spark, sessions, f"{self.root}/*/chats/*.json", few, wholetext=True)
         entry = F.try_parse_json("value")
         return rows.select("context_id", entry.alias("entry"), F.when(entry.isNull(), "no JSON document").alias("error"))
 
-    def turns(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
-        return gemini_turns(self.documents(spark, sessions).where("error is null"))
+    def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
+        rows = checkpointed(self.documents(spark, sessions, few))
+        return gemini_turns(rows.where("error is null")), rows.where("error is not null").select("context_id", "error")

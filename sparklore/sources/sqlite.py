@@ -1,9 +1,12 @@
-"""Session logs in SQLite files, read by a Python data source: one partition a database, read-only."""
+"""Session logs in SQLite files, read by a Python data source, read-only: partitions are ranges of a database's rows."""
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from dataclasses import dataclass
+from glob import glob
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,32 +15,56 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as X
 from ..functions.turns import get_string, has
-from .logs import _exploded, _json_or_empty, _nonempty, _or, _sessions, numbered, turn
+from ..shared import checkpointed
+from .logs import LogReader, _exploded, _json_or_empty, _nonempty, _or, _sessions, no_errors, numbered, turn
 
 ROWS = 4096
+#: Rows (by their numbers) that one partition reads.
+RANGE = 200_000
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.schema, self.paths, self.statement = schema, options["paths"].split("\n"), options["statement"]
+        self.schema, self.paths = schema, options["paths"].split("\n")
+        self.table, self.columns, self.where, self.ids = options["table"], options["columns"], options.get("where"), options.get("ids")
 
     def partitions(self):
-        return [InputPartition((n, p)) for n, p in enumerate(self.paths) if p]
+        """A database whose row numbers cannot be asked for is one partition, which then says what is wrong with it."""
+        found = []
+        for n, path in enumerate(self.paths):
+            low = high = None
+            if path and not self.ids:
+                try:
+                    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+                except sqlite3.Error:
+                    pass
+            cuts = range(low, high + 1, RANGE) if low is not None else (None,)
+            found += [InputPartition((n, path, cut)) for cut in cuts if path]
+        return found
 
     def read(self, partition):
+        """The rows, then one of nulls and an error if reading has failed, so that no half is taken for all."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        n, path = partition.value
+        n, path, cut = partition.value
         schema = to_arrow_schema(self.schema)
+        wheres, given = [self.where] if self.where else [], []
+        if self.ids:
+            given.append(self.ids)  # stands for the one ? of ``where``
+        if cut is not None:
+            wheres.append("rowid BETWEEN ? AND ?")
+            given += [cut, cut + RANGE - 1]
+        statement = f"SELECT {self.columns} FROM {self.table}" + (" WHERE " + " AND ".join(f"({w})" for w in wheres) if wheres else "")
+        kinds = [f.type for f in list(schema)[1:-1]]
         try:
             with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                cursor = db.execute(self.statement)
+                cursor = db.execute(statement, given)
                 while rows := cursor.fetchmany(ROWS):
-                    columns = list(zip(*rows))
-                    values = [pa.array([n] * len(rows), pa.int32()), *[pa.array([_as(v, f.type) for v in c], f.type) for c, f in zip(columns, list(schema)[1:])]]
-                    yield pa.RecordBatch.from_arrays(values, schema=schema)
-        except sqlite3.Error:  # a database that is not there, locked or without the table has no sessions
-            return
+                    values = [pa.array([_as(v, k) for v in c], k) for c, k in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows), pa.int32()), *values, pa.nulls(len(rows), pa.string())], schema=schema)
+        except sqlite3.Error as e:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.nulls(1, k) for k in kinds], pa.array([f"{path}: {e}"])], schema=schema)
 
 
 def _as(value, kind):
@@ -51,7 +78,10 @@ def _as(value, kind):
 
 
 class SqliteSource(DataSource):
-    """Options: ``paths`` (one a line), ``statement``; the schema's first column is the database's number."""
+    """Options: ``paths`` (one a line), ``table``, ``columns``, ``where`` and ``ids`` (a JSON list for its ?).
+
+    The schema's first column is the database's number, its last the error.
+    """
 
     @classmethod
     def name(cls):
@@ -64,30 +94,78 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
-def query(spark: SparkSession, paths: list[str], statement: str, columns: str) -> DataFrame:
+def query(spark: SparkSession, paths, table: str, columns: str, schema: str, where: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """(db, ..., error): ``columns`` of ``table`` in every database of ``paths``."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_logs").schema(f"db int, {columns}").options(paths="\n".join(paths), statement=statement).load()
+    options = {"paths": "\n".join(paths), "table": table, "columns": columns}
+    options |= {k: v for k, v in (("where", where), ("ids", None if ids is None else json.dumps(ids))) if v}
+    return spark.read.format("sqlite_logs").schema(f"db int, {schema}, error string").options(**options).load()
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("context_id", X.context_id(F.col("session_id")))
 
 
+NAMED = "IN (SELECT value FROM json_each(?))"
+
+
 @dataclass(frozen=True)
-class CrushLogs:
-    """``crush.db`` files: sessions with messages, each message a list of parts."""
+class SqliteLogs(LogReader):
+    """Databases in the order in which their sessions are taken; those that cannot be listed have no sessions."""
 
     paths: tuple[str, ...]
-    limit_first = False
+
+    def _listed(self, spark: SparkSession, table: str, columns: str, schema: str, where: str) -> DataFrame:
+        rows = _keyed(query(spark, self.paths, table, columns, schema, where).where("error is null"))
+        return rows.withColumn("path", F.element_at(F.array(*map(F.lit, self.paths)), F.col("db") + 1))
+
+    def _asked(self, few) -> tuple[list[str], list[str] | None]:
+        """The databases to read (others stay as empty names, so that numbers hold), and the sessions to ask them for."""
+        if few is None:
+            return list(self.paths), None
+        used = {r.path for r in few}
+        return [p if p in used else "" for p in self.paths], sorted({r.session_id for r in few})
+
+    def _failed(self, spark: SparkSession, sessions: DataFrame, *tables: DataFrame) -> DataFrame:
+        """(context_id, error) of the sessions in databases that some read has failed on."""
+        failed = tables[0].where("error is not null").select("db", "error")
+        for t in tables[1:]:
+            failed = failed.unionByName(t.where("error is not null").select("db", "error"))
+        failed = failed.groupBy("db").agg(F.min("error").alias("error"))
+        return sessions.select("context_id", F.col("place").alias("db")).join(failed, "db").select("context_id", "error")
+
+
+@dataclass(frozen=True)
+class CrushLogs(SqliteLogs):
+    """``crush.db`` files: sessions with messages, each message a list of parts."""
+
+    @classmethod
+    def of_manifest(cls, path: str) -> CrushLogs:
+        """The databases of ``projects.json`` that exist, in its order."""
+        try:
+            projects = json.loads(Path(path).expanduser().read_text()).get("projects") or []
+        except FileNotFoundError:
+            projects = []
+        found = [Path(p["data_dir"]) / "crush.db" for p in projects if p.get("data_dir")]
+        return cls(tuple(str(p) for p in found if p.exists()))
 
     def sessions(self, spark: SparkSession) -> DataFrame:
-        rows = query(spark, list(self.paths), "SELECT id, title, message_count, updated_at FROM sessions WHERE message_count > 0", "session_id string, title string, n long, updated long")
-        rows = _keyed(rows).withColumn("head_turn_id", F.col("n").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
-        return _sessions(rows.withColumn("path", F.element_at(F.array(*map(F.lit, self.paths)), F.col("db") + 1)), F.col("title"))
+        rows = self._listed(spark, "sessions", "id, title, message_count, updated_at", "session_id string, title string, n long, updated long", "message_count > 0")
+        rows = rows.withColumn("head_turn_id", F.col("n").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
+        return _sessions(rows, F.col("title"))
 
-    def turns(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
-        rows = query(spark, list(self.paths), "SELECT session_id, role, parts, created_at, rowid FROM messages", "session_id string, role string, parts string, created long, row long")
-        return crush_turns(_keyed(rows).join(sessions.select("context_id"), "context_id", "left_semi"))
+    def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
+        paths, ids = self._asked(few)
+        if not any(paths):
+            return crush_turns(_empty(spark, "context_id decimal(20,0), role string, parts string, created long, row long")), no_errors(spark)
+        rows = checkpointed(query(spark, paths, "messages", "session_id, role, parts, created_at, rowid", "session_id string, role string, parts string, created long, row long", ids and f"session_id {NAMED}", ids))
+        errors = self._failed(spark, sessions, rows)
+        wanted = sessions.select("context_id", F.col("place").alias("db")).join(errors, "context_id", "left_anti")
+        return crush_turns(_keyed(rows.where("error is null")).join(wanted, ["context_id", "db"], "left_semi")), errors
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 def crush_turns(messages: DataFrame) -> DataFrame:
@@ -107,22 +185,31 @@ def crush_turns(messages: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class OpenCodeLogs:
+class OpenCodeLogs(SqliteLogs):
     """``opencode.db`` files: sessions that are not archived, messages, and the parts of each message."""
 
-    paths: tuple[str, ...]
-    limit_first = False
+    @classmethod
+    def found(cls, config: str, projects: str = "~/Documents") -> OpenCodeLogs:
+        """The database of the ``config`` folder, then those of the folders below ``projects``, where they exist."""
+        own = Path(config).expanduser() / "opencode.db"
+        return cls((*([str(own)] if own.exists() else []), *sorted(glob(str(Path(projects).expanduser() / "*" / ".opencode" / "opencode.db")))))
 
     def sessions(self, spark: SparkSession) -> DataFrame:
-        rows = query(spark, list(self.paths), "SELECT id, directory, time_updated FROM session WHERE time_archived IS NULL AND time_updated <> 0", "session_id string, directory string, updated long")
-        rows = _keyed(rows).withColumn("head_turn_id", F.col("updated").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
-        return _sessions(rows.withColumn("path", F.element_at(F.array(*map(F.lit, self.paths)), F.col("db") + 1)), F.col("directory"))
-
-    def turns(self, spark: SparkSession, sessions: DataFrame) -> DataFrame:
-        messages = query(spark, list(self.paths), "SELECT id, session_id, data, time_created, rowid FROM message", "id string, session_id string, data string, created long, row long")
-        parts = query(spark, list(self.paths), "SELECT message_id, data, time_created, rowid FROM part", "id string, part string, part_created long, part_row long")
-        wanted = _keyed(messages).join(sessions.select("context_id"), "context_id", "left_semi")
-        return opencode_turns(wanted.join(parts, ["db", "id"]))
+        rows = self._listed(spark, "session", "id, directory, time_updated", "session_id string, directory string, updated long", "time_archived IS NULL AND time_updated <> 0")
+        rows = rows.withColumn("head_turn_id", F.col("updated").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
+        return _sessions(rows, F.col("directory"))
+
+    def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
+        paths, ids = self._asked(few)
+        if not any(paths):
+            return opencode_turns(_empty(spark, "context_id decimal(20,0), data string, created long, row long, part string, part_created long, part_row long")), no_errors(spark)
+        messages = checkpointed(query(spark, paths, "message", "id, session_id, data, time_created, rowid", "id string, session_id string, data string, created long, row long", ids and f"session_id {NAMED}", ids))
+        within = ids and f"message_id IN (SELECT id FROM message WHERE session_id {NAMED})"
+        parts = checkpointed(query(spark, paths, "part", "message_id, data, time_created, rowid", "id string, part string, part_created long, part_row long", within, ids))
+        errors = self._failed(spark, sessions, messages, parts)
+        wanted = sessions.select("context_id", F.col("place").alias("db")).join(errors, "context_id", "left_anti")
+        rows = _keyed(messages.where("error is null").drop("error")).join(wanted, ["context_id", "db"], "left_semi")
+        return opencode_turns(rows.join(parts.where("error is null").drop("error"), ["db", "id"])), errors
 
 
 def opencode_turns(rows: DataFrame) -> DataFrame:

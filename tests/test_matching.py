@@ -86,7 +86,7 @@ def test_creates_of_one_slug_and_appends_in_order(spark, store):
     assert merge.merge_counts(found).first().asDict() == {"topics_created": 1, "topics_updated": 2, "duplicates_skipped": 0}
     assert matching.counts(found).first().asDict() == {"created": 2, "appended": 2, "skipped": 0}
     lines = {r.learning_id: r.summary_line for r in matching.outcome_text(found).collect()}
-    assert lines[1] == "CREATE topic 'New Tool': First" and lines[3] == "APPEND to 'gh-cli': Third title"
+    assert lines[1] == "new topic New Tool: First" and lines[3] == "added to gh-cli: Third title"
 
 
 def test_search_and_lookup(spark, store):

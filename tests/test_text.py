@@ -71,13 +71,13 @@ def test_parse_extractions(spark):
     assert sorted(e.context_id for e in errors.collect()) == [2, 3, 4, 6]
 
 
-def test_prompts():
-    text = R.system_prompt(R.EXTRACT_SYSTEM, "aggressive", ["a", "b"])
-    assert "fine-grained" in text and text.endswith("a, b") and R.system_prompt("x", "balanced") == "x"
+def test_prompts(spark):
+    text = one(spark, R.system_prompt(R.EXTRACT_SYSTEM, "aggressive", F.lit("a, b")))
+    assert "fine-grained" in text and text.endswith(" a, b.") and one(spark, R.system_prompt("x", "balanced")) == one(spark, R.system_prompt("x", None, F.lit(""))) == "x"
 
 
 def test_managed_blocks(spark):
-    block, other = B.render("agent", "Knowledge", 3), B.begin("agent") + " no end"
+    block, other = B.render("agent", "Knowledge", ["one", "two", "three"]), B.begin("agent") + " no end"
     files = spark.createDataFrame([("new", None), ("plain", "text"), ("old", f"a\n\n{B.wrap('agent', 'x')}\nb"), ("twice", block + block), ("open", other), ("same", block)], "path string, content string")
     state = lambda action: {r.path: (r.action, r.content) for r in B.changes(files, "agent", block, action).collect()}
     got = state("install")
@@ -87,3 +87,5 @@ def test_managed_blocks(spark):
     assert {k: v[0] for k, v in got.items()} == {"new": "no_change", "plain": "no_change", "old": "removed", "twice": "error", "open": "error", "same": "file_removed"}
     assert got["old"][1] == "a\n\nb"
     assert {k: v[0] for k, v in state("refresh").items()}["plain"] == "no_change"
+    counts = {r.path: r.n for r in files.select("path", B.topic_count(F.col("content")).alias("n")).collect()}
+    assert counts == {"new": 0, "plain": 0, "old": 0, "twice": 3, "open": 0, "same": 3} and "with a shell" not in B.render("a", "T", shell=False)

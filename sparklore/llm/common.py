@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where it is unset (single-machine tests) a folder of this machine is taken.
+    Where it is unset a folder of this machine is taken if the executors are on it too (``local[...]``);
+    otherwise that is an error, as they would not find what the others wrote.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "sparklore-shared")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -93,7 +97,7 @@ class Remembered:
         return new
 
 
-def slices(texts: list[str], most: int = 4 << 20):
+def slices(texts: list[str], most: int = 1 << 20):
     """``texts`` in turn, as lists of ``most`` characters or a single text at most."""
     at = 0
     while at < len(texts):
@@ -105,7 +109,7 @@ def slices(texts: list[str], most: int = 4 << 20):
         at = end
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Bound what one Arrow batch of whole texts can hold, by rows and by bytes.
 
     These are settings of the session, read when a query runs, so they stay; smaller ones are left alone.
@@ -116,6 +120,14 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

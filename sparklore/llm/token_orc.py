@@ -8,32 +8,55 @@ reader skip stripes and strides, and Spark reads stripes in parallel.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_state
+from .common import Remembered, slices, small_batches, worker_state
 
-#: Text chunks and lower-case words that a worker remembers; at either bound it forgets those.
-CACHED_CHUNKS, CACHED_WORDS = 300_000, 600_000
+#: Text chunks that a worker remembers (see ``Remembered``).
+CACHED = 250_000
 SENTINEL = "\x01"
-#: Precomposed Latin letters, each one letter in lower case too, then full stops and commas.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]*)").fullmatch
+#: Precomposed Latin letters, each one letter in lower case too.
+LETTER = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
+LETTERS = re.compile(LETTER + "+").fullmatch
+#: Full stops and commas between such a letter and a space or the end, which are a token of their own there.
+STOPS = (rf"({LETTER})([.,]+)( |$)", r"\1 \2\3")
+#: How a tokenizer file must part texts for ``ChunkEncoder`` to take them apart at spaces and line ends.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTS = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether the tokenizer of file ``spec`` is lower-casing BPE with word ends that no token reaches over a space in."""
+    steps, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], spec["model"]
+    added = spec.get("added_tokens") or []
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == (PARTS, "Removed", True)
+        and not steps[1].get("add_prefix_space")
+        and (model["type"], model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or re.search(r"\s", t["content"]) for t in added)
+    )
 
 
 class ChunkEncoder:
-    """Encodes texts by their distinct space-separated chunks.
+    """Encodes texts by the distinct chunks that stand between spaces and line ends.
 
-    The tokenizer splits at white space, so a text's ids are its chunks' ids one after the other. A chunk
-    of letters and trailing full stops or commas is the ids of its lower-case letters and of its stops.
-    New letters go to the library many at a time, parted again where a token ends a word; other new
-    chunks are parted by a control character that is one token.
+    The tokenizer parts texts at white space, so a text's ids are its chunks' ids one after the other. Trailing
+    full stops and commas are chunks too, and A-Z are put in lower case first, so that fewer chunks differ.
+    New chunks of letters go to the library many at a time (without the normaliser, which leaves them as they
+    are), parted again where a token ends a word; other new chunks are parted by a control character that is
+    one token. A tokenizer of another kind (see ``parts_at_spaces``) gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -41,58 +64,72 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self._ids([SENTINEL])[0]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        mark = self._ids([SENTINEL])[0]
+        self.by_chunks = parts_at_spaces(spec) and len(mark) == 1
+        if not self.by_chunks:
+            return
+        (self.mark,) = mark
+        spaced = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.of_letters = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": spaced}}))
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.known = Remembered(CACHED)
+        #: Texts with a mark that may join a letter, or with what may be a special token, keep their capitals.
+        self.cased = r"\pM|" + "|".join(re.escape(t["content"][:2]) for t in spec.get("added_tokens") or [{"content": SENTINEL}])
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, names: list[str], sep: str, ends, past: int, into: dict[str, bytes]) -> None:
+    def _cut(self, names: list[str], sep: str, ends, past: int, into: dict[str, bytes], tokenizer=None) -> None:
         """Encode ``names`` joined by ``sep``; ``ends(ids)`` has where each one's ids stop."""
         groups = [names[i : i + 512] for i in range(0, len(names), 512)]
-        for group, ids in zip(groups, self._ids([sep.join(g) for g in groups])):
+        for group, ids in zip(groups, self._ids([sep.join(g).lower() if tokenizer else sep.join(g) for g in groups], tokenizer)):
             flat = np.array(ids, dtype="<u4")
             stops, data, at = ends(flat), flat.tobytes(), 0
             for name, stop in zip(group, stops, strict=True):
                 into[name] = data[4 * at : 4 * stop]
                 at = stop + past
 
-    def learn(self, chunks) -> None:
-        plain, odd, new = [], [], set()
+    def learn(self, chunks: set[str]) -> None:
+        """Make ``known.recent`` have all of ``chunks``."""
+        words, odd, known = [], [], self.known.recent
         for c in chunks:
-            if m := PLAIN(c):
-                word, stops = m.groups()
-                word = word.lower()
-                plain.append((c, word, stops))
-                if word not in self.letters:
-                    new.add(word)
-                if stops not in self.known:
-                    odd.append(stops)
+            if LETTERS(c):
+                words.append(c)
             elif SENTINEL in c:
-                self.known[c] = np.array(self._ids([c])[0], dtype="<u4").tobytes()
+                known[c] = np.array(self._ids([c])[0], dtype="<u4").tobytes()
             else:
                 odd.append(c)
-        self._cut(sorted(new), " ", lambda ids: (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0, self.letters)
-        self._cut(list(dict.fromkeys(odd)), f" {SENTINEL} ", lambda ids: [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1, self.known)
-        for c, word, stops in plain:
-            self.known[c] = self.letters[word] + self.known[stops] if stops else self.letters[word]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {"": b""}
-        if len(self.letters) > CACHED_WORDS:
-            self.letters.clear()
-        known, new = self.known, set()
-        cut = [text.split(" ") for text in texts]
-        for chunks in cut:
-            new.update(chunks)
-        self.learn(new.difference(known))
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        words.sort()
+        self._cut(words, " ", lambda ids: (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0, known, self.of_letters)
+        self._cut(odd, f" {SENTINEL} ", lambda ids: [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1, known)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all their ids in turn (unsigned 32-bit)."""
+        counts, ids = zip(*(self._some(s) for s in slices(texts))) if texts else ((), ())
+        return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, "<u4"), *ids])
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_chunks:
+            whole = [np.array(i, dtype="<u4") for i in self._ids(texts)]
+            return np.array([len(i) for i in whole], np.int64), np.concatenate(whole)
+        spaced = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
+        if not pc.any(pc.match_substring_regex(spaced, self.cased)).as_py():
+            spaced = pc.ascii_lower(spaced)
+        lists = pc.split_pattern(pc.replace_substring_regex(spaced, *STOPS), " ")
+        chunks = lists.flatten().dictionary_encode()
+        which, names = chunks.indices.to_numpy(), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(self.known.missing(set(names)))
+        known = self.known.recent
+        blobs = [known[c] for c in names]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        data, begins, held = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.cumsum(held)
+        ids = data[np.repeat(begins[which] - (ends - held), held) + np.arange(ends[-1])]
+        at = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return np.diff(at), ids
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -104,21 +141,17 @@ def encode_column(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
     def run(batches):
         encoder, start, part = _encoder(tokenizer_path), 0, TaskContext.get().partitionId()
-        tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            blobs = [b + tail for b in encoder.encode(texts)]
-            lengths = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-            ends = np.cumsum(lengths)
-            values = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, values)
-            n = len(blobs)
+            counts, found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            lengths = counts + 1
+            ends, n = np.cumsum(lengths), len(lengths)
+            values = pa.array(np.insert(found, np.cumsum(counts), end_id).view("<i4"))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), ids, pa.array(lengths), pa.array(np.full(n, part, np.int32)), pa.array(start + ends - lengths)],
                 names=[id_col, "ids", "n_tokens", "part", "local_start"],
             )
-            start += int(ends[-1]) if n else 0
+            start += int(lengths.sum())
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, part int, local_start long")

@@ -3,14 +3,13 @@ import zlib
 import numpy as np
 import pytest
 from sparklore.llm.queries import _tokenizer, op2_token_orc
-from sparklore.llm.token_orc import ids_crc32, read_token_orc, write_token_orc
+from sparklore.llm.token_orc import ChunkEncoder, ids_crc32, read_token_orc, write_token_orc
 
 
 def expected(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(_tokenizer("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -47,3 +46,50 @@ def test_id_filter_is_pushed(spark, tmp_path):
     write_token_orc(spark.range(50).selectExpr("id doc_id", "'t' text"), str(tmp_path / "p"), _tokenizer("word_bpe_49k.json"))
     plan = read_token_orc(spark, str(tmp_path / "p")).where("doc_id = 7")._jdf.queryExecution().toString()
     assert "EqualTo(doc_id,7)" in plan
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path, texts = _tokenizer("byte_bpe_50k.json"), ["Two  words", "", " x\n\ny<|endoftext|>"]
+    encoder = ChunkEncoder(path)
+    counts, ids = encoder.encode(texts)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert not encoder.by_chunks and counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    from sparklore.llm import token_orc
+
+    texts = [f"w{i}x Word{chr(97 + i % 26)}{chr(97 + i // 26)}, end.\nnext {chr(97 + i % 7)}" for i in range(300)]
+    counts, ids = ChunkEncoder(_tokenizer("word_bpe_49k.json")).encode(texts)
+    monkeypatch.setattr(token_orc, "CACHED", 10)
+    small = ChunkEncoder(_tokenizer("word_bpe_49k.json"))
+    parts = [small.encode(texts[i : i + 7]) for i in range(0, 300, 7)]
+    assert np.concatenate([p[0] for p in parts]).tolist() == counts.tolist() and np.concatenate([p[1] for p in parts]).tolist() == ids.tolist()
+
+
+def test_written_form_and_skipped_rows(spark, tmp_path):
+    """Run-length encoded ids, a row index and a Bloom filter on the id; a filter reads one stride of one stripe."""
+    rows = spark.range(20_000).selectExpr("id * 2 doc_id", "'some text' text")
+    write_token_orc(rows, str(tmp_path / "p"), _tokenizer("word_bpe_49k.json"), partitions=2, stripe_bytes=20_000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    (part, *_) = sorted((tmp_path / "p").glob("part-*.orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(part)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    footer = reader.rows().readStripeFooter(stripes.get(0))
+    kinds = {(footer.getStreams(i).getColumn(), footer.getStreams(i).getKind().toString()) for i in range(footer.getStreamsCount())}
+    names = [c for c in ("doc_id", "ids")]
+    column = {n: reader.getSchema().findSubtype(n).getId() for n in names}
+    assert (column["doc_id"], "BLOOM_FILTER_UTF8") in kinds and (column["doc_id"], "ROW_INDEX") in kinds and reader.getRowIndexStride() == 1000
+    assert footer.getColumns(column["ids"] + 1).getKind().toString() == "DIRECT_V2"  # the array's items: integer run-length encoding
+    assert not [k for c, k in kinds if c == column["ids"] and k == "BLOOM_FILTER_UTF8"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for wanted, most, found in ((30, 1000, 1), (31, 1000, 0), (10**9, 0, 0)):
+            df = spark.read.orc(str(tmp_path / "p")).where(f"doc_id = {wanted}").select("doc_id")
+            assert len(df.collect()) == found
+            scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+            assert scan.metrics().get("numOutputRows").get().value() <= most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -2,14 +2,18 @@
 
 Similarity is Jaccard on token sets. Candidate pairs share a rare token: tokens are ranked by how many
 messages hold them, and only the first ``n - ceil(t * n) + 1`` of a message's n tokens are indexed, which
-any pair of similarity t or more must have one of in common. A token that very many messages index is
-dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
+any pair of similarity t or more must have one of in common, within the first places that both sizes leave
+for it. With each indexed token goes a signature of the whole set (a bit for each of 1,024 hash values that
+some token has): bits of one that the other lacks are tokens that it lacks, so most pairs are ruled out where
+they meet and never leave the join. Only the rest is compared token by token, as numbers. A token that very many messages
+index is dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PatternConfig
 from ..functions import text as X
@@ -21,6 +25,10 @@ CORRECTIONS = ("no,", "no.", "not that", "i said", "i told you", "i meant", "wro
 INSTRUCTION, CORRECTION = "repeated-instruction", "repeated-correction"
 #: Messages that index one token, of which a tile has so many on average.
 TILE = 512
+#: 64-bit words of a signature.
+WORDS = 16
+#: Links between undecided messages that the driver goes through one by one, instead of further rounds.
+FEW = 100_000
 
 
 def user_messages(turns: DataFrame) -> DataFrame:
@@ -65,43 +73,67 @@ def similar_pairs(messages: DataFrame, threshold: float, tile: int = TILE) -> Da
         raise ValueError("threshold must be over 0")
     sets = messages.select("idx", F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
     sets = checkpointed(sets.groupBy("set").agg(F.min("idx").alias("idx")).select("idx", "set"))
-    postings = sets.select("idx", F.size("set").alias("n"), F.explode("set").alias("token"))
-    frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = postings.join(frequency, "token").withColumn("rank", F.row_number().over(Window.partitionBy("idx").orderBy("df", "token")))
-    prefix = checkpointed(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "idx", "n"))
+    postings = sets.select("idx", F.explode("set").alias("word"))
+    # Words as numbers: ids are drawn once, in a stored table, so they stand for the words exactly.
+    words = checkpointed(postings.groupBy("word").agg(F.count("*").alias("df")).withColumn("token", F.monotonically_increasing_id()))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))")
+    word = F.pmod(F.shiftright(F.xxhash64("token"), 6), F.lit(WORDS))
+    signature = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
+    ranked = checkpointed(postings.join(words, "word").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *signature))
+    indexed = F.slice("order", 1, F.size("order") - F.ceil(F.size("order") * threshold - 1e-9).cast("int") + 1)
+    prefix = ranked.select("idx", F.size("order").alias("n"), F.posexplode(indexed).alias("at", "o"), *[f"s{w}" for w in range(WORDS)]).withColumn("token", F.col("o.token")).drop("o")
+    prefix = checkpointed(prefix)
     sizes = checkpointed(prefix.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token", F.ceil(F.col("held") / tile).alias("tiles")))
     held = prefix.join(sizes, "token").withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = held.withColumn("other", other).select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "idx", "n")
+    dealt = held.withColumn("other", other).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "tiles")
     a, b = dealt.alias("a"), dealt.alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     once = (F.col("a.mine") != F.col("b.mine")) | (F.col("a.lo") == F.col("a.hi"))
-    fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    pairs = a.join(b, same & (F.col("a.idx") < F.col("b.idx")) & once & fits).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
-    left, right = sets.select(F.col("idx").alias("i"), F.col("set").alias("s")), sets.select(F.col("idx").alias("j"), F.col("set").alias("t"))
+    # Tokens that a pair must share at least, and so the places (from 0) that its first shared token can have.
+    least = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
+    early = (F.col("a.at") <= F.col("a.n") - least) & (F.col("b.at") <= F.col("b.n") - least)
+    lacking = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{w}")))) for w in range(WORDS)), F.lit(0))
+    near = (F.col("a.n") - lacking("a", "b") >= least) & (F.col("b.n") - lacking("b", "a") >= least)
+    pairs = a.join(b, same & (F.col("a.idx") < F.col("b.idx")) & once & early & near).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
+    pairs = pairs.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")  # few bytes, much work
+    left, right = ranked.select(F.col("idx").alias("i"), F.col("order.token").alias("s")), ranked.select(F.col("idx").alias("j"), F.col("order.token").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     checked = pairs.join(left, "i").join(right, "j").withColumn("similarity", shared / (F.size("s") + F.size("t") - shared))
     return checked.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
 
 
-def leaders(messages: DataFrame, threshold: float) -> DataFrame:
+def leaders(messages: DataFrame, threshold: float, few: int = FEW) -> DataFrame:
     """(idx, leader) by leader clustering in order of ``idx``: a message joins its first similar leader, else leads.
 
-    Rounds of the lexicographically first maximal independent set: one without an undecided or leading
-    earlier neighbour leads, one with a leading earlier neighbour follows, the others wait. Copies of a
-    token set follow their first one, which is what going through them one by one gives too.
+    Rounds of the lexicographically first maximal independent set over ``live``, the links among the undecided:
+    one without an earlier neighbour there leads, the neighbours of those follow, the others wait. As soon as few
+    (``few``) links are left among those that wait, they are gone through one by one instead, so the number of
+    rounds does not grow with a long chain. Copies of a token set follow their first one, which is what going
+    through them one by one gives too.
     """
+    messages = checkpointed(messages.select("idx", "tokens"))
     members = classes(messages)
     edges = checkpointed(similar_pairs(messages, threshold).select("i", "j"))
     state = checkpointed(members.select(F.col("rep").alias("idx")).distinct().select("idx", F.lit(None).cast("boolean").alias("leads")))
+    live = edges
     while True:
-        earlier = edges.join(state.select(F.col("idx").alias("i"), F.col("leads").alias("l")), "i")
-        seen = earlier.groupBy(F.col("j").alias("idx")).agg(F.max(F.coalesce("l", F.lit(False)).cast("int")).alias("led"), F.max(F.col("l").isNull().cast("int")).alias("waits"))
-        step = state.join(seen, "idx", "left")
-        verdict = F.when(F.coalesce("led", F.lit(0)) == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)
-        state = checkpointed(step.select("idx", F.coalesce("leads", verdict).alias("leads")))
-        if state.where("leads is null").isEmpty():
+        rest = live.limit(few + 1).collect()
+        if len(rest) <= few:
+            leads: dict = {}
+            for i, j in sorted(rest, key=lambda r: (r.j, r.i)):  # all earlier ones of a message are decided before it
+                leads.setdefault(i, True)
+                leads[j] = leads.get(j, True) and not leads[i]
+            schema = T.StructType([T.StructField("idx", state.schema["idx"].dataType), T.StructField("found", T.BooleanType())])
+            decided = state.sparkSession.createDataFrame(list(leads.items()), schema)
+            state = state.join(decided, "idx", "left").select("idx", F.coalesce("leads", "found", F.lit(True)).alias("leads"))
             break
+        waiting = live.select(F.col("j").alias("idx")).distinct().withColumn("waits", F.lit(True))
+        step = checkpointed(state.join(waiting, "idx", "left").select("idx", F.coalesce("leads", F.when(F.col("waits").isNull(), True)).alias("leads")))
+        led = live.join(step.where("leads").select(F.col("idx").alias("i")), "i").select(F.col("j").alias("idx")).distinct().withColumn("led", F.lit(True))
+        state = checkpointed(step.join(led, "idx", "left").select("idx", F.coalesce("leads", F.when(F.col("led"), False)).alias("leads")))
+        undecided = state.where("leads is null").select("idx")
+        live = checkpointed(live.join(undecided.withColumnRenamed("idx", "i"), "i").join(undecided.withColumnRenamed("idx", "j"), "j").select("i", "j"))
     lead = state.where("leads").select(F.col("idx").alias("i"))
     first = edges.join(lead, "i").groupBy(F.col("j").alias("idx")).agg(F.min("i").alias("first"))
     led = state.join(first, "idx", "left").select(F.col("idx").alias("rep"), F.when(F.col("leads"), F.col("idx")).otherwise(F.col("first")).alias("leader"))

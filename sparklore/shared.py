@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in the session's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in the session's ``spark.checkpoint.dir``; where that is unset, one of this machine if the executors are on it too."""
     context = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "sparklore-shared")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)

@@ -34,7 +34,22 @@ def test_pairs_and_leaders_are_those_of_the_plain_loops(spark, monkeypatch, seed
     got = patterns.similar_pairs(df, threshold, tile).collect()
     assert {(r.i, r.j) for r in got} == want and len(got) == len(want)
     assert {r.idx: r.rep for r in patterns.classes(df).collect()} == rep
-    assert {r.idx: r.leader for r in patterns.leaders(df, threshold).collect()} == sequential(sets, threshold)
+    for few in (patterns.FEW, 5, 0):  # one by one at once, after some rounds, and by rounds alone
+        assert {r.idx: r.leader for r in patterns.leaders(df, threshold, few).collect()} == sequential(sets, threshold)
+
+
+def test_large_sets_and_long_chains(spark):
+    """Sets that fill their signatures, and a chain in which each message is like the one before it alone."""
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(4000)]
+    sets = [set(rng.sample(words, 2500)) for _ in range(6)] + [set(rng.sample(words[:300], 200)) for _ in range(6)]
+    sets += [set(list(sets[0])[:2000]) | {"x"}, set(list(sets[3])[:900])]
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "idx long, tokens array<string>")
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.45}
+    assert {(r.i, r.j) for r in patterns.similar_pairs(df, 0.45).collect()} == want and len(want) > 10
+    chain = [set(map(str, range(i * 3, i * 3 + 9))) for i in range(60)]
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(chain)], "idx long, tokens array<string>")
+    assert {r.idx: r.leader for r in patterns.leaders(df, 0.5).collect()} == sequential(chain, 0.5)
 
 
 def test_threshold_must_be_positive(spark):
@@ -54,7 +69,7 @@ def test_messages_corrections_and_detection(spark):
     assert patterns.user_messages(turns).count() == 7
     found = {(r.context_id, r.turn_id): r.agent_action for r in patterns.corrections(turns).collect()}
     assert found == {(1, 2): "", (2, 2): "I ran npm install.", (3, 2): "I ran npm install."}
-    numbered = lambda df: df.selectExpr("context_id * 10 + turn_id as idx", "*")
+    numbered = lambda df: df.selectExpr("context_id * 10 + turn_id as idx", "string(null) as project", "*")
     none = spark.createDataFrame([], "content_hash string")
     args = numbered(patterns.user_messages(turns)), numbered(patterns.corrections(turns)), PatternConfig()
     got = patterns.detect(*args, none).collect()
@@ -80,6 +95,6 @@ def test_clusters_do_not_gather_their_texts(spark, capsys):
 
 def test_detected_clusters_list_their_messages(spark):
     rows = [(c, 1, f"run make gen before every build {'now' * (c == 2)}") for c in (1, 2, 3)] + [(4, 1, "no, not that at all")]
-    said = spark.createDataFrame(rows, "context_id long, turn_id long, text string").selectExpr("context_id * 10 + turn_id as idx", "*", "split(text, ' ') as tokens")
+    said = spark.createDataFrame(rows, "context_id long, turn_id long, text string").selectExpr("context_id * 10 + turn_id as idx", "string(null) as project", "*", "split(text, ' ') as tokens")
     got = patterns.detect(said, said.where("false"), PatternConfig(), spark.createDataFrame([], "content_hash string")).collect()
     assert [[(o.idx, o.context_id, o.text) for o in r.occurrences] for r in got] == [[(c * 10 + 1, c, t) for c, _, t in rows[:3]]]

@@ -1,8 +1,9 @@
 """Operator 5: quality classifier by positive-unlabelled learning.
 
 Trusted positives are training-fold documents labelled good; everything unlabelled is a mixture of good
-and bad in an unknown share. Where too little is unlabelled, all documents with labels ignored are that mixture. The class prior is estimated from how a first classifier's scores are spread
-in both samples; then a small network minimises the non-negative unbiased risk
+and bad in an unknown share. Where too little is unlabelled, all documents with labels ignored are that
+mixture. The class prior is estimated from how a first classifier's scores are spread in both samples; then
+a small network minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with the logistic loss, so that its output is a probability of being good. Bad labels are never used.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_fold, labelled_ids, sample_by_hash, small_batches, stored
+from .common import fresh, held_out_fold, labelled_ids, sample_by_hash, small_batches, stored
 
 #: Documents that the classifier is fitted on, at most: trusted positives, and unlabelled ones.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -127,6 +128,21 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, hidden: int, s
     return class_prior(*(np.concatenate(s) for s in scores))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk of outputs for both samples, and the direction by each output to step against.
+
+    Where the estimate of the negatives' part is not below 0 that is the gradient; else it is that part's
+    gradient turned round, which steps back from it.
+    """
+    p, u = len(positive), len(unlabelled)
+    called_bad = lambda f: np.logaddexp(0, f).mean()
+    negatives = called_bad(unlabelled) - prior * called_bad(positive)
+    plus, minus = _sigmoid(positive), _sigmoid(unlabelled)
+    rest = np.concatenate([-prior * plus / p, minus / u])
+    value = prior * np.logaddexp(0, -positive).mean() + max(0.0, negatives)
+    return value, np.concatenate([prior * (plus - 1) / p, np.zeros(u)]) + rest if negatives >= 0 else -rest
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 24, steps: int = 300, seed: int = 0) -> tuple[Network, float]:
     """The network of least non-negative risk, and the prior it assumed."""
     if min(len(positive), len(unlabelled)) < 2:
@@ -135,17 +151,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 24, steps: i
     x = np.concatenate([positive, unlabelled])
     np_, nu = len(positive), len(unlabelled)
     net = Network(x, hidden, seed + 1)
-
-    def slope(f):
-        plus, minus = _sigmoid(f[:np_]), _sigmoid(f[np_:])
-        loss = lambda g: np.logaddexp(0, g).mean()  # noqa: E731  of calling a negative
-        d = np.concatenate([prior * (plus - 1) / np_, np.zeros(nu)])
-        negative = np.concatenate([-prior * plus / np_, minus / nu])
-        if loss(f[np_:]) - prior * loss(f[:np_]) >= 0:
-            return d + negative
-        return -negative  # the negative part's estimate is below 0: step back from it
-
-    net.fit(net.scaled(x), slope, steps)
+    net.fit(net.scaled(x), lambda f: risk(f[:np_], f[np_:], prior)[1], steps)
     return net, prior
 
 
@@ -154,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Taken are at most ``positives`` documents labelled 1 in the training folds and at most ``unlabelled``
     documents that have no label and are of those folds too, whole texts each. Where those are fewer than
-    the positives, the sample is drawn from all documents of those folds, labels ignored.
+    the positives, the sample is drawn from all documents of those folds, labels ignored. An id counts once in
+    either sample, by the least of its texts; null texts are empty.
     """
     good = stored(labelled_ids(labels.where("quality = 1"), "quality", positives, "doc_id"), "quality_good")
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & ~held_out_fold("id")).distinct()
@@ -162,18 +169,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if free.count() < min(good.count(), unlabelled):
         free = sample_by_hash(ids, "id", unlabelled)
     both = stored(good.select("id", F.lit(1).alias("y")).union(free.select("id", F.lit(0).alias("y"))), "quality_sample")
-    # The sample has at most positives + unlabelled rows, so it may be broadcast.
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(both), "id")
-    seen = _featured(rows, text_col).collect() if not both.isEmpty() else []
+    # The sample has at most positives + unlabelled ids, so it may be broadcast; of rows that repeat an id one text is taken.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(both), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    seen = _featured(rows, "text").collect() if not both.isEmpty() else []
     x, y = np.array([r.x for r in seen]).reshape(-1, N_FEATURES), np.array([r.y for r in seen])
+    order = np.lexsort(x.T)  # the same model however the rows were dealt
+    x, y = x[order], y[order]
     if not (y == 1).any() or not (y == 0).any():
         return None
     return fit(x[y == 1], x[y == 0])
 
 
 def with_quality(docs: DataFrame, model: tuple[Network, float] | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with ``name``, the probability (0 to 1) that the whole text is good. Without a model: 0.5."""
+    """``docs`` with ``name``, the probability (0 to 1) that the whole text is good. Without a model: 0.5.
+
+    A column of that name is replaced; null texts score as empty ones; empty in, empty out.
+    """
     small_batches(docs.sparkSession)
+    docs = docs.drop(name)
     at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     net = model[0] if model else None
 
@@ -204,8 +217,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def good_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those whose score is under ``threshold``; all of them where no model can be fitted."""
+    """``docs`` without those whose score is under ``threshold``; all of them where no model can be fitted.
+
+    Columns are as they were, whatever their names. Null texts are judged as empty ones, rows that repeat each
+    alike; a null id matters to nothing here. Empty in, empty out.
+    """
     model = train(docs, labels, id_col, text_col)
     if model is None:
         return docs
-    return with_quality(docs, model, text_col, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    mark = fresh(docs, "quality")
+    return with_quality(docs, model, text_col, mark).where(F.col(mark) >= threshold).drop(mark)

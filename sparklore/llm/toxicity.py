@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_fold, labelled_ids, small_batches, stored
+from .common import fresh, held_out_fold, labelled_ids, small_batches, stored
 
 #: Labelled documents that the model is fitted on, and features it can have, at most.
 FITTED, FEATURES = 8000, 4000
@@ -74,34 +74,47 @@ class Model:
 
 def fit(documents: list[tuple[int, list[list[int]]]], n_features: int, steps: int = 300) -> np.ndarray:
     """Weights by Adam on the noisy-or likelihood. ``documents``: (label, features of each sentence that has any)."""
-    y = np.array([d[0] for d in documents], dtype=float)
-    owner = np.array([i for i, d in enumerate(documents) for _ in d[1]], dtype=np.int64)
-    bags = [s for d in documents for s in d[1]]
-    row = np.repeat(np.arange(len(bags)), [len(s) for s in bags]) if bags else np.zeros(0, np.int64)
-    col = np.array([f for s in bags for f in s], dtype=np.int64)
+    bags = Bags(documents, n_features)
     w, m, v = (np.zeros(n_features) for _ in range(3))
     for t in range(1, steps + 1):
-        z = np.clip(CLEAN + np.bincount(row, w[col], len(bags)), -30, 30)
-        amount = np.bincount(owner, np.logaddexp(0, z), len(y)) + 1e-12  # -log of the clean probability
-        p = -np.expm1(-amount)
-        noisy = WRONG + (1 - 2 * WRONG) * p
-        slope = (noisy - y) / (noisy * (1 - noisy)) * (1 - 2 * WRONG) * np.exp(-amount)
-        g = np.bincount(col, (slope[owner] / (1 + np.exp(-z)))[row], n_features) + 0.01 * w
+        g = bags.loss(w)[1]
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
+class Bags:
+    """Labelled documents as bags of sentences, each the features it has."""
+
+    def __init__(self, documents: list[tuple[int, list[list[int]]]], n_features: int):
+        self.n_features, self.y = n_features, np.array([d[0] for d in documents], dtype=float)
+        self.owner = np.array([i for i, d in enumerate(documents) for _ in d[1]], dtype=np.int64)
+        bags = [s for d in documents for s in d[1]]
+        self.size, self.row = len(bags), np.repeat(np.arange(len(bags)), [len(s) for s in bags]) if bags else np.zeros(0, np.int64)
+        self.col = np.array([f for s in bags for f in s], dtype=np.int64)
+
+    def loss(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Minus the log-likelihood of the labels under the noisy-or, a penalty on the weights added, and its gradient."""
+        y, owner = self.y, self.owner
+        z = np.clip(CLEAN + np.bincount(self.row, w[self.col], self.size), -30, 30)
+        amount = np.bincount(owner, np.logaddexp(0, z), len(y)) + 1e-12  # -log of the clean probability
+        noisy = WRONG + (1 - 2 * WRONG) * -np.expm1(-amount)
+        value = -(y * np.log(noisy) + (1 - y) * np.log1p(-noisy)).sum() + 0.005 * (w * w).sum()
+        slope = (noisy - y) / (noisy * (1 - noisy)) * (1 - 2 * WRONG) * np.exp(-amount)
+        return value, np.bincount(self.col, (slope[owner] / (1 + np.exp(-z)))[self.row], self.n_features) + 0.01 * w
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FITTED, features: int = FEATURES) -> Model:
     """Fit on at most ``most`` labelled documents (whole texts) of the training folds by ``labels`` (doc_id, toxic).
 
     Features are words and word beginnings that lean to toxic documents the most. Without labels of both
-    kinds nothing is toxic.
+    kinds nothing is toxic. An id counts once, by the least of its texts; null texts are empty.
     """
     ids = stored(labelled_ids(labels, "toxic", most), "toxicity_sample")
-    # The sample has at most ``most`` rows, so it may be broadcast.
-    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id"), "toxicity_texts")
+    # The sample has at most ``most`` ids, so it may be broadcast; of rows that repeat an id one text is taken.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = stored(texts.select("id", "text", "y"), "toxicity_texts")
     n1, n0 = (sample.where(F.col("y") == k).count() for k in (1, 0))
     if not n1 or not n0:
         return Model({})
@@ -134,9 +147,11 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", name: s
     """``docs`` with ``name``, the probability that the whole text is toxic.
 
     ``located`` names a further column: start, end (characters, end excluded) and probability of the
-    sentences with a probability of at least ``sure``.
+    sentences with a probability of at least ``sure``. Columns of those names are replaced. Null texts are
+    empty and score 0; empty in, empty out.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop(name, *([located] if located else []))
     at, fields = docs.columns.index(text_col), [*docs.schema.fields, T.StructField(name, T.DoubleType())]
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     if located:
@@ -167,5 +182,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def clean_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those whose score is ``threshold`` or more."""
-    return with_toxicity(docs, train(docs, labels, id_col, text_col), text_col, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """``docs`` without those whose score is ``threshold`` or more.
+
+    Columns are as they were, whatever their names. Null and wordless texts stay, rows that repeat are judged
+    each alike; a null id matters to nothing here. Empty in, empty out.
+    """
+    mark = fresh(docs, "toxicity")
+    return with_toxicity(docs, train(docs, labels, id_col, text_col), text_col, mark).where(F.col(mark) < threshold).drop(mark)

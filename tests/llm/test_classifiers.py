@@ -2,9 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
-from sparklore.llm.quality import class_prior, estimated_prior, features, fit, good_only, quality_scores
+from sparklore.llm.quality import class_prior, estimated_prior, features, fit, good_only, quality_scores, risk
 from sparklore.llm.queries import op5_quality, op6_toxicity
-from sparklore.llm.toxicity import clean_only, sentences, toxicity_scores, train
+from sparklore.llm.toxicity import Bags, clean_only, sentences, toxicity_scores, train
 
 SCHEMA = "doc_id long, text string, score string, predicted string"
 
@@ -34,6 +34,44 @@ def test_prior_and_risk_on_a_known_mixture():
     assert (net.score(good[2700:]) >= 0.5).mean() > 0.97 and (net.score(bad[800:]) < 0.5).mean() > 0.97
 
 
+def numeric(f, x, step=1e-5):
+    return np.array([(f(x + step * e) - f(x - step * e)) / (2 * step) for e in np.eye(len(x))])
+
+
+def test_quality_risk_and_its_gradient():
+    """The risk by its definition, one document at a time, and its slope against small steps."""
+    rng = np.random.default_rng(4)
+    sigmoid = lambda t: 1 / (1 + np.exp(-t))
+    for shift, prior, clipped in ((-1.0, 0.3, False), (0.0, 0.4, False), (3.0, 0.95, True)):
+        p, u = rng.normal(shift, 1, 7), rng.normal(0 if not clipped else -3, 1, 11)
+        good = sum(-np.log(sigmoid(x)) for x in p) / 7
+        bad_p, bad_u = sum(-np.log(1 - sigmoid(x)) for x in p) / 7, sum(-np.log(1 - sigmoid(x)) for x in u) / 11
+        value, slope = risk(p, u, prior)
+        assert abs(value - (prior * good + max(0, bad_u - prior * bad_p))) < 1e-9 and (bad_u < prior * bad_p) == clipped
+        both = np.concatenate([p, u])
+        if not clipped:
+            assert np.allclose(slope, numeric(lambda x: risk(x[:7], x[7:], prior)[0], both), atol=1e-6)
+        else:  # the negatives' part is stepped back from
+            part = lambda x: np.logaddexp(0, x[7:]).mean() - prior * np.logaddexp(0, x[:7]).mean()
+            assert np.allclose(slope, -numeric(part, both), atol=1e-6)
+
+
+def test_toxicity_likelihood_and_its_gradient():
+    """The noisy-or likelihood sentence by sentence, and its slope against small steps."""
+    from sparklore.llm.toxicity import CLEAN, WRONG
+
+    rng = np.random.default_rng(2)
+    documents = [(int(rng.integers(2)), [sorted(set(rng.integers(0, 5, rng.integers(1, 4)).tolist())) for _ in range(rng.integers(0, 4))]) for _ in range(30)]
+    w, bags = rng.normal(6, 3, 5), Bags(documents, 5)
+    total = 0.005 * (w * w).sum()
+    for y, sentences_ in documents:
+        clean = np.prod([1 - 1 / (1 + np.exp(-(CLEAN + sum(w[f] for f in s)))) for s in sentences_])
+        p = WRONG + (1 - 2 * WRONG) * (1 - clean)
+        total -= np.log(p if y else 1 - p)
+    assert abs(bags.loss(w)[0] - total) < 1e-6
+    assert np.allclose(bags.loss(w)[1], numeric(lambda x: bags.loss(x)[0], w), atol=1e-4)
+
+
 def test_features_are_finite():
     for text in ["", " ", "\n\n", "\x00", "🙂" * 10, "w " * 100_000]:
         assert np.isfinite(features(text)).all()
@@ -93,5 +131,14 @@ def test_toxicity_edges_and_sentences(world):
     assert train(docs, labels).weights == train(docs.repartition(3), labels.repartition(2)).weights
 
 
+def test_names_that_clash_and_ids_that_repeat(world):
+    docs, labels = world
+    many = docs.unionByName(docs.where("doc_id = 1")).withColumnsRenamed({"score": "quality", "predicted": "Toxicity"})
+    for f in (good_only, clean_only):
+        kept = f(many, labels)
+        assert kept.columns == many.columns and kept.where("doc_id = 1").count() in (0, 2)
+    assert f(many.limit(0), labels).count() == 0
+
+
 def test_sentences():
     assert sentences("A b. c!\n\n?D") == [(0, 3, ["a", "b"]), (4, 6, ["c"]), (10, 11, ["d"])]

@@ -19,6 +19,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Labelled URLs that the trees are fitted on, at most.
 FITTED = 20_000
 TREES, DEPTH = 10, 4
+#: Parts that URLs are dealt to; the statistics of a URL's suffix and site are those of the other parts.
+FOLDS = 5
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "vowels", "entropy", "parameters", "query_length", "fragment", "secure", "dotted_end")
 SUFFIX = ("suffix_urls", "suffix_blocked", "suffix_allowed", "site_urls", "site_blocked", "site_allowed")
 
@@ -57,20 +59,58 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
-def with_suffix_statistics(rows: DataFrame) -> DataFrame:
-    """``rows`` (host, verdict of the rule or null) with counts of the host's last label and last two labels.
+def fold_of(url: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit("fold")), F.lit(folds)).cast("int")
 
-    Shares are of all URLs with that suffix: how many the rules block, how many they allow.
+
+def with_suffix_statistics(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """``rows`` (url, host, verdict of the rule or null) with counts of the host's last label and last two labels.
+
+    Counts and shares (how many the rules block, how many they allow) are of the URLs with that suffix in the
+    other ``folds``: no URL's own verdict, nor that of one equal to it, is among what it is judged by.
     """
     blocked, allowed = (F.coalesce((F.col("verdict") == v).cast("int"), F.lit(0)) for v in ("block", "allow"))
     keys = {"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -2)}
-    keyed = rows
+    keyed = rows.withColumn("__fold", fold_of(F.col("url"), folds))
+    rows = keyed
     for kind, key in keys.items():
-        stats = keyed.groupBy(key.alias(f"__{kind}")).agg(F.count("*").alias("n"), F.sum(blocked).alias("b"), F.sum(allowed).alias("a"))
-        stats = stats.select(f"__{kind}", F.log1p("n").alias(f"{kind}_urls"), (F.col("b") / F.col("n")).alias(f"{kind}_blocked"), (F.col("a") / F.col("n")).alias(f"{kind}_allowed"))
+        of = lambda value: [F.sum(value)] + [F.sum(F.when(F.col("__fold") == k, value).otherwise(0)) for k in range(folds)]
+        stats = keyed.groupBy(key.alias(f"__{kind}")).agg(*[c.alias(f"__{name}{i}") for name, value in (("n", F.lit(1)), ("b", blocked), ("a", allowed)) for i, c in enumerate(of(value))])
+        others = lambda name: F.array(*[F.col(f"__{name}0") - F.col(f"__{name}{k + 1}") for k in range(folds)]).alias(f"__{name}")
         # One row a suffix or site, of any number: Spark broadcasts the table by its size or splits the hot keys' rows.
-        rows = rows.withColumn(f"__{kind}", key).join(stored(stats, f"url_{kind}"), f"__{kind}").drop(f"__{kind}")
-    return rows
+        rows = rows.withColumn(f"__{kind}", key).join(stored(stats.select(f"__{kind}", others("n"), others("b"), others("a")), f"url_{kind}"), f"__{kind}").drop(f"__{kind}")
+        n, b, a = (F.col(f"__{name}")[F.col("__fold")] for name in "nba")
+        share = lambda x, n=n: F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(0.0))
+        rows = rows.withColumns({f"{kind}_urls": F.log1p(n), f"{kind}_blocked": share(b), f"{kind}_allowed": share(a)}).drop("__n", "__b", "__a")
+    return rows.drop("__fold")
+
+
+def fitted_trees(sample: DataFrame):
+    """Gradient-boosted trees on ``sample`` (features, label), or None where it has not both labels."""
+    kinds = sample.agg(F.min("label"), F.max("label")).first()
+    return None if kinds[0] == kinds[1] else GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(sample)
+
+
+def described(pages: DataFrame, id_col: str, url_col: str, rules=RULES) -> DataFrame:
+    """(id, url, host, path, rule, verdict, features) of every row of ``pages``, from a stored table."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
+    rows = stored(with_features(with_suffix_statistics(rows)), "url_features")
+    return VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features", handleInvalid="keep").transform(rows)
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("verdict is not null").select("url", (F.col("verdict") == "block").cast("double").alias("label"), "features")
+
+
+def held_out_accuracy(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, fitted: int = FITTED) -> tuple[int, float, float]:
+    """(URLs, share judged as their rule does, share of the more frequent verdict) of the labelled URLs of one fold, by trees fitted on the others."""
+    rows = labelled(described(pages, id_col, url_col, rules))
+    aside = fold_of(F.col("url")) == 0
+    model = fitted_trees(stored(sample_by_hash(rows.where(~aside), "url", fitted).select("features", "label"), "url_sample"))
+    judged = (rows.where(aside) if model is None else model.transform(rows.where(aside))).withColumn("right", F.lit(0.0) if model is None else (F.col("prediction") == F.col("label")).cast("double"))
+    n, right, blocked = judged.agg(F.count("*"), F.avg("right"), F.avg("label")).first()
+    return n, right or 0.0, max(blocked or 0.0, 1 - (blocked or 0.0))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, fitted: int = FITTED) -> DataFrame:
@@ -83,19 +123,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     allowed, with a null score. Rows that repeat are judged each; other columns are ignored.
     """
     shared_dir(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
-    rows = stored(with_features(with_suffix_statistics(rows)), "url_features")
-    assembled = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features", handleInvalid="keep").transform(rows)
-    labelled = assembled.where("verdict is not null").select("url", (F.col("verdict") == "block").cast("double").alias("label"), "features")
-    sample = stored(sample_by_hash(labelled, "url", fitted).select("features", "label"), "url_sample")
-    kinds = sample.agg(F.min("label"), F.max("label")).first()
-    if kinds[0] == kinds[1]:
+    rows = described(pages, id_col, url_col, rules)
+    model = fitted_trees(stored(sample_by_hash(labelled(rows), "url", fitted).select("features", "label"), "url_sample"))
+    if model is None:
         scored = rows.withColumn("score", F.lit(None).cast("double"))
     else:
         from pyspark.ml.functions import vector_to_array
 
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(sample)
-        scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from sparklore.llm.html_text import host_of
 from sparklore.llm.queries import op10_url_filter
-from sparklore.llm.url_filter import RULES, judge, path_of, with_features, with_suffix_statistics
+from sparklore.llm.url_filter import FOLDS, RULES, fold_of, held_out_accuracy, judge, path_of, with_features, with_suffix_statistics
 
 
 def parts(url):
@@ -41,11 +41,18 @@ def test_rules_and_parts(spark):
     assert {r.verdict for r in none} == {"allow"} and {r.score for r in none} == {None}
 
 
-def test_entropy(spark):
+def test_features_against_plain_python(spark):
     df = spark.createDataFrame([(u,) for u in URLS], "url string")
     for r in with_features(df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})).collect():
-        n = len(r.url or "")
-        assert abs(r.entropy + sum(c / n * math.log2(c / n) for c in Counter(r.url or "").values())) < 1e-9
+        u, (host, path), n = r.url or "", parts(r.url), max(1, len(r.url or ""))
+        m = re.match(r"[^?#]*\?([^#]*)", u)
+        query = m.group(1) if m else ""
+        want = {
+            "url_length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": host.count("."), "digits": len(re.findall("[0-9]", u)) / n,
+            "host_digits": len(re.findall("[0-9]", host)), "hyphens": host.count("-"), "vowels": len(re.findall("[aeiou]", host)) / max(1, len(host)), "parameters": query.count("="), "query_length": len(query),
+            "fragment": "#" in u, "secure": u.lower().startswith("https:"), "dotted_end": bool(re.search(r"\.[a-z]+\Z", path)), "entropy": -sum(c / n * math.log2(c / n) for c in Counter(u).values()),
+        }
+        assert all(abs(r[k] - v) < 1e-9 for k, v in want.items()), (u, {k: (r[k], v) for k, v in want.items()})
 
 
 def test_trees_learn_the_rules(spark):
@@ -58,17 +65,22 @@ def test_trees_learn_the_rules(spark):
     assert all(r.verdict == ("block" if r.score >= 0.5 else "allow") for r in rows if not r.rule)
 
 
-def test_every_suffix_and_site_has_its_own_statistics(spark):
-    rows = [(f"h{k}.site{i}.t{i % 1500}", ("block", "allow", None)[(i + k * (i % 2)) % 3]) for i in range(3000) for k in range(1 + i % 3)] + [("", None)]
-    got = with_suffix_statistics(spark.createDataFrame(rows, "host string, verdict string")).collect()
-    assert len(got) == len(rows)
+def test_statistics_are_of_the_other_folds(spark):
+    rows = [(f"http://h{k}.site{i}.t{i % 1500}/{i}", f"h{k}.site{i}.t{i % 1500}", ("block", "allow", None)[(i + k * (i % 2)) % 3]) for i in range(3000) for k in range(1 + i % 3)] + [(None, "", None)] * 2
+    df = spark.createDataFrame(rows, "url string, host string, verdict string")
+    got = with_suffix_statistics(df).withColumn("fold", fold_of(F.col("url"))).collect()
+    assert len(got) == len(rows) and {r.fold for r in got} == set(range(FOLDS))
     for kind, labels in (("suffix", 1), ("site", 2)):
-        n, b, a = Counter(), Counter(), Counter()
-        for host, verdict in rows:
-            key = ".".join(host.split(".")[-labels:])
-            n[key] += 1
-            b[key] += verdict == "block"
-            a[key] += verdict == "allow"
+        seen = {}
+        for r in got:
+            seen.setdefault(".".join(r.host.split(".")[-labels:]), []).append((r.fold, r.verdict))
         for r in got:
-            key = ".".join(r.host.split(".")[-labels:])
-            assert abs(r[f"{kind}_urls"] - math.log1p(n[key])) < 1e-9 and (r[f"{kind}_blocked"], r[f"{kind}_allowed"]) == (b[key] / n[key], a[key] / n[key])
+            others = [v for fold, v in seen[".".join(r.host.split(".")[-labels:])] if fold != r.fold]
+            shares = [others.count(v) / len(others) if others else 0.0 for v in ("block", "allow")]
+            assert abs(r[f"{kind}_urls"] - math.log1p(len(others))) < 1e-9 and [r[f"{kind}_blocked"], r[f"{kind}_allowed"]] == shares
+
+
+def test_accuracy_on_urls_set_aside(spark):
+    n, right, usual = held_out_accuracy(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    print(f"held out: {n} labelled URLs, {right:.3f} judged as their rule does, {usual:.3f} have the more frequent verdict")
+    assert n > 100 and right > max(0.8, usual)

@@ -192,8 +192,9 @@ def _as_lists(blobs: list[bytes]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "ids", bpe: bool = True) -> DataFrame:
-    """``docs`` with ``name`` (array<int>), the ids of the whole text; null and empty texts have none."""
+    """``docs`` with ``name`` (array<int>, replaced if there), the ids of the whole text; null and empty texts have none."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(name)
     at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -206,7 +207,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", name: str =
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``rows`` with ``name``, the text of ``ids_col``; null ids give null."""
+    """``rows`` with ``name`` (replaced if there), the text of ``ids_col``; null ids give null, empty ones an empty text."""
+    rows = rows.drop(name)
     at, schema = rows.columns.index(ids_col), T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import fresh, small_batches, stored
 from .components import connected_components
 
 THRESHOLD = 4
@@ -49,8 +49,9 @@ def fingerprint(data: bytes, width: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
-    """``docs`` with a long column ``name``, the fingerprint of the whole text. Null and wordless texts: 0."""
+    """``docs`` with a long column ``name`` (replaced if there), the fingerprint of the whole text. Null and wordless texts: 0."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
@@ -210,7 +211,11 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", threshold: int =
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of ``docs``; the fingerprint as 16 hexadecimal digits."""
+    """(id, fingerprint, component_id) for every row of ``docs``; the fingerprint as 16 hexadecimal digits.
+
+    Null and wordless texts have fingerprint 0, which links like any other. Null ids and rows that repeat keep
+    their rows (see ``near_duplicates``). Other columns are ignored; empty in, empty out.
+    """
     prints = stored(with_fingerprint(docs.select(id_col, text_col), text_col).select(id_col, "fingerprint"), "simhash_prints")
     groups = stored(near_duplicates(prints, id_col, threshold), "simhash_groups")
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -218,13 +223,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the row of the smallest id of each group alone; of rows that repeat it, one."""
-    mark = "__simhash"
+    """``docs`` with the row of the smallest id of each group alone; of rows that repeat it, one.
+
+    Null ids are larger than any other: a group of them alone keeps one row. Null and wordless texts are one
+    group. Columns are as they were, whatever their names. Empty in, empty out.
+    """
+    mark = fresh(docs, "simhash")
     marked = stored(with_fingerprint(docs, text_col, mark), "simhash_marked")
     prints = marked.select(F.col(id_col).alias("id"), F.col(mark).alias("fingerprint"))
     groups = stored(near_duplicates(prints, "id", threshold), "simhash_groups")
     own = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
     best = groups.join(own, "fingerprint").where(F.col("id").eqNullSafe(F.col("component_id")))
-    best = best.groupBy("component").agg(F.min(F.struct("id", "fingerprint")).alias("x")).select(F.col("x.fingerprint").alias(mark), F.col("x.id").alias("__id"))
-    kept = marked.join(best, (marked[mark] == best[mark]) & marked[id_col].eqNullSafe(best["__id"])).drop(best[mark])
-    return kept.dropDuplicates([mark, "__id"]).select(*docs.columns)
+    least = fresh(marked, "least")
+    best = best.groupBy("component").agg(F.min(F.struct("id", "fingerprint")).alias("x")).select(F.col("x.fingerprint").alias(mark), F.col("x.id").alias(least))
+    kept = marked.join(best, (marked[mark] == best[mark]) & marked[id_col].eqNullSafe(best[least])).drop(best[mark])
+    return kept.dropDuplicates([mark, least]).select(*docs.columns)

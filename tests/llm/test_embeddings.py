@@ -1,6 +1,6 @@
 import duckdb
 import numpy as np
-from sparklore.llm.embeddings import embedding_links, quantise
+from sparklore.llm.embeddings import close_links, embedding_links, quantise, sure_links, unit_vectors
 from sparklore.llm.queries import ORACLE_SQL, op8_embeddings
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, n_links string"
@@ -63,6 +63,27 @@ def test_bounds_are_rigorous():
     assert (np.abs(exact - rough) <= bound[:, None] + (1 + bound[:, None]) * bound).all()
 
 
+def test_sure_and_close_links_are_all_links():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3, 24))
+    x = np.concatenate([b + rng.normal(size=(200, 24)) * 0.27 for b in base]) * 10.0 ** rng.integers(-300, 300, (600, 1))
+    u = unit_vectors(x)
+    assert np.allclose(np.linalg.norm(u, axis=1), 1)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.93)) if i < j}
+    sure, doubt = set(), set()
+    for a, b, c, d in sure_links(quantise(u), None, 0.93):
+        sure |= set(zip(a.tolist(), b.tolist()))
+        doubt |= set(zip(c.tolist(), d.tolist()))
+    close = {p for a, b in close_links(x, None, 0.93) for p in zip(a.tolist(), b.tolist())}
+    assert sure <= want and close <= doubt and sure | close == want and len(sure) > 10 and len(close) > 10
+
+
+def test_very_large_and_small_doubles(spark):
+    rows = [(i, [1.0 * s, 2.0 * s, 3.0 * s + t], 1) for i, (s, t) in enumerate([(1e-200, 0.0), (1e250, 0.0), (1.0, 0.01), (1e-200, 1e-199)])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
+
+
 def test_oracle(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")

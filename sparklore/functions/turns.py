@@ -61,3 +61,14 @@ def is_error(data: Column) -> Column:
     code = F.when(F.schema_of_variant(F.try_variant_get(data, "$.exit_code", "variant")) == "BIGINT", F.try_variant_get(data, "$.exit_code", "long"))
     failed = F.coalesce(get_string(data, "$.status").isin("error", "failed"), F.lit(False))
     return get_true(data, "$.tool_result.is_error") | F.coalesce(get_string(data, "$.system.kind") == "error", F.lit(False)) | has(data, "$.error") | failed | F.coalesce(code != 0, F.lit(False))
+
+
+def unsigned(value: Column) -> Column:
+    """A number, or its text, as decimal(20,0); null where it is blank, negative or none."""
+    number = F.nullif(value.cast("string"), F.lit("")).try_cast("decimal(20,0)")
+    return F.when(number >= 0, number)
+
+
+def label(title: Column, client_tag: Column) -> Column:
+    """What a session is shown as: its title, else the tag of the client."""
+    return F.coalesce(title, client_tag)

@@ -48,16 +48,26 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
 
 
+def _own_grams(text: Column) -> Column:
+    """The stretches of three characters of ``text``, or all of a shorter one."""
+    return F.when(F.length(text) < 3, F.array(text)).otherwise(_grams(text, 3))
+
+
 def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """(o, i): where ``text`` of ``outer`` (o, text) holds that of ``inner`` (i, text), which is not empty.
 
-    An equi join: the first three characters of the inner text (or all of a shorter one) are among the
-    outer's stretches of that length.
+    An equi join of ids: of the inner text's stretches of three characters (or all of a shorter text) the one
+    that the fewest outer texts hold must be among theirs. Texts are looked at for the pairs left.
     """
-    keys = F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)])
-    held = outer.select("o", F.col("text").alias("otext"), F.explode(keys).alias("gram"))
-    wanted = inner.where("text <> ''").select("i", F.col("text").alias("itext"), F.substring("text", 1, 3).alias("gram"))
-    return held.join(wanted, "gram").where(F.contains("otext", "itext")).select("o", "i").distinct()
+    inner = inner.where("text <> ''")
+    wanted = checkpointed(inner.select("i", F.explode(_own_grams(F.col("text"))).alias("gram")))
+    held = outer.select("o", F.explode(F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"))
+    held = checkpointed(held.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    pairs = held.join(rarest.select("i", F.col("g.gram").alias("gram")), "gram").select("o", "i")
+    checked = pairs.join(outer.select("o", F.col("text").alias("otext")), "o").join(inner.select("i", F.col("text").alias("itext")), "i")
+    return checked.where(F.contains("otext", "itext")).select("o", "i")
 
 
 def _by_title(rest: DataFrame, names: DataFrame, policy: DedupePolicy) -> DataFrame:
@@ -89,9 +99,9 @@ def match(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> Data
     found = []
 
     def settle(hits, stage, rest):
-        hits = checkpointed(hits.select("learning_id", F.lit(stage).alias("stage"), "slug"))  # used twice from here on
+        hits = checkpointed(hits.select("learning_id", F.lit(stage).alias("stage"), "slug"))
         found.append(hits)
-        return rest.join(hits.select("learning_id"), "learning_id", "left_anti")
+        return checkpointed(rest.join(hits.select("learning_id"), "learning_id", "left_anti"))
 
     rest = settle(keyed.join(names.select("slug"), F.col("hint_slug") == F.col("slug")), 1, keyed)
     alias = topics.select("slug", F.explode("aliases").alias("a")).select("slug", F.lower("a").alias("hint"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
+from .matching import containing
 
 
 def term_score(term: Column) -> Column:
@@ -21,23 +23,27 @@ def search(topics: DataFrame, query: str) -> DataFrame:
     return topics.withColumn("score", score.cast("int")).where("score > 0").orderBy(F.desc("score"), "slug")
 
 
-def search_all(queries: DataFrame, topics: DataFrame, block: int = 500) -> DataFrame:
-    """(query_id, slug, score) for a stated set of queries (query_id, query), taken in blocks of ``block``.
+def _fields(topics: DataFrame) -> DataFrame:
+    """(o, slug, weight, text): what a term may be found in, one row each; repeats of an alias or tag count each."""
+    lower = lambda c, w: F.transform(c, lambda x: F.struct(F.lower(x).alias("text"), F.lit(w).alias("weight")))
+    one = lambda c, w: F.struct(c.alias("text"), F.lit(w).alias("weight"))
+    fields = F.concat(F.array(one(F.col("slug"), 10), one(F.lower("title"), 10), one(F.lower("body"), 2)), lower("aliases", 7), lower("tags", 5))
+    rows = topics.select("slug", F.posexplode(fields).alias("place", "f")).where("f.text is not null")
+    return rows.select(F.struct("slug", "place").alias("o"), "slug", "f.weight", "f.text")
 
-    Each block goes through the topics once, as a constant; the topics are never shuffled or collected.
+
+def search_all(queries: DataFrame, topics: DataFrame) -> DataFrame:
+    """(query_id, slug, score) of every topic that some term of a query (query_id, query) hits.
+
+    Queries and topics may both be many: each distinct term is joined to the fields that hold it, on its rarest
+    stretch of three characters (see ``containing``), and scores are summed by term and topic first.
     """
-    kind = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.select("query_id", X.words(F.lower("query")).alias("terms")).where(F.size("terms") > 0)
-    n = max(1, -(-rows.count() // block))
-    out = topics.select(F.lit(None).cast(kind).alias("query_id"), "slug", F.lit(None).cast("int").alias("score")).limit(0)
-    for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(n)) == b).collect()
-        if part:
-            stated = F.array(*[F.struct(F.lit(r.query_id).cast(kind).alias("query_id"), F.array(*map(F.lit, r.terms)).alias("terms")) for r in part])
-            asked = topics.withColumn("q", F.explode(stated)).withColumns({"query_id": F.col("q.query_id"), "terms": F.col("q.terms")})
-            score = F.aggregate("terms", F.lit(0), lambda a, t: a + term_score(t))
-            out = out.union(asked.withColumn("score", score.cast("int")).where("score > 0").select("query_id", "slug", "score"))
-    return out
+    asked = queries.select("query_id", F.explode(X.words(F.lower("query"))).alias("i")).groupBy("query_id", "i").agg(F.count("*").alias("times"))
+    asked, fields = checkpointed(asked), checkpointed(_fields(topics))
+    hits = containing(fields.select("o", "text"), asked.select("i", F.col("i").alias("text")).distinct())
+    scored = hits.join(fields.select("o", "slug", "weight"), "o").groupBy("i", "slug").agg(F.sum("weight").alias("score"))
+    out = asked.join(scored, "i").groupBy("query_id", "slug").agg(F.sum(F.col("times") * F.col("score")).cast("int").alias("score"))
+    return out.select("query_id", "slug", "score")
 
 
 def tag_vocabulary(topics: DataFrame) -> DataFrame:

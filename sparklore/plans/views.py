@@ -50,7 +50,7 @@ select d.doc_id as learning_id,
   {array}(source, lang, concat('e', cast(d.doc_id % 3 as string))) as evidence,
   case d.doc_id % 3 when 0 then {array}(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)) when 1 then {array}(upper(split_part(p_name, ' ', 2)), p_type) else {array}(lang, source) end as tags,
   case when quality = 1 then 0.9 else 0.5 end as confidence, case when d.doc_id % 2 = 0 then source end as project_path
-from documents d join labels l on d.doc_id = l.doc_id join part p on p.p_partkey = d.doc_id % 200"""
+from (select *, doc_id % (select count(*) from part) as partkey from documents) d left join labels l on d.doc_id = l.doc_id join part p on p.p_partkey = d.partkey"""
 
 RESPONSES = """
 select doc_id as context_id, concat(case doc_id % 6 when 1 then 'Here you are: ' when 2 then '```json' when 3 then 'Note.\n```\n' when 5 then '{{ no' else '' end,

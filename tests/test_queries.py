@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from sparklore.plans.registry import ORACLE_SQL, QUERIES
+from sparklore.plans import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")

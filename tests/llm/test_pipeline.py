@@ -45,3 +45,22 @@ def test_empty_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_rows_and_names(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, ties and columns with the stages' own names."""
+    some = table(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id", "text")
+    odd = [(None, "A null id, and words enough to be a document of its own."), (1000, None), (1001, ""), (1002, " \n "), (1003, "Fine words and more of them. " * 20_000), (1004, "One of two."), (1004, "One of two."), (1004, "Another text with the same id.")]
+    named = ["'q' as quality", "1 as toxicity", "2 as simhash", "cast(null as int) as least", "array(1) as ids", "0.5 as score", "'f' as Fingerprint", "doc_id as id", "3 as y"]
+    docs = stored(some.union(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", *named), "odd")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, sf_dir), name)
+        assert out.columns == docs.columns and set(rows(out)) <= set(rows(docs))
+        if name == "near_duplicates":
+            assert out.where("text is null or trim(text, ' \n') = ''").count() == 1 and out.where("doc_id = 1004 and text = 'One of two.'").count() == 1
+            assert out.where("doc_id is null").count() == 1
+        elif name in ("toxicity", "decontamination"):
+            assert out.where("doc_id >= 1000").count() == 7
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == docs.count() and {len(r.ids) for r in last.where("doc_id in (1000, 1001)").collect()} == {0}

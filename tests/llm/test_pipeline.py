@@ -58,7 +58,7 @@ def test_odd_rows_and_names(spark, sf_dir):
         out = stored(stage(spark, docs, sf_dir), name)
         assert out.columns == docs.columns and set(rows(out)) <= set(rows(docs))
         if name == "near_duplicates":
-            assert out.where("text is null or trim(text, ' \n') = ''").count() == 1 and out.where("doc_id = 1004 and text = 'One of two.'").count() == 1
+            assert sum(not (r.text or "").split() for r in out.collect()) == 1 and out.where("doc_id = 1004 and text = 'One of two.'").count() == 1
             assert out.where("doc_id is null").count() == 1
         elif name in ("toxicity", "decontamination"):
             assert out.where("doc_id >= 1000").count() == 7

@@ -109,7 +109,7 @@ def slices(texts: list[str], most: int = 1 << 20):
         at = end
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 2 << 20) -> None:
     """Bound what one Arrow batch of whole texts can hold, by rows and by bytes.
 
     These are settings of the session, read when a query runs, so they stay; smaller ones are left alone.

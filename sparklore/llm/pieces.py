@@ -226,7 +226,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     Null texts count as empty. A text that itself holds U+2581 decodes to a space in its place, so it is
     not exact. Rows that repeat are encoded each; other columns are ignored; empty in, empty out.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 4 << 20)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -175,7 +175,7 @@ def write_token_orc(
     of texts, the sort spills. ``partitions`` defaults to the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000, 4 << 20)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(id_col, text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     rows = encode_column(dealt.sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)), tokenizer_path, end_id, id_col, text_col)

@@ -78,5 +78,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece, "op10_url_filter": op10_url_filter}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece, "op10_url_filter": op10_url_filter, "op12_token_counts": op12_token_counts}
 ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, hard_negatives, warc
+from . import embeddings, hard_negatives, source_audit, warc
 from .common import scratch_path, table
 
 
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -91,5 +95,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece, "op10_url_filter": op10_url_filter, "op12_token_counts": op12_token_counts, "op13_hard_negatives": op13_hard_negatives}
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_token_orc": op2_token_orc, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_sentencepiece": op9_sentencepiece, "op10_url_filter": op10_url_filter, "op11_source_audit": op11_source_audit, "op12_token_counts": op12_token_counts, "op13_hard_negatives": op13_hard_negatives}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.oracle_sql(), "op8_embeddings": embeddings.ORACLE, "op11_source_audit": source_audit.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -1,8 +1,12 @@
 """Operator 3: main text of HTML pages by consensus host paths.
 
 A page votes for the generalised tag-class path of the innermost container that holds all of its text outside
-links, menus, forms, adverts and the like. Votes are counted per host in Spark; the winning path is
-what the host's pages are extracted with again. A page without that container falls back to its own best.
+links, menus, forms, adverts and the like. Votes are counted per host in Spark; with the winning path the host's
+pages are extracted again. Menus, scripts and the like are known by their tag. Whether a class, id or form says what
+an element is or just describes the layout around the article (``container sidebar-right``, a form around the page)
+is decided when all of a page is known: an element around the host's winning container is kept, one beside it is not,
+and where the page has no such container, one that holds nearly all of the text is. Clean text beyond the winning
+container is kept too.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ CONTAINERS = frozenset("article body center div main section td".split())
 #: Elements that an open paragraph, item or cell ends at.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that are never part of an article.
-DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea dialog menu title input".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside button select textarea dialog menu title input".split())
+CONTROLS = frozenset("button input select textarea".split())
 #: Words for what is not part of an article, in classes, ids and roles.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -46,12 +51,17 @@ NEUTRAL = frozenset(
     "inline inner is item items js label large layout left link links list main message mobile module outer page panel placeholder post posts primary region results right row section secondary site slot small space sticky "
     "submit tab table text the thread title top unit user view widget wide wrap wrapper zone".split()
 )
+#: Of the first, those that also describe the layout around an article, and those that mean little beside a word for content.
+LAYOUT = frozenset("sidebar sidenav aside widget widgets menu menus nav navbar navigation banner masthead toolbar overlay modal popup hidden social share sharing skip search complementary".split())
+SOFT, CONTENT = frozenset("social share sharing skip search hidden".split()), frozenset("article content entry main page post posts results section text".split())
 _MEANT = BOILERPLATE | NEUTRAL
 _WORD = re.compile(r"[^\W_]")
 #: Elements that an article does not stand in: it ends those that were left open.
 MENUS = ("head", "nav", "header", "footer")
 #: Of elements nested deeper than this only the tag is kept, so that work stays in proportion to the page.
 DEEPEST = 512
+#: Characters that a form without an article has at least for each of its controls, if it is more than one to fill in.
+FOR_A_CONTROL = 30
 
 
 class Node(NamedTuple):
@@ -59,11 +69,24 @@ class Node(NamedTuple):
     path: str
     dropped: bool
     rank: int
-    doubtful: int = 0
+    case: int = 0
+
+
+class Case:
+    """An element that may or may not be part of the article.
+
+    ``kind``: "thing" if its name says what it is, "layout" if that may be about the page around, "form", or "doubtful"
+    if its name has other words too. ``around`` is the next such element around it, ``rank`` the container it stands in.
+    """
+
+    __slots__ = ("kind", "around", "rank", "articles", "controls")
+
+    def __init__(self, kind: str, around: int, rank: int):
+        self.kind, self.around, self.rank, self.articles, self.controls = kind, around, rank, 0, 0
 
 
 def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[list[tuple[str, str]], int]:
-    """The classes, ids and roles of the tag whose attributes begin ``at``, and where the tag ends.
+    """The classes, ids, roles and types of the tag whose attributes begin ``at``, and where the tag ends.
 
     A quote that is never closed leaves the tag to end at the next ">". ``unclosed`` collects the kinds of
     quotes that the page has no more of, so that each is looked for in vain but once.
@@ -80,45 +103,49 @@ def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[list[tuple[str,
                 unclosed.add(quote)
                 return found, page.find(">", start) + 1 or len(page)
         name = page[at : m.start()].replace("/", " ").split()[-1:]
-        if name and name[0].lower() in ("class", "id", "role"):
+        if name and name[0].lower() in ("class", "id", "role", "type"):
             found.append((name[0].lower(), page[start:end]))
         at = end + 1 if quote else end
     return found, len(page)
 
 
-def _names(attributes: list[tuple[str, str]]) -> tuple[list[str], bool, bool]:
-    """Classes; whether a class, id or role names boilerplate; whether one has a word for it beside others."""
-    classes, named, doubtful = [], False, False
+def _names(attributes: list[tuple[str, str]]) -> tuple[list[str], str]:
+    """Classes, and the kind of ``Case`` that classes, ids and roles make of an element ("" if none)."""
+    classes, kinds = [], set()
     for kind, value in attributes:
+        if kind == "type":
+            continue
         held = html.unescape(value).split()
         if kind == "class":
             classes += held
         for name in held:
             words = {w.lower() for w in _NAME.findall(name) if len(w) > 1}
-            if not BOILERPLATE.isdisjoint(words):
-                if _MEANT.issuperset(words):
-                    named = True
-                else:
-                    doubtful = True
-    return classes, named, doubtful
+            meant = words & BOILERPLATE
+            if not meant:
+                continue
+            if not _MEANT.issuperset(words) or SOFT.issuperset(meant) and not CONTENT.isdisjoint(words):
+                kinds.add("doubtful")
+            else:
+                kinds.add("layout" if LAYOUT.issuperset(meant) else "thing")
+    return classes, next((k for k in ("thing", "layout", "doubtful") if k in kinds), "")
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
+def blocks(page: str, wanted: str | None = None) -> tuple[list[tuple[int, str, int]], list[Node]]:
     """(rank of the innermost container, text, characters of links) of each text block, and the containers.
 
     A block without a letter or digit outside links is all links. Containers are ranked in page order; a block
     counts for its container and all around it. Inline elements are looked through, so that they may be left
-    open; ends without a beginning are ignored. An element whose name has a word for boilerplate beside others
-    (``share-price``) is dropped if more than half of its text is links.
+    open; ends without a beginning are ignored. What is kept of elements with telling names, and of forms, is
+    decided by ``_kept``, with the host's winning path if it is ``wanted``.
     """
     out: list[tuple[int, str, int]] = []
-    doubts: list[int] = []  # of each block, the innermost doubtful element around it: its rank in
-    doubtful = [0]  # this list, of the rank of the doubtful one around it
+    of: list[int] = []  # of each block, the innermost case around it
+    cases = [Case("", 0, 0)]
     root = Node("", "", False, 0)
     nodes, stack, held, links, worded, in_link, at, n = [root], [root], [], 0, False, 0, 0, len(page)
 
     unclosed: set[str] = set()
-    deep: list[tuple[str, bool, int]] = []  # (tag, dropped, doubtful) of the open elements beyond DEEPEST,
+    deep: list[tuple[str, bool, int]] = []  # (tag, dropped, case) of the open elements beyond DEEPEST,
     opened: Counter[str] = Counter()  # and how many there are of each tag
 
     def flush():
@@ -127,7 +154,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
             if text := " ".join("".join(held).split()):
                 inner = next(s.rank for s in reversed(stack) if s.tag in CONTAINERS or not s.tag)
                 out.append((inner, text, min(links, len(text) - 1) if worded else len(text)))
-                doubts.append(deep[-1][2] if deep else stack[-1].doubtful)
+                of.append(deep[-1][2] if deep else stack[-1].case)
             held, links, worded = [], 0, False
 
     def close(depth):
@@ -176,6 +203,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
             continue
         attributes, at = _attributes(page, at, unclosed)
         tag, ends = m.group(2).lower(), m.group(1) == "/"
+        if tag in CONTROLS and not ends and ("type", "hidden") not in attributes:
+            cases[deep[-1][2] if deep else stack[-1].case].controls += 1
         if tag == "br":
             add(" ")
         elif tag in INLINE:
@@ -217,41 +246,85 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[Node]]:
                     rise(MENUS)
                 if first := next((d for d in range(1, len(stack)) if stack[d].tag in MENUS), None):
                     close(first)
-            classes, named, unsure = _names(attributes)
+            classes, kind = _names(attributes)
             whole = tag in ("body", "html", "article", "main")
-            dropped = hidden() or tag in DROPPED or (tag == "header" and not in_article()) or (named and not whole)
-            doubt = deep[-1][2] if deep else stack[-1].doubtful
-            if unsure and not named and not whole:
-                doubtful.append(doubt)
-                doubt = len(doubtful) - 1
+            dropped = hidden() or tag in DROPPED or (tag == "header" and not in_article())
+            case = deep[-1][2] if deep else stack[-1].case
+            if tag == "form" and kind != "thing":
+                kind = "form"
+            if kind and not whole and not dropped:
+                cases.append(Case(kind, case, next(s.rank for s in reversed(stack) if s.tag in CONTAINERS or not s.tag)))
+                case = len(cases) - 1
+            elif tag in ("article", "main") and not dropped:
+                cases[case].articles += 1
             if len(stack) >= DEEPEST:
-                deep.append((tag, dropped, doubt))
+                deep.append((tag, dropped, case))
                 opened[tag] += 1
                 continue
             path = stack[-1].path
             if tag in CONTAINERS or tag in ("html", "table"):
                 path += "/" + ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
-            node = Node(tag, path, dropped, len(nodes), doubt)
+            node = Node(tag, path, dropped, len(nodes), case)
             stack.append(node)
             if tag in CONTAINERS:
                 nodes.append(node)
     flush()
-    return (_without_link_lists(out, doubts, doubtful) if len(doubtful) > 1 else out), nodes
+    return (_kept(out, of, nodes, cases, wanted) if len(cases) > 1 else out), nodes
 
 
-def _without_link_lists(out: list, doubts: list[int], doubtful: list[int]) -> list:
-    """``out`` without the blocks in doubtful elements whose text is links for more than half."""
-    size, linked = [0] * len(doubtful), [0] * len(doubtful)
-    for (_, text, links), d in zip(out, doubts):
-        size[d] += len(text)
-        linked[d] += links
-    for d in range(len(doubtful) - 1, 0, -1):  # an element comes after those around it
-        size[doubtful[d]] += size[d]
-        linked[doubtful[d]] += linked[d]
-    gone = [False] * len(doubtful)
-    for d in range(1, len(doubtful)):
-        gone[d] = gone[doubtful[d]] or 2 * linked[d] > size[d]
-    return [block for block, d in zip(out, doubts) if not gone[d]]
+def _kept(out: list, of: list[int], nodes: list[Node], cases: list[Case], wanted: str | None) -> list:
+    """``out`` without the blocks in elements that are no part of the article.
+
+    Doubtful elements go if more than half of their text is links, things always. Layout and forms stay if a container
+    at ``wanted`` that has text is in them. Beside such a container they go; elsewhere they stay if they hold four
+    fifths of what may be text around them, or half of it and all articles; forms not if they are to be filled in.
+    A page of which nothing would be left keeps what holds an article.
+    """
+    size, linked, inner = [0] * len(cases), [0] * len(cases), range(len(cases) - 1, 0, -1)  # an element comes after those around it
+    for (_, text, links), c in zip(out, of):
+        size[c] += len(text)
+        linked[c] += links
+    for c in inner:
+        around = cases[c].around
+        size[around] += size[c]
+        linked[around] += linked[c]
+        cases[around].articles += cases[c].articles
+        cases[around].controls += cases[c].controls
+    inside, parents = set(), _parents(nodes) if wanted else {}
+    for n in nodes:
+        if wanted and (n.path == wanted or parents.get(n.rank) in inside):
+            inside.add(n.rank)
+
+    def decided(things: bool) -> list:
+        gone, total, chosen = [False] * len(cases), [0] * len(cases), False
+        for c in range(1, len(cases)):
+            kind = cases[c].kind
+            gone[c] = gone[cases[c].around] or (2 * linked[c] > size[c] if kind == "doubtful" else kind == "thing" and not (things and cases[c].articles))
+        for (rank, text, links), c in zip(out, of):
+            if not gone[c]:
+                total[c] += len(text) - links
+                chosen = chosen or rank in inside and len(text) > links
+        for c in inner:
+            total[cases[c].around] += total[c]
+        around_chosen = set()
+        for n in nodes if chosen else ():
+            c = n.case
+            while n.path == wanted and c and c not in around_chosen:
+                around_chosen.add(c)
+                c = cases[c].around
+        scope = [0] * len(cases)
+        for c in range(1, len(cases)):
+            case, outer = cases[c], scope[cases[c].around]
+            scope[c] = outer if case.kind == "doubtful" else c
+            gone[c] = gone[c] or gone[case.around]
+            if gone[c] or case.kind == "doubtful" or c in around_chosen:
+                continue
+            most = 5 * total[c] >= 4 * total[outer] or (2 * total[c] > total[outer] and 0 < case.articles == cases[outer].articles)
+            if chosen and case.rank not in inside or not total[c] or not most or case.kind == "form" and not case.articles and total[c] < FOR_A_CONTROL * case.controls:
+                gone[c] = True
+        return [block for block, c in zip(out, of) if not gone[c]]
+
+    return decided(False) or (decided(True) if any(c.kind == "thing" and c.articles for c in cases) else [])
 
 
 def _around(nodes: list[Node], held: list[tuple[int, str, int]], spans: dict[int, int]) -> dict[int, int]:
@@ -282,35 +355,43 @@ def _parents(nodes: list[Node]) -> dict[int, int]:
     return parents
 
 
+def _best(held: list[tuple[int, str, int]], nodes: list[Node]) -> tuple[Node | None, int]:
+    """The innermost container around every block that is not links alone, and the characters outside links."""
+    total = _around(nodes, held, _parents(nodes))
+    whole = total.get(0, 0)
+    best = max((n for n in nodes if total.get(n.rank, 0) == whole), key=lambda n: n.path.count("/")) if whole else None
+    return best, whole
+
+
 def best_path(page: str) -> tuple[str, int]:
     """The generalised path of the page's best container, and the characters outside links it holds; "" if none.
 
     It is the innermost one around every block that is no boilerplate, so only what is marked as such, and
     blocks of links alone, can stand outside.
     """
-    held, nodes = blocks(page)
-    total = _around(nodes, held, _parents(nodes))
-    whole = total.get(0, 0)
-    if not whole:
-        return "", 0
-    best = max((n for n in nodes if total.get(n.rank, 0) == whole), key=lambda n: n.path.count("/"))
-    return best.path, total[best.rank]
+    best, chars = _best(*blocks(page))
+    return (best.path, chars) if best else ("", 0)
 
 
 def main_text(page: str | None, path: str | None) -> str:
-    """Blocks in the containers at ``path``, else in the page's own best container, joined by line ends."""
-    held, nodes = blocks(page or "")
+    """Blocks in the containers at ``path``, joined by line ends; in the page's own best one where clean text stands beyond those."""
+    held, nodes = blocks(page or "", path)
+    best, chars = _best(held, nodes)
+    if best is None:
+        return ""
     parents = _parents(nodes)
 
-    def within(wanted: str) -> list[str]:
-        inside = {0} if not wanted else set()
+    def within(wanted: str | None, first: int) -> list[tuple[int, str, int]]:
+        inside = {first}
         for n in nodes:
             if n.path == wanted or parents.get(n.rank) in inside:
                 inside.add(n.rank)
-        return [text for rank, text, _ in held if rank in inside]
+        return [block for block in held if block[0] in inside]
 
-    found = within(path) if path is not None else []
-    return "\n".join(found or within(best_path(page or "")[0]))
+    found = within(path, -1) if path else []
+    if sum(len(text) - links for _, text, links in found) < chars:
+        found = within(None, best.rank)
+    return "\n".join(text for _, text, _ in found)
 
 
 def host_of(url: Column) -> Column:
@@ -320,7 +401,10 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path most pages of the host vote for; of equals, that which holds the most text."""
+    """(host, path): the path most pages of the host vote for; of equals, that which holds the most text.
+
+    Null and empty pages, those without text and those of a null URL or one without a host have no vote; empty in, empty out.
+    """
 
     def vote(batches):
         for batch in batches:

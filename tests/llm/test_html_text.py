@@ -85,7 +85,7 @@ def test_hosts_agree_and_edges(spark):
     got = {}
     for r in extract(pages).collect():
         got.setdefault(r.page_id, []).append(r.text)
-    assert got[3] == ["Short 3."] and got[5] == ["Quite a long stretch of text 5."]
+    assert got[3] == ["Short 3.\nA blurb that is longer than any text here."] and got[5] == ["Quite a long stretch of text 5."]
     assert got[20] == ["x", "x"] and got[21] == [""] and got[None] == [""]
     assert extract(pages.limit(0)).count() == 0
 
@@ -123,6 +123,43 @@ def test_text_around_and_boilerplate_within_deep_nests():
     assert main_text("<body>" + "<div>" * 600 + "<nav><ul><li>" * 30_000 + "<article>Text" + "</b></i></section>" * 30_000, None) == "Text"
 
 
+LAYOUTS = ("wrapper right-sidebar", "container sidebar-right", "layout-sidebar-right", "page-hidden", "nav-fixed", "banner-top", "toolbar-fixed", "main-content widget-area", "post social", "top-menu", "search-results")
+BODY = "<h1>Head</h1><p>First paragraph of the article, rather long.</p><section id='skip-content'><p>Second one.</p></section><div class='social-section'><p>Third one.</p></div>"
+WHOLE = "Head\nFirst paragraph of the article, rather long.\nSecond one.\nThird one."
+
+
+def around(name, body, tag="div"):
+    return f"<html><body><header>Site</header><nav>Menu</nav><div class='cookie-banner'>We use cookies.</div><{tag} {name}>{body}<div class='sidebar'><p>About us.</p></div><aside>Aside</aside></{tag}><footer>foot</footer></body></html>"
+
+
+def test_layout_around_the_page_empties_nothing():
+    for body in (f"<article>{BODY}</article>", f"<main>{BODY}</main>", f"<div class='text'>{BODY}</div>", BODY):
+        for name in LAYOUTS:
+            page = around(f"class='{name}'", body)
+            for path in (None, best_path(page)[0], "/elsewhere"):
+                assert main_text(page, path) == WHOLE, (name, body, path)
+        form = around("id='aspnetForm'", "<input type=hidden name=state><div><input name=q><button>Go</button></div>" + body, "form")
+        assert main_text(form, None) == WHOLE
+        assert main_text(around("class='wrapper right-sidebar'", "<form>" + body + "</form>"), None) == WHOLE
+    log_in = "<body><h1>Site</h1><form class='box'>Log in <p>Name <input><p>Password <input type=password><p><input type=checkbox> Remember me <button>Go</button></form></body>"
+    assert main_text(log_in, None) == "Site"
+    assert main_text("<body><div class=comments><p>Only comments here, many of them.</p></div><div class=cookie-notice>Cookies</div></body>", None) == ""
+    assert main_text(f"<body><div class='comments'><article>{BODY}</article></div></body>", None) == WHOLE
+
+
+def test_layout_names_are_judged_by_where_the_host_has_its_text(spark):
+    """A page whose side bar is longer than its text, and pages of a host with all of their text in such an element."""
+    side = lambda i: "Words of the side bar. " * (30 if i == 3 else 1)
+    beside = [f"<body><div class='entry'><p>Text of page {i}.</p></div><div class='sidebar'><p>{side(i)}</p></div></body>" for i in range(6)]
+    within = [f"<body><p>{'A title, set apart and long. ' * (9 if i == 2 else 0)}</p><div class='container sidebar-right'><div><p>{'Text of the page. ' * 9}</p></div></div></body>" for i in range(6)]
+    rows = [(i, f"http://{host}.example/{i}", page) for host, all_ in (("a", beside), ("b", within)) for i, page in enumerate(all_)]
+    got = {r.url: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[f"http://a.example/{i}"] == f"Text of page {i}."
+        title = ("A title, set apart and long. " * 9).strip() + "\n" if i == 2 else ""
+        assert got[f"http://b.example/{i}"] == title + ("Text of the page. " * 9).strip()
+
+
 def test_names_that_only_hold_such_a_word():
     page = (
         '<body><article><p class="share-price">Shares rose.</p><p id="notice-period">A month.</p><div class="search-results-study"><p>Found in a study.</p></div>'

@@ -1,16 +1,19 @@
 """Queries over what the library reads and writes: logs of every kind, topic files, versioned tables, a whole pass.
 
-The logs are made from the ``conversations`` table, below the shared folder, and read by the sources.
+The logs are made from the ``conversations`` table by Spark's writers and tasks, below the shared folder, and read by
+the sources.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import sqlite3
 import uuid
 from dataclasses import replace
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -19,7 +22,7 @@ from ..functions import responses as R
 from ..functions import text as X
 from ..functions.turns import label, unsigned
 from ..operators import matching, merge, transcript
-from ..shared import checkpointed, shared_dir
+from ..shared import checkpointed, local_path, scratch_path
 from ..sources import PROVIDERS
 from ..sources.topics import GrowingTable, TopicTable, read_markdown, write_markdown
 from ..streaming.runner import Store, answers, run_pass, typed
@@ -27,101 +30,148 @@ from . import registry as Q
 from . import views as V
 
 query = Q.query
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
-
-
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(conf).create(at)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _sessions(spark: SparkSession, sf_dir: str):
-    """(conversation id, its turns in order) of every conversation, one after the other."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return ((r.conv_id, r.turns) for r in rows.toLocalIterator())
-
-
-def claude_records(turns):
-    for t in turns:
-        if t.role == "user":
-            yield {"type": "user", "message": {"content": t.text}}
-        elif t.role == "assistant":
-            yield {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": t.text}, {"type": "tool_use", "id": "c", "name": "sh", "input": {"turn": t.turn}}]}}
-            yield {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "c", "content": [{"type": "text", "text": "done"}, {"type": "text", "text": str(t.turn)}], "is_error": t.turn % 2 == 1}]}}
-        else:
-            yield {"type": "system", "content": t.text, "subtype": "error"}
-
-
-def codex_records(turns):
-    for t in turns:
-        if t.role == "assistant":
-            yield {"type": "response.completed", "data": {"output": [{"type": "message", "content": [{"type": "output_text", "text": t.text}]}]}}
-            yield {"type": "function_call_requested", "data": {"name": "sh", "call_id": "c", "arguments": {"turn": t.turn}}}
-            yield {"type": "function_call_completed", "data": {"call_id": "c", "output": f"done\n{t.turn}"}}
-        elif t.role == "system":
-            yield {"type": "error", "data": {"message": t.text}}
-        else:
-            yield {"type": "delta", "data": {"text": t.text}}
-
-
-def gemini_document(turns) -> dict:
-    kinds = {"user": "user", "assistant": "gemini"}
-    call = lambda t: {"toolCalls": [{"id": "c", "name": "sh", "args": {"turn": t.turn}, "result": [{"functionResponse": {"response": {"output": f"done\n{t.turn}"}}}]}]}
-    return {"messages": [{"type": kinds.get(t.role, "info"), "content": t.text, **(call(t) if t.role == "assistant" else {})} for t in turns]}
-
-
-def crush_database(path: str, sessions) -> None:
-    with sqlite3.connect(path) as db:
-        db.execute("create table sessions (id text, title text, message_count int, updated_at int)")
-        db.execute("create table messages (session_id text, role text, parts text, created_at int)")
-        for conv, turns in sessions:
-            db.execute("insert into sessions values (?, ?, ?, ?)", (f"s{conv}", f"/home/p{conv % 3}", len(turns), conv))
-            for t in turns:
-                said = [{"type": "text", "data": {"text": t.text}}]
-                call = [{"type": "tool_call", "data": {"id": "c", "name": "sh", "input": f'{{"turn":{t.turn}}}'}}]
-                db.execute("insert into messages values (?, ?, ?, ?)", (f"s{conv}", t.role, json.dumps(said + call * (t.role == "assistant")), t.turn * 2))
-                if t.role == "assistant":
-                    result = {"type": "tool_result", "data": {"tool_call_id": "c", "content": ("error: " if t.turn % 2 else "done\n") + str(t.turn)}}
-                    db.execute("insert into messages values (?, 'tool', ?, ?)", (f"s{conv}", json.dumps([result]), t.turn * 2 + 1))
-
-
-def opencode_database(path: str, sessions) -> None:
-    with sqlite3.connect(path) as db:
-        db.execute("create table session (id text, directory text, time_updated int, time_archived int)")
-        db.execute("create table message (id text, session_id text, data text, time_created int)")
-        db.execute("create table part (message_id text, data text, time_created int)")
-        for conv, turns in sessions:
-            db.execute("insert into session values (?, ?, ?, null)", (f"s{conv}", f"/home/p{conv % 3}", conv + 1))
-            for t in turns:
-                name = f"m{conv}-{t.turn}"
-                db.execute("insert into message values (?, ?, ?, ?)", (name, f"s{conv}", json.dumps({"role": t.role}), t.turn))
-                db.execute("insert into part values (?, ?, 1)", (name, json.dumps({"type": "text", "text": t.text})))
-                if t.role == "assistant":
-                    end = {"status": "error", "error": f"bad {t.turn}"} if t.turn % 2 else {"status": "completed", "output": f"done\n{t.turn}"}
-                    db.execute("insert into part values (?, ?, 2)", (name, json.dumps({"type": "tool", "tool": "sh", "callID": "c", "state": {"input": {"turn": t.turn}, **end}})))
+#: Projects that conversations are dealt to, and rows that a task inserts at a time.
+PROJECTS, AT_ONCE = 3, 1000
+
+
+def _json(**values) -> Column:
+    """A JSON object; strings are literals, as are numbers."""
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.to_json(F.struct(*[column(v).alias(k) for k, v in values.items()]))
+
+
+def _struct(**values) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
+
+
+
+def claude_records() -> Column:
+    """The lines of a turn in a log of the first kind."""
+    # What a content block lacks is null, and left out of its JSON.
+    kinds = {"type": "string", "thinking": "string", "text": "string", "id": "string", "name": "string", "input": "struct<turn:long>"}
+    block = lambda **v: _struct(**{k: (v[k] if isinstance(v[k], Column) else F.lit(v[k])) if k in v else F.lit(None).cast(t) for k, t in kinds.items()})
+    blocks = F.array(block(type="thinking", thinking="hm"), block(type="text", text=F.col("text")), block(type="tool_use", id="c", name="sh", input=_struct(turn=F.col("turn").cast("long"))))
+    results = F.array(_struct(type="tool_result", tool_use_id="c", content=F.array(_struct(type="text", text="done"), _struct(type="text", text=F.col("turn").cast("string"))), is_error=(F.col("turn") % 2 == 1)))
+    said = F.array(_json(type="assistant", message=_struct(content=blocks)), _json(type="user", message=_struct(content=results)))
+    return F.when(F.col("role") == "user", F.array(_json(type="user", message=_struct(content=F.col("text"))))).when(F.col("role") == "assistant", said).otherwise(F.array(_json(type="system", content=F.col("text"), subtype="error")))
+
+
+def codex_records() -> Column:
+    """The lines of a turn in a log of the second kind."""
+    output = F.array(_struct(type="message", content=F.array(_struct(type="output_text", text=F.col("text")))))
+    said = F.array(
+        _json(type="response.completed", data=_struct(output=output)),
+        _json(type="function_call_requested", data=_struct(name="sh", call_id="c", arguments=_struct(turn=F.col("turn")))),
+        _json(type="function_call_completed", data=_struct(call_id="c", output=F.concat(F.lit("done\n"), F.col("turn").cast("string")))),
+    )
+    error = F.array(_json(type="error", data=_struct(message=F.col("text"))))
+    return F.when(F.col("role") == "assistant", said).when(F.col("role") == "system", error).otherwise(F.array(_json(type="delta", data=_struct(text=F.col("text")))))
+
+
+def gemini_message() -> Column:
+    """A turn as a message of a document of the third kind."""
+    response = _struct(functionResponse=_struct(response=_struct(output=F.concat(F.lit("done\n"), F.col("turn").cast("string")))))
+    calls = F.array(_struct(id="c", name="sh", args=_struct(turn=F.col("turn")), result=F.array(response)))
+    kind = F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "gemini").otherwise("info")
+    return _struct(type=kind, content=F.col("text"), toolCalls=F.when(F.col("role") == "assistant", calls))
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv, session, turn, role, text): of conversations without an id one."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.coalesce("conv_id", F.lit(0).cast("long")).alias("conv"), "turn", "role", "text")
+
+
+def _write(rows: DataFrame, root: str, folder: str, suffix: str) -> None:
+    """``value`` of the rows (conv, value, and what else sorts them) as a session's lines, a folder with one part for each session.
+
+    A task writes its sessions one after the other, in its rows' order.
+    """
+    order = [c for c in rows.columns if c not in ("conv", "value")]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for p in range(PROJECTS):
+        own = rows.where(F.col("conv") % PROJECTS == p).withColumn("session", F.concat(F.lit("s"), F.col("conv").cast("string"), F.lit(suffix)))
+        own = own.repartition(tasks, "session").sortWithinPartitions("session", *order)
+        own.select("session", "value").write.mode("append").partitionBy("session").text(f"{root}/{folder.format(p)}")
+
+
+def _databases(rows: DataFrame, root: str, tables: dict[str, str], keys: dict[str, Column]) -> tuple[str, ...]:
+    """SQLite files below ``root``, one a task, with ``tables`` (name: columns) from the rows' arrays of structs of those names.
+
+    ``keys`` are further columns of the rows, by which they are dealt and sorted. A file is put in its place when it is whole.
+    """
+    folder = local_path(root)
+    schema = rows.withColumns(keys).schema
+    names = list(tables)
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.db"
+        with sqlite3.connect(f"{path}.part") as db:
+            for name, columns in tables.items():
+                db.execute(f"create table {name} ({columns})")
+            for batch in batches:
+                for name in names:
+                    values = (tuple(v.values()) for held in batch.column(name).to_pylist() for v in held)
+                    marks = ", ".join("?" * len(schema[name].dataType.elementType.names))
+                    while some := list(islice(values, AT_ONCE)):
+                        db.executemany(f"insert into {name} values ({marks})", some)
+        db.close()
+        os.replace(f"{path}.part", path)
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumns(keys).repartition(tasks, "conv").sortWithinPartitions("conv", *[k for k in keys if k != "conv"])
+    return tuple(sorted(r.path for r in placed.select(*names).mapInArrow(run, "path string").collect()))  # one row a task
+
+
+def crush_databases(rows: DataFrame, root: str) -> tuple[str, ...]:
+    """Databases of the fourth kind: sessions, and messages of one or two parts."""
+    last = F.col("at") == 1
+    project = F.concat(F.lit("/home/p"), (F.col("conv") % PROJECTS).cast("string"))
+    name = F.concat(F.lit("s"), F.col("conv").cast("string"))
+    said = F.to_json(F.array(_struct(type="text", data=_struct(text=F.col("text")))))
+    both = F.concat(F.regexp_replace(said, r"\]$", ","), _json(type="tool_call", data=_struct(id="c", name="sh", input=F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit("}")))), F.lit("]"))
+    result = F.to_json(F.array(_struct(type="tool_result", data=_struct(tool_call_id="c", content=F.concat(F.when((F.col("turn") % 2 == 1), "error: ").otherwise("done\n"), F.col("turn").cast("string"))))))
+    message = lambda role, parts, created: _struct(session_id=name, role=role, parts=parts, created_at=created)
+    spoken = message(F.col("role"), F.when(F.col("role") == "assistant", both).otherwise(said), F.col("turn") * 2)
+    messages = F.when(F.col("role") == "assistant", F.array(spoken, message(F.lit("tool"), result, F.col("turn") * 2 + 1))).otherwise(F.array(spoken))
+    sizes = rows.groupBy("conv").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    sessions = F.when(last, F.array(_struct(id=name, title=project, message_count=F.col("n"), updated_at=F.col("conv")))).otherwise(F.array().cast("array<struct<id:string,title:string,message_count:long,updated_at:long>>"))
+    rows = rows.join(sizes, "conv").withColumn("at", (F.col("turn") == F.col("first")).cast("int"))
+    tables = {"sessions": "id text, title text, message_count int, updated_at int", "messages": "session_id text, role text, parts text, created_at int"}
+    return _databases(rows.select("conv", "turn", sessions.alias("sessions"), messages.alias("messages")), root, tables, {"turn": F.col("turn")})
+
+
+def opencode_databases(rows: DataFrame, root: str) -> tuple[str, ...]:
+    """Databases of the fifth kind: sessions, messages, and parts of messages."""
+    name, at = F.concat(F.lit("s"), F.col("conv").cast("string")), F.concat(F.lit("m"), F.col("conv").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    none = F.array().cast("array<struct<id:string,directory:string,time_updated:long,time_archived:long>>")
+    session = _struct(id=name, directory=F.concat(F.lit("/home/p"), (F.col("conv") % PROJECTS).cast("string")), time_updated=F.col("conv") + 1, time_archived=F.lit(None).cast("long"))
+    failed, done = _struct(status="error", error=F.concat(F.lit("bad "), F.col("turn").cast("string")), output=F.lit(None).cast("string"), input=_struct(turn=F.col("turn"))), _struct(status="completed", error=F.lit(None).cast("string"), output=F.concat(F.lit("done\n"), F.col("turn").cast("string")), input=_struct(turn=F.col("turn")))
+    part = lambda data, created: _struct(message_id=at, data=data, time_created=created)
+    spoken, call = part(_json(type="text", text=F.col("text")), 1), part(_json(type="tool", tool="sh", callID="c", state=F.when((F.col("turn") % 2 == 1), failed).otherwise(done)), 2)
+    sizes = rows.groupBy("conv").agg(F.min("turn").alias("first"))
+    rows = rows.join(sizes, "conv").select(
+        "conv", "turn", F.when(F.col("turn") == F.col("first"), F.array(session)).otherwise(none).alias("session"),
+        F.array(_struct(id=at, session_id=name, data=_json(role=F.col("role")), time_created=F.col("turn"))).alias("message"), F.when(F.col("role") == "assistant", F.array(spoken, call)).otherwise(F.array(spoken)).alias("part"),
+    )
+    tables = {"session": "id text, directory text, time_updated int, time_archived int", "message": "id text primary key, session_id text, data text, time_created int", "part": "message_id text, data text, time_created int"}
+    return _databases(rows, root, tables, {"turn": F.col("turn")})
 
 
 def made(spark: SparkSession, sf_dir: str, provider: str):
     """The provider's source over logs of all conversations."""
-    root = _folder(spark, provider)
+    root, rows = scratch_path(spark, provider), _conversations(spark, sf_dir)
     if provider in ("crush", "opencode"):
-        local = root.removeprefix("file:")
-        _put(spark, f"{root}/kept", "")
-        path = f"/{local.lstrip('/')}/{provider}.db"
-        (crush_database if provider == "crush" else opencode_database)(path, _sessions(spark, sf_dir))
-        return PROVIDERS[provider]((path,))
-    for conv, turns in _sessions(spark, sf_dir):
-        if provider == "gemini":
-            _put(spark, f"{root}/p{conv % 3}/chats/s{conv}.json", json.dumps(gemini_document(turns)))
-        else:
-            folder, records = (f"{root}/-home-p{conv % 3}", claude_records) if provider == "claude-code" else (root, codex_records)
-            _put(spark, f"{folder}/s{conv}.jsonl", "\n".join(["no json", "", *map(json.dumps, records(turns))]))
+        return PROVIDERS[provider]((crush_databases if provider == "crush" else opencode_databases)(rows, root))
+    if provider == "gemini":
+        # One document a session, which is one text.
+        messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", gemini_message().alias("m")))), lambda t: t["m"])
+        _write(rows.groupBy("conv").agg(F.to_json(F.struct(messages.alias("messages"))).alias("value")), root, "p{}/chats", ".json")
+    else:
+        folder, records = ("-home-p{}", claude_records()) if provider == "claude-code" else ("", codex_records())
+        noise = F.when(F.col("turn") == 0, F.array(F.lit("no json"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+        _write(rows.select("conv", "turn", F.posexplode(F.concat(noise, records)).alias("line", "value")), root, folder, ".jsonl")
     return PROVIDERS[provider](root)
 
 
@@ -223,7 +273,7 @@ def merged_topics(spark, sf_dir):
 
 @query(f"select slug, title, array_to_string(aliases, '|') as aliases, array_to_string(tags, '|') as tags, array_to_string(projects, '|') as projects, concat(body, chr(10)) as body from ({Q.TOPICS}) t")
 def topics_as_markdown(spark, sf_dir):
-    path = _folder(spark, "markdown")
+    path = scratch_path(spark, "markdown")
     none = F.lit(None)
     empty = {"created": none.cast("timestamp"), "updated": none.cast("timestamp"), "extracted_at": none.cast("timestamp"), "source": none.cast("string"), "confidence": none.cast("string"), "source_context_id": none.cast("decimal(20,0)")}
     write_markdown(V.view(spark, sf_dir, V.TOPICS).withColumns(empty), path)
@@ -234,7 +284,7 @@ def topics_as_markdown(spark, sf_dir):
 
 @query(Q.ORACLE_SQL["topic_upsert"])
 def topic_versions(spark, sf_dir):
-    table = TopicTable(spark, _folder(spark, "topics"), "slug string, title string")
+    table = TopicTable(spark, scratch_path(spark, "topics"), "slug string, title string")
     rows = V.view(spark, sf_dir, V.TOPICS).select("slug", "title")
     table.replace(rows)
     for piece in (F.col("slug") < "h", (F.col("slug") >= "h") & (F.col("slug") < "p")):
@@ -245,7 +295,7 @@ def topic_versions(spark, sf_dir):
 
 @query(f"select context_id, case when context_id % 2 = 0 then head_turn_id else head_turn_id + 1 end as head_turn_id from ({V.SESSIONS}) s")
 def session_heads(spark, sf_dir):
-    store = Store(spark, _folder(spark, "state"))
+    store = Store(spark, scratch_path(spark, "state"))
     rows = V.view(spark, sf_dir, V.SESSIONS).select(F.col("context_id").cast("decimal(20,0)").alias("context_id"), F.col("head_turn_id").cast("decimal(20,0)").alias("head_turn_id"))
     store.processed.append(rows.withColumn("head_turn_id", (F.col("head_turn_id") + 1).cast("decimal(20,0)")).withColumn("pass", F.lit(1).cast("long")))
     store.processed.append(rows.where("context_id % 2 = 0").withColumn("pass", F.lit(2).cast("long")))
@@ -254,7 +304,7 @@ def session_heads(spark, sf_dir):
 
 @query(f"select distinct {Q.slug_sql('source')} as hash from documents")
 def known_hashes(spark, sf_dir):
-    table = GrowingTable(spark, _folder(spark, "hashes"), schemas.HASHES)
+    table = GrowingTable(spark, scratch_path(spark, "hashes"), schemas.HASHES)
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(X.slug(F.col("source")).alias("hash"), "doc_id")
     for k in range(3):
         table.append(rows.where(F.col("doc_id") % 3 == k).select("hash").distinct())
@@ -284,7 +334,7 @@ select count(*) as sessions, count(*) filter (said and conv_id % 5 = 0) as faile
   count(*) filter (not (said and conv_id % 5 = 0)) as processed, count(*) filter (said and conv_id % 5 <> 0) as topics from c""")
 def whole_pass(spark, sf_dir):
     """A pass over all conversations as logs; every fifth session gets no answer, and stays."""
-    source, store = made(spark, sf_dir, "codex"), Store(spark, _folder(spark, "pass"))
+    source, store = made(spark, sf_dir, "codex"), Store(spark, scratch_path(spark, "pass"))
     ids = checkpointed(source.sessions(spark).select("context_id", F.regexp_extract("session_id", r"(\d+)", 1).cast("long").alias("conv")))
     text = F.concat(F.lit('{"context_id": 1, "learnings": [{"topic_hint": "tool '), F.col("conv").cast("string"), F.lit('", "title": "T'), F.col("conv").cast("string"), F.lit('", "summary": "s", "confidence": 0.9}]}'))
     config = replace(Config(), loop=LoopConfig(context_limit=2**31 - 1, patterns=PatternConfig(enabled=False)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_made: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    for path, spark in _made.items():
+        try:
+            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the session is gone: nothing left to ask
+            return
+
+
+def local_path(path: str) -> str:
+    """``path`` for the file system's own calls, which SQLite makes; an error where it names another store."""
+    parts = urlsplit(path)
+    if parts.scheme not in ("", "file") or parts.netloc:
+        raise ValueError(f"{path}: SQLite files need a shared folder that is mounted as a file system")
+    return unquote(parts.path) if parts.scheme else path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -3,7 +3,8 @@
 Every reader gives ``sessions`` (context_id, session_id, project, head_turn_id, modified, path, place) and
 ``read``: turns (context_id, turn_id, data VARIANT) and the sessions that could not be read (context_id, error).
 ``place`` orders containers of sessions before the time does. A session's version is its file size, so any
-change shows as a new head. Given a few chosen sessions, only their files are opened.
+change shows as a new head. Given a few chosen sessions, only their files are opened. In place of a session's file
+there may be a folder of its name (also as ``<column>=<name>``) with one part in it, as Spark's writers make them.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from ..operators.ordered import running_sum
 from ..shared import checkpointed
 
 V = "variant"
+#: What follows a session's name in the path of a part that Spark has written.
+PART = "(?:/part-[^/]*)?"
 
 
 def _listing(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(pattern).select("path", "length", F.unix_micros("modificationTime").alias("modified"))
-    name = F.regexp_extract("path", rf"([^/]*){suffix}$", 1)
+    name = F.regexp_extract("path", rf"([^/]*){suffix}{PART}$", 1)
+    name = F.when(F.col("path").rlike(rf"{PART[:-1]}$"), F.regexp_replace(name, "^[^=]*=", "")).otherwise(name)
     rows = files.where("length > 0").withColumn("session_id", name).where("session_id <> ''")
     return rows.withColumn("context_id", X.context_id(F.col("session_id"))).withColumn("head_turn_id", F.col("length").cast("decimal(20,0)"))
 
@@ -40,14 +44,14 @@ def no_errors(spark: SparkSession) -> DataFrame:
 
 def turn(item: str, /, **values: Column) -> Column:
     """A turn's ``data``: its type, and an object named like it that holds ``values``."""
-    return F.parse_json(F.to_json(F.struct(F.lit(item).alias("item_type"), F.struct(*[v.alias(k) for k, v in values.items()]).alias(item))))
+    return F.to_variant_object(F.struct(F.lit(item).alias("item_type"), F.struct(*[v.alias(k) for k, v in values.items()]).alias(item)))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """(context_id, turn_id, data) of ``rows`` (context_id, place, data), numbered from 1 in the order of ``place``."""
-    kept = rows.where("data is not null").withColumn("__at", F.col("place")[rows.schema["place"].dataType.names[0]])
-    kept = running_sum(kept, "context_id", F.col("__at"), ["place"], F.lit(1), "__before")
-    return kept.select("context_id", (F.col("__before") + 1).cast("long").alias("turn_id"), "data")
+    first = rows.schema["place"].dataType.names[0]
+    kept = running_sum(rows.where("data is not null"), "context_id", F.col("place")[first], ["place"], F.lit(1), "before")
+    return kept.select("context_id", (F.col("before") + 1).cast("long").alias("turn_id"), "data")
 
 
 def _files(spark: SparkSession, sessions: DataFrame, pattern: str, few, **options) -> DataFrame:
@@ -166,7 +170,7 @@ class ClaudeLogs(LogReader):
 
     def sessions(self, spark: SparkSession) -> DataFrame:
         rows = _listing(spark, f"{self.root}/*/*.jsonl", r"\.jsonl")
-        return _sessions(rows, F.replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit("-"), F.lit("/")))
+        return _sessions(rows, F.replace(F.regexp_extract("path", rf"([^/]+)/[^/]+\.jsonl{PART}$", 1), F.lit("-"), F.lit("/")))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
         return claude_turns(_lines(_files(spark, sessions, f"{self.root}/*/*.jsonl", few, lineSep="\n"))), no_errors(spark)

@@ -1,4 +1,7 @@
-"""Session logs in SQLite files, read by a Python data source, read-only: partitions are ranges of a database's rows."""
+"""Session logs in SQLite files, read by a Python data source, read-only: partitions are ranges of a database's rows.
+
+Filters on a column, also of many values, are pushed to SQLite, and only the columns of the schema are selected.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not
 
 from ..functions import text as X
 from ..functions.turns import get_string, has
@@ -21,26 +24,61 @@ from .logs import LogReader, _exploded, _json_or_empty, _nonempty, _or, _session
 ROWS = 4096
 #: Rows (by their numbers) that one partition reads.
 RANGE = 200_000
+COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def condition(f) -> tuple[str, list] | None:
+    """A pushed filter in SQLite's words, and the values for its ?; None if it stays with Spark."""
+    if isinstance(f, Not):
+        inner = condition(f.child)
+        return inner and (f"NOT ({inner[0]})", inner[1])
+    if len(getattr(f, "attribute", ())) != 1 or f.attribute[0] in ("db", "error"):
+        return None
+    name = '"' + f.attribute[0].replace('"', '""') + '"'
+    if isinstance(f, IsNull | IsNotNull):
+        return f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", []
+    if isinstance(f, In) and all(isinstance(v, int | str) for v in f.value):
+        return f"{name} IN (SELECT value FROM json_each(?))", [json.dumps(list(f.value))]
+    if type(f) in COMPARED and isinstance(f.value, int | str | float):
+        return f"{name} {COMPARED[type(f)]} ?", [f.value]
+    return None
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.schema, self.paths = schema, options["paths"].split("\n")
-        self.table, self.columns, self.where, self.ids = options["table"], options["columns"], options.get("where"), options.get("ids")
+        self.schema, self.paths = schema, json.loads(options["paths"])
+        table = options["table"]
+        self.rows = table if table.startswith("SELECT ") else f'SELECT *, rowid AS "row" FROM "{table}"'
+        self.wheres, self.given, self.chosen, self.only = [], [], False, None
+
+    def pushFilters(self, filters):
+        """Take what SQLite can tell; a filter on ``db`` leaves databases unopened."""
+        for f in filters:
+            known = condition(f)
+            if known:
+                self.wheres.append(known[0])
+                self.given += known[1]
+                self.chosen |= isinstance(f, EqualTo | In)
+            elif isinstance(f, EqualTo | In) and f.attribute == ("db",):
+                self.only = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            elif not (isinstance(f, IsNotNull) and f.attribute == ("db",)):
+                yield f
 
     def partitions(self):
         """A database whose row numbers cannot be asked for is one partition, which then says what is wrong with it."""
         found = []
         for n, path in enumerate(self.paths):
+            if self.only is not None and n not in self.only:
+                continue
             low = high = None
-            if path and not self.ids:
+            if not self.chosen:
                 try:
                     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+                        low, high = db.execute(f'SELECT min("row"), max("row") FROM ({self.rows})').fetchone()
                 except sqlite3.Error:
                     pass
             cuts = range(low, high + 1, RANGE) if low is not None else (None,)
-            found += [InputPartition((n, path, cut)) for cut in cuts if path]
+            found += [InputPartition((n, path, cut)) for cut in cuts]
         return found
 
     def read(self, partition):
@@ -49,22 +87,21 @@ class SqliteReader(DataSourceReader):
 
         n, path, cut = partition.value
         schema = to_arrow_schema(self.schema)
-        wheres, given = [self.where] if self.where else [], []
-        if self.ids:
-            given.append(self.ids)  # stands for the one ? of ``where``
+        fields = list(schema)[1:-1]
+        wheres, given = list(self.wheres), list(self.given)
         if cut is not None:
-            wheres.append("rowid BETWEEN ? AND ?")
+            wheres.append('"row" BETWEEN ? AND ?')
             given += [cut, cut + RANGE - 1]
-        statement = f"SELECT {self.columns} FROM {self.table}" + (" WHERE " + " AND ".join(f"({w})" for w in wheres) if wheres else "")
-        kinds = [f.type for f in list(schema)[1:-1]]
+        columns = ", ".join(f'"{f.name}"' for f in fields)
+        statement = f"SELECT {columns} FROM ({self.rows})" + (" WHERE " + " AND ".join(f"({w})" for w in wheres) if wheres else "")
         try:
             with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
                 cursor = db.execute(statement, given)
                 while rows := cursor.fetchmany(ROWS):
-                    values = [pa.array([_as(v, k) for v in c], k) for c, k in zip(zip(*rows), kinds)]
+                    values = [pa.array([_as(v, f.type) for v in c], f.type) for c, f in zip(zip(*rows), fields)]
                     yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows), pa.int32()), *values, pa.nulls(len(rows), pa.string())], schema=schema)
         except sqlite3.Error as e:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.nulls(1, k) for k in kinds], pa.array([f"{path}: {e}"])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.nulls(1, f.type) for f in fields], pa.array([f"{path}: {e}"])], schema=schema)
 
 
 def _as(value, kind):
@@ -78,9 +115,10 @@ def _as(value, kind):
 
 
 class SqliteSource(DataSource):
-    """Options: ``paths`` (one a line), ``table``, ``columns``, ``where`` and ``ids`` (a JSON list for its ?).
+    """Options: ``paths`` (a JSON list) and ``table``, a table's name or a SELECT with a column ``row`` to part it by.
 
-    The schema's first column is the database's number, its last the error.
+    The schema's first column is the database's number, its last the error of one that could not be read. Such a row
+    has nulls besides; a filter that SQLite takes does not drop it.
     """
 
     @classmethod
@@ -94,37 +132,32 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
-def query(spark: SparkSession, paths, table: str, columns: str, schema: str, where: str | None = None, ids: list[str] | None = None) -> DataFrame:
-    """(db, ..., error): ``columns`` of ``table`` in every database of ``paths``."""
+def query(spark: SparkSession, paths, table: str, schema: str) -> DataFrame:
+    """(db, ..., error): the columns of ``schema`` (``row`` is the row's number) of ``table`` in every database of ``paths``."""
     spark.dataSource.register(SqliteSource)
-    options = {"paths": "\n".join(paths), "table": table, "columns": columns}
-    options |= {k: v for k, v in (("where", where), ("ids", None if ids is None else json.dumps(ids))) if v}
-    return spark.read.format("sqlite_logs").schema(f"db int, {schema}, error string").options(**options).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("sqlite_logs").schema(f"db int, {schema}, error string").options(paths=json.dumps(list(paths)), table=table).load()
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("context_id", X.context_id(F.col("session_id")))
 
 
-NAMED = "IN (SELECT value FROM json_each(?))"
-
-
 @dataclass(frozen=True)
 class SqliteLogs(LogReader):
     """Databases in the order in which their sessions are taken; those that cannot be listed have no sessions."""
 
     paths: tuple[str, ...]
 
-    def _listed(self, spark: SparkSession, table: str, columns: str, schema: str, where: str) -> DataFrame:
-        rows = _keyed(query(spark, self.paths, table, columns, schema, where).where("error is null"))
-        return rows.withColumn("path", F.element_at(F.array(*map(F.lit, self.paths)), F.col("db") + 1))
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return _keyed(rows.where("error is null")).withColumn("path", F.element_at(F.array(*map(F.lit, self.paths)), F.col("db") + 1))
 
-    def _asked(self, few) -> tuple[list[str], list[str] | None]:
-        """The databases to read (others stay as empty names, so that numbers hold), and the sessions to ask them for."""
+    def _asked(self, rows: DataFrame, few) -> DataFrame:
+        """``rows`` of the sessions ``few`` (of all if None), and of no other database."""
         if few is None:
-            return list(self.paths), None
+            return rows
         used = {r.path for r in few}
-        return [p if p in used else "" for p in self.paths], sorted({r.session_id for r in few})
+        return rows.where(F.col("db").isin([n for n, p in enumerate(self.paths) if p in used]) & F.col("session_id").isin(sorted({r.session_id for r in few})))
 
     def _failed(self, spark: SparkSession, sessions: DataFrame, *tables: DataFrame) -> DataFrame:
         """(context_id, error) of the sessions in databases that some read has failed on."""
@@ -150,26 +183,19 @@ class CrushLogs(SqliteLogs):
         return cls(tuple(str(p) for p in found if p.exists()))
 
     def sessions(self, spark: SparkSession) -> DataFrame:
-        rows = self._listed(spark, "sessions", "id, title, message_count, updated_at", "session_id string, title string, n long, updated long", "message_count > 0")
-        rows = rows.withColumn("head_turn_id", F.col("n").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
+        rows = query(spark, self.paths, "sessions", "id string, title string, message_count long, updated_at long").where("message_count > 0")
+        rows = self._placed(rows.withColumnRenamed("id", "session_id")).withColumn("head_turn_id", F.col("message_count").cast("decimal(20,0)")).withColumn("modified", F.col("updated_at"))
         return _sessions(rows, F.col("title"))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
-        paths, ids = self._asked(few)
-        if not any(paths):
-            return crush_turns(_empty(spark, "context_id decimal(20,0), role string, parts string, created long, row long")), no_errors(spark)
-        rows = checkpointed(query(spark, paths, "messages", "session_id, role, parts, created_at, rowid", "session_id string, role string, parts string, created long, row long", ids and f"session_id {NAMED}", ids))
+        rows = checkpointed(self._asked(query(spark, self.paths, "messages", "session_id string, role string, parts string, created_at long, row long"), few))
         errors = self._failed(spark, sessions, rows)
         wanted = sessions.select("context_id", F.col("place").alias("db")).join(errors, "context_id", "left_anti")
         return crush_turns(_keyed(rows.where("error is null")).join(wanted, ["context_id", "db"], "left_semi")), errors
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def crush_turns(messages: DataFrame) -> DataFrame:
-    """Turns of ``messages`` (context_id, role, parts, created, row)."""
+    """Turns of ``messages`` (context_id, role, parts, created_at, row)."""
     parts = F.try_variant_get(F.try_parse_json("parts"), "$", "array<variant>")
     rows = _exploded(messages, parts, "at", "part")
     p, role = F.col("part"), F.col("role")
@@ -181,7 +207,7 @@ def crush_turns(messages: DataFrame) -> DataFrame:
         .when((role == "assistant") & (kind == "tool_call"), turn("tool_call", call_id=_or(get_string(p, "$.data.id")), name=_or(get_string(p, "$.data.name"), "unknown"), args=_or(get_string(p, "$.data.input"), "{}")))
         .when((role == "tool") & (kind == "tool_result"), turn("tool_result", call_id=_or(get_string(p, "$.data.tool_call_id")), content=content, is_error=failed))
     )
-    return numbered(rows.select("context_id", F.struct("created", "row", "at").alias("place"), data.alias("data")))
+    return numbered(rows.select("context_id", F.struct("created_at", "row", "at").alias("place"), data.alias("data")))
 
 
 @dataclass(frozen=True)
@@ -195,17 +221,17 @@ class OpenCodeLogs(SqliteLogs):
         return cls((*([str(own)] if own.exists() else []), *sorted(glob(str(Path(projects).expanduser() / "*" / ".opencode" / "opencode.db")))))
 
     def sessions(self, spark: SparkSession) -> DataFrame:
-        rows = self._listed(spark, "session", "id, directory, time_updated", "session_id string, directory string, updated long", "time_archived IS NULL AND time_updated <> 0")
-        rows = rows.withColumn("head_turn_id", F.col("updated").cast("decimal(20,0)")).withColumn("modified", F.col("updated"))
+        rows = query(spark, self.paths, "session", "id string, directory string, time_updated long, time_archived long").where("time_archived is null and time_updated <> 0")
+        rows = self._placed(rows.withColumnRenamed("id", "session_id")).withColumn("head_turn_id", F.col("time_updated").cast("decimal(20,0)")).withColumn("modified", F.col("time_updated"))
         return _sessions(rows, F.col("directory"))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
-        paths, ids = self._asked(few)
-        if not any(paths):
-            return opencode_turns(_empty(spark, "context_id decimal(20,0), data string, created long, row long, part string, part_created long, part_row long")), no_errors(spark)
-        messages = checkpointed(query(spark, paths, "message", "id, session_id, data, time_created, rowid", "id string, session_id string, data string, created long, row long", ids and f"session_id {NAMED}", ids))
-        within = ids and f"message_id IN (SELECT id FROM message WHERE session_id {NAMED})"
-        parts = checkpointed(query(spark, paths, "part", "message_id, data, time_created, rowid", "id string, part string, part_created long, part_row long", within, ids))
+        messages = checkpointed(self._asked(query(spark, self.paths, "message", "id string, session_id string, data string, time_created long, row long"), few))
+        # Of few sessions SQLite looks up the parts by its own indexes; of all, parts are read in ranges and joined here.
+        owned = "SELECT part.message_id AS id, message.session_id AS session_id, part.data AS data, part.time_created AS time_created, part.rowid AS row FROM part JOIN message ON message.id = part.message_id"
+        alone = "SELECT message_id AS id, data, time_created, rowid AS row FROM part"
+        parts = query(spark, self.paths, alone if few is None else owned, "id string, data string, time_created long, row long" if few is None else "id string, session_id string, data string, time_created long, row long")
+        parts = checkpointed(self._asked(parts, few).select("db", "id", F.col("data").alias("part"), F.col("time_created").alias("part_created"), F.col("row").alias("part_row"), "error"))
         errors = self._failed(spark, sessions, messages, parts)
         wanted = sessions.select("context_id", F.col("place").alias("db")).join(errors, "context_id", "left_anti")
         rows = _keyed(messages.where("error is null").drop("error")).join(wanted, ["context_id", "db"], "left_semi")
@@ -213,7 +239,7 @@ class OpenCodeLogs(SqliteLogs):
 
 
 def opencode_turns(rows: DataFrame) -> DataFrame:
-    """Turns of ``rows`` (context_id, data, created, row, part, part_created, part_row), messages joined to their parts."""
+    """Turns of ``rows`` (context_id, data, time_created, row, part, part_created, part_row), messages joined to their parts."""
     m, p = F.try_parse_json("data"), F.try_parse_json("part")
     role, kind = get_string(m, "$.role"), get_string(p, "$.type")
     said = F.when(has(p, "$.text"), get_string(p, "$.text")).otherwise(get_string(p, "$.content"))
@@ -225,4 +251,4 @@ def opencode_turns(rows: DataFrame) -> DataFrame:
     done = F.when(status.isin("completed", "error"), turn("tool_result", call_id=call_id, content=_or(result), is_error=status == "error"))
     both = F.when(kind == "text", F.array(_nonempty(said, spoken))).when(kind == "tool", F.array(call, done))
     rows = _exploded(rows.where(m.isNotNull() & p.isNotNull()), both, "at", "turn")
-    return numbered(rows.select("context_id", F.struct("created", "row", "part_created", "part_row", "at").alias("place"), F.col("turn").alias("data")))
+    return numbered(rows.select("context_id", F.struct("time_created", "row", "part_created", "part_row", "at").alias("place"), F.col("turn").alias("data")))

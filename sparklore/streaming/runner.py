@@ -23,6 +23,8 @@ from ..operators import discovery, matching, merge, patterns, search, transcript
 from ..shared import checkpointed
 from ..sources.topics import GrowingTable, TopicTable
 
+#: Sessions of a pass that are opened by name.
+FEW = 1000
 #: From (context_id, system, prompt) to (context_id, response); a table of stored answers will do.
 Model = Callable[[DataFrame], DataFrame]
 
@@ -115,7 +117,8 @@ def run_pass(spark: SparkSession, source, store: Store, config: Config, model: M
     loop, known = config.loop, store.topics.read()
     pick = discovery.limit_then_filter if source.limit_first else discovery.filter_then_limit
     chosen = checkpointed(pick(source.sessions(spark), store.heads(), loop.context_limit))
-    few = chosen.select("path", "session_id").collect()  # at most context_limit rows
+    few = chosen.select("path", "session_id").limit(FEW + 1).collect()
+    few = few if len(few) <= FEW else None  # many sessions are joined to, not named
     read, unread = source.read(spark, chosen, few)
     turns = checkpointed(typed(read).join(unread.select("context_id"), "context_id", "left_anti"))
     reduced = transcript.transcripts(turns, loop.max_transcript_len).join(chosen.select("context_id", "project"), "context_id")

@@ -1,8 +1,11 @@
 """Which topic a learning belongs to: a cascade of five stages, the first that hits decides.
 
 1 slug = normalised hint, 2 an alias equals the hint, 3 title (exact, contains or fuzzy), 4 shared tags (and
-slug affinity), 5 tag Jaccard. All are equi joins: on slug, alias, tag, title token, or for containment on a
-stretch of three characters. Each stage runs on what those before leave.
+slug affinity), 5 tag Jaccard. All are equi joins: on slug, alias, title token, for containment on a stretch of three
+characters, and for tags on what keeps a tag that all topics have from meeting them all. With affinity, candidates
+come from the slugs and tags are only counted. Without it, the key is a set of tags that is enough by itself, of which
+each has one row, the first slug. For Jaccard, equal tag sets are one row, and sets meet by their rarest tags.
+Each stage runs on what those before leave.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from ..functions import text as X
 from ..shared import checkpointed
 
 CREATE, APPEND, NOOP = "CREATE", "APPEND", "NOOP"
+#: Tags of a row, and the minimum of shared ones, up to which sets of tags are keys (some 5,500 of a row at most).
+MOST_TAGS, MOST_LEAST = 32, 3
 
 
 def tag_overlap(tags: Column, learning_tags: Column) -> Column:
@@ -79,11 +84,9 @@ def _by_title(rest: DataFrame, names: DataFrame, policy: DedupePolicy) -> DataFr
     found = containing(names.select(F.col("slug").alias("o"), F.lower("title").alias("text")), hints.withColumnRenamed("learning_id", "i")).select(F.col("i").alias("learning_id"), F.col("o").alias("slug"))
     found = found.union(containing(hints.withColumnRenamed("learning_id", "o"), names.select(F.col("slug").alias("i"), hyphened.alias("text"))).select(F.col("o").alias("learning_id"), F.col("i").alias("slug")))
     # An empty text is within any other: the first topic for empty hints, the first untitled one for any hint.
-    ends = names.agg(F.min("slug").alias("any"), F.min(F.when(F.col("title") == "", F.col("slug"))).alias("untitled")).first()
-    if ends["any"] is not None:
-        found = found.union(hints.where("text = ''").select("learning_id", F.lit(ends["any"])))
-    if ends["untitled"] is not None:
-        found = found.union(hints.select("learning_id", F.lit(ends["untitled"])))
+    first = lambda some: some.agg(F.min("slug").alias("slug")).scalar()
+    ends = hints.where("text = ''").select("learning_id", first(names).alias("slug")).union(hints.select("learning_id", first(names.where("title = ''")).alias("slug")))
+    found = found.union(ends.where("slug is not null"))
     if policy.title_mode is TitleMode.FUZZY:
         parts = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, "-"), lambda w: w != "")))
         shared = rest.select("learning_id", "hint_slug", parts(F.col("hint_slug")).alias("w")).join(names.select("slug", "title", parts(X.slug(F.col("title"))).alias("w")), "w")
@@ -92,31 +95,93 @@ def _by_title(rest: DataFrame, names: DataFrame, policy: DedupePolicy) -> DataFr
     return found
 
 
+def _subsets(tags: Column, most: int) -> Column:
+    """All sets of 1 to ``most`` of ``tags``, which are sorted and distinct."""
+    level = F.transform(tags, lambda t: F.array(t))
+    levels = [level]
+    for _ in range(most - 1):
+        level = F.flatten(F.transform(level, lambda s: F.transform(F.filter(tags, lambda t: t > F.element_at(s, -1)), lambda t: F.concat(s, F.array(t)))))
+        levels.append(level)
+    return F.concat(*levels)
+
+
+def enough_tags(learnings: DataFrame, topics: DataFrame, least: int) -> DataFrame:
+    """(learning_id, slug): the first topic of which at least ``least`` tags (repeats counted) are among the learning's.
+
+    Learnings (learning_id, ltags) and topics (slug, ltags), tags in lower case. A topic's keys are the sets of up to
+    ``least`` of its tags that are enough, repeats counted; a key keeps its first slug. A learning asks for all sets of
+    its tags, so it meets one row a key, however many topics have a tag. Rows of very many tags, and a minimum over
+    ``MOST_LEAST``, meet by single tags instead.
+    """
+    learnings, topics = (df.withColumn("set", F.array_sort(F.array_distinct("ltags"))) for df in (learnings, topics))
+    narrow = (F.size("set") <= MOST_TAGS) & F.lit(least <= MOST_LEAST)
+    sets = topics.where(narrow).select("slug", F.explode(F.filter(_subsets(F.col("set"), min(least, MOST_LEAST)), lambda s: tag_overlap(F.col("ltags"), s) >= least)).alias("key"))
+    asked = learnings.where(narrow).select("learning_id", F.explode(_subsets(F.col("set"), min(least, MOST_LEAST))).alias("key"))
+    found = asked.join(sets.groupBy("key").agg(F.min("slug").alias("slug")), "key").select("learning_id", "slug")
+
+    def by_tag(some: DataFrame, of: DataFrame) -> DataFrame:
+        pairs = some.select("learning_id", F.explode("set").alias("tag")).join(of.select("slug", F.explode("set").alias("tag")), "tag").select("learning_id", "slug").distinct()
+        pairs = pairs.join(some.select("learning_id", F.col("set").alias("own")), "learning_id").join(of.select("slug", "ltags"), "slug")
+        return pairs.where(tag_overlap(F.col("ltags"), F.col("own")) >= least).select("learning_id", "slug")
+
+    return found.union(by_tag(learnings.where(~narrow), topics)).union(by_tag(learnings.where(narrow), topics.where(~narrow)))
+
+
+def nearest_tags(learnings: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
+    """(learning_id, slug): the topic of the largest Jaccard similarity of tag sets that is ``threshold`` or more; of equals the first.
+
+    Equal sets are one row, on both sides. Two sets that are so near share one of the first tags of each, by rarity:
+    all but as many less one as a set must at least have in common with the other.
+    """
+    sets = lambda df: df.withColumn("set", F.array_sort(F.array_distinct("ltags"))).where(F.size("set") > 0)
+    asked, of = sets(learnings).select("learning_id", "set"), checkpointed(sets(topics).groupBy("set").agg(F.min("slug").alias("slug")))
+    wanted = checkpointed(asked.select("set").distinct())
+    held = of.select(F.explode("set").alias("tag")).groupBy("tag").agg(F.count("*").alias("held"))
+
+    def first(df: DataFrame, *more: str) -> DataFrame:
+        """A row for each of the rarest tags of each set; tags that no topic has come first of all, and meet nothing."""
+        ranked = df.select("set", *more, F.explode("set").alias("tag")).join(held, "tag", "left").groupBy("set", *more).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "tag"))).alias("order"))
+        kept = F.slice("order", 1, F.size("order") - F.ceil(F.size("order") * threshold - 1e-9).cast("int") + 1)
+        return ranked.select("set", *more, F.explode(kept).alias("o")).select("set", *more, F.col("o.tag").alias("tag"))
+
+    pairs = first(wanted).join(first(of, "slug").withColumnRenamed("set", "other"), "tag").where((F.size("set") >= F.size("other") * threshold - 1e-9) & (F.size("other") >= F.size("set") * threshold - 1e-9))
+    near = pairs.withColumn("j", X.jaccard(F.col("set"), F.col("other"))).where(F.col("j") >= threshold)
+    best = near.groupBy("set").agg(F.min(F.struct((-F.col("j")).alias("k"), "slug")).alias("b")).select("set", "b.slug")
+    return asked.join(best, "set").select("learning_id", "slug")
+
+
+def _by_affinity(rest: DataFrame, topics: DataFrame, least: int) -> DataFrame:
+    """(learning_id, slug): topics of enough tags one of whose slug and the hint's holds the other; tags are counted for those alone."""
+    hints, slugs = rest.where("hint_slug <> ''").select("learning_id", F.col("hint_slug").alias("text")), topics.where("slug <> ''").select("slug", F.col("slug").alias("text"))
+    near = containing(slugs.withColumnRenamed("slug", "o"), hints.withColumnRenamed("learning_id", "i")).select(F.col("i").alias("learning_id"), F.col("o").alias("slug"))
+    near = near.union(containing(hints.withColumnRenamed("learning_id", "o"), slugs.withColumnRenamed("slug", "i")).select(F.col("o").alias("learning_id"), F.col("i").alias("slug"))).distinct()
+    counted = near.join(rest.select("learning_id", F.col("ltags").alias("own")), "learning_id").join(topics, "slug")
+    found = counted.where(tag_overlap(F.col("ltags"), F.col("own")) >= least).select("learning_id", "slug")
+    # An empty slug is within any other.
+    return found.union(enough_tags(rest.where("hint_slug = ''"), topics, least)).union(enough_tags(rest, topics.where("slug = ''"), least))
+
+
 def match(learnings: DataFrame, topics: DataFrame, policy: DedupePolicy) -> DataFrame:
     """(learning_id, stage, slug) for every learning that some stage finds a topic for."""
-    keyed = learnings.select("learning_id", F.lower("topic_hint").alias("hint"), X.slug(F.col("topic_hint")).alias("hint_slug"), F.transform("tags", F.lower).alias("ltags"))
+    lower = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    keyed = learnings.select("learning_id", F.lower("topic_hint").alias("hint"), X.slug(F.col("topic_hint")).alias("hint_slug"), lower("tags").alias("ltags"))
     names = topics.select("slug", "title")
-    found = []
+    found: list[DataFrame] = []
+
+    def rest():
+        return reduce(lambda left, hits: left.join(hits.select("learning_id"), "learning_id", "left_anti"), found, keyed)
 
-    def settle(hits, stage, rest):
-        hits = checkpointed(hits.select("learning_id", F.lit(stage).alias("stage"), "slug"))
-        found.append(hits)
-        return checkpointed(rest.join(hits.select("learning_id"), "learning_id", "left_anti"))
+    def settle(hits, stage):
+        found.append(checkpointed(hits.select("learning_id", F.lit(stage).alias("stage"), "slug")))
 
-    rest = settle(keyed.join(names.select("slug"), F.col("hint_slug") == F.col("slug")), 1, keyed)
+    settle(keyed.join(names.select("slug"), F.col("hint_slug") == F.col("slug")), 1)
     alias = topics.select("slug", F.explode("aliases").alias("a")).select("slug", F.lower("a").alias("hint"))
-    rest = settle(_first(rest.join(alias, "hint")), 2, rest)
-    rest = settle(_first(_by_title(rest, names, policy)), 3, rest)
-    tag_rows = topics.select("slug", "tags", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
-    shared = rest.withColumn("tag", F.explode(F.array_distinct("ltags"))).join(tag_rows, "tag").dropDuplicates(["learning_id", "slug"])
-    enough = tag_overlap(F.col("tags"), F.col("ltags")) >= policy.tag_overlap_minimum
-    if policy.require_slug_affinity:
-        enough = enough & (F.contains("slug", "hint_slug") | F.contains("hint_slug", "slug"))
-    rest = settle(_first(shared.where(enough)), 4, rest)
+    settle(_first(rest().join(alias, "hint")), 2)
+    settle(_first(_by_title(checkpointed(rest()), names, policy)), 3)
+    tagged, left = topics.select("slug", lower("tags").alias("ltags")), checkpointed(rest().where(F.size("ltags") > 0))
+    settle(_first((_by_affinity if policy.require_slug_affinity else enough_tags)(left, tagged, policy.tag_overlap_minimum)), 4)
     if policy.tag_jaccard_threshold < 1:
-        near = shared.withColumn("j", X.jaccard(F.array_distinct("ltags"), F.array_distinct(F.transform("tags", F.lower))))
-        near = near.where(F.col("j") >= policy.tag_jaccard_threshold).join(rest.select("learning_id"), "learning_id", "left_semi")
-        settle(_first(near, -F.col("j")), 5, rest)
+        settle(nearest_tags(left.join(found[-1].select("learning_id"), "learning_id", "left_anti"), tagged, policy.tag_jaccard_threshold), 5)
     return reduce(DataFrame.unionByName, found)
 
 

@@ -1,16 +1,18 @@
 """What users repeat across sessions: similar messages and corrections, clustered around leaders.
 
-Similarity is Jaccard on token sets. Candidate pairs share a rare token: tokens are ranked by how many
-messages hold them, and only the first ``n - ceil(t * n) + 1`` of a message's n tokens are indexed, which
-any pair of similarity t or more must have one of in common, within the first places that both sizes leave
-for it. With each indexed token goes a signature of the whole set (a bit for each of 1,024 hash values that
-some token has): bits of one that the other lacks are tokens that it lacks, so most pairs are ruled out where
-they meet and never leave the join. Only the rest is compared token by token, as numbers. A token that very many messages
-index is dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
+Similarity is Jaccard on token sets. Tokens are numbered by how many messages hold them, the rarest first, and only the
+first ``n - ceil(t n) + l`` of a message's n tokens are indexed: two messages of similarity t or more that share o
+tokens have min(l, o) of them among those of both. Where the index brings them together they are counted, and a pair
+is dropped unless its count and the tokens that the one whose index ends first has beyond it could be enough. A larger l
+means more to count and far fewer pairs to compare: it is the largest whose pairs in the index, known from how often
+each token is indexed, are little more than those of l = 1. Only the rest is compared token by token, as numbers. A token
+that very many messages have is dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +27,10 @@ CORRECTIONS = ("no,", "no.", "not that", "i said", "i told you", "i meant", "wro
 INSTRUCTION, CORRECTION = "repeated-instruction", "repeated-correction"
 #: Messages that index one token, of which a tile has so many on average.
 TILE = 512
-#: 64-bit words of a signature.
-WORDS = 16
+#: Shared tokens to count (l) that are tried, and how many pairs more than those of the first the index may bring together.
+COUNTED, MORE = (1, 2, 4, 8, 16), 1.25
 #: Links between undecided messages that the driver goes through one by one, instead of further rounds.
-FEW = 100_000
+FEW = 20_000
 
 
 def user_messages(turns: DataFrame) -> DataFrame:
@@ -64,6 +66,11 @@ def classes(messages: DataFrame) -> DataFrame:
     return keyed.join(checkpointed(reps), "key", "left").select("idx", F.coalesce("rep", "idx").alias("rep"))
 
 
+def _indexed(n: Column, threshold: float, counted: int) -> Column:
+    """How many of ``n`` tokens are indexed."""
+    return F.least(n, n - F.ceil(n * threshold - 1e-9).cast("int") + counted)
+
+
 def similar_pairs(messages: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(i, j, similarity) for i < j, of class representatives with Jaccard similarity of at least ``threshold``.
 
@@ -74,66 +81,102 @@ def similar_pairs(messages: DataFrame, threshold: float, tile: int = TILE) -> Da
     sets = messages.select("idx", F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
     sets = checkpointed(sets.groupBy("set").agg(F.min("idx").alias("idx")).select("idx", "set"))
     postings = sets.select("idx", F.explode("set").alias("word"))
-    # Words as numbers: ids are drawn once, in a stored table, so they stand for the words exactly.
-    words = checkpointed(postings.groupBy("word").agg(F.count("*").alias("df")).withColumn("token", F.monotonically_increasing_id()))
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))")
-    word = F.pmod(F.shiftright(F.xxhash64("token"), 6), F.lit(WORDS))
-    signature = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
-    ranked = checkpointed(postings.join(words, "word").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), *signature))
-    indexed = F.slice("order", 1, F.size("order") - F.ceil(F.size("order") * threshold - 1e-9).cast("int") + 1)
-    prefix = ranked.select("idx", F.size("order").alias("n"), F.posexplode(indexed).alias("at", "o"), *[f"s{w}" for w in range(WORDS)]).withColumn("token", F.col("o.token")).drop("o")
-    prefix = checkpointed(prefix)
-    sizes = checkpointed(prefix.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token", F.ceil(F.col("held") / tile).alias("tiles")))
-    held = prefix.join(sizes, "token").withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("tiles")))
+    # Tokens are numbers, once for all in a stored table. What a single message has is not compared, but comes first in its order.
+    counts = postings.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    words = checkpointed(counts.repartitionByRange("df", "word").sortWithinPartitions("df", "word").select("word", "df", F.monotonically_increasing_id().alias("token")))
+    shared = postings.join(words, "word").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("order"))
+    ranked = checkpointed(shared.join(sets.select("idx", F.size("set").alias("n")), "idx").withColumn("own", F.col("n") - F.size("order")))
+
+    reach = [F.greatest(F.lit(0), _indexed(F.col("n"), threshold, k) - F.col("own")) for k in COUNTED]
+    asked = ranked.select(F.posexplode("order.token").alias("at", "token"), *[r.alias(f"r{k}") for k, r in zip(COUNTED, reach)]).where(F.col("at") < F.col(f"r{COUNTED[-1]}"))
+    held = asked.groupBy("token").agg(*[F.count_if(F.col("at") < F.col(f"r{k}")).cast("double").alias(f"h{k}") for k in COUNTED])
+    cost = held.agg(*[F.coalesce(F.sum(F.col(f"h{k}") * (F.col(f"h{k}") - 1)), F.lit(0.0)).alias(str(k)) for k in COUNTED]).first()
+    counted = max(k for k in COUNTED if cost[str(k)] <= MORE * cost[str(COUNTED[0])])
+
+    index = F.slice("order", 1, F.greatest(F.lit(0), _indexed(F.col("n"), threshold, counted) - F.col("own")))
+    prefix = ranked.select("idx", "n", index.alias("index")).select("idx", "n", F.element_at("index.token", -1).alias("ends"), F.explode("index").alias("o"))
+    prefix = prefix.select("idx", "n", "ends", F.col("o.token").alias("token"), F.ceil(F.col("o.df") / tile).alias("tiles"))
+    placed = prefix.withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = held.withColumn("other", other).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "tiles")
+    dealt = placed.withColumn("other", other).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "tiles")
     a, b = dealt.alias("a"), dealt.alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     once = (F.col("a.mine") != F.col("b.mine")) | (F.col("a.lo") == F.col("a.hi"))
-    # Tokens that a pair must share at least, and so the places (from 0) that its first shared token can have.
-    least = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
-    early = (F.col("a.at") <= F.col("a.n") - least) & (F.col("b.at") <= F.col("b.n") - least)
-    lacking = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{w}")))) for w in range(WORDS)), F.lit(0))
-    near = (F.col("a.n") - lacking("a", "b") >= least) & (F.col("b.n") - lacking("b", "a") >= least)
-    pairs = a.join(b, same & (F.col("a.idx") < F.col("b.idx")) & once & early & near).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
+    sized = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
+    met = a.join(b, same & (F.col("a.idx") < F.col("b.idx")) & once & sized)
+    met = met.groupBy(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).agg(F.count("*").alias("common"), F.first(F.struct("a.n", "a.ends")).alias("x"), F.first(F.struct("b.n", "b.ends")).alias("y"))
+    # Tokens that such a pair shares at least, and those of the message whose index ends first that are beyond it.
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9)
+    ended = F.when(F.col("x.ends") < F.col("y.ends"), F.col("x.n")).when(F.col("x.ends") > F.col("y.ends"), F.col("y.n")).otherwise(F.least("x.n", "y.n"))
+    pairs = met.where(F.col("common") + ended - _indexed(ended, threshold, counted) >= least).select("i", "j")
     pairs = pairs.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")  # few bytes, much work
-    left, right = ranked.select(F.col("idx").alias("i"), F.col("order.token").alias("s")), ranked.select(F.col("idx").alias("j"), F.col("order.token").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    checked = pairs.join(left, "i").join(right, "j").withColumn("similarity", shared / (F.size("s") + F.size("t") - shared))
+    left, right = ranked.select(F.col("idx").alias("i"), F.col("n").alias("m"), F.col("order.token").alias("s")), ranked.select(F.col("idx").alias("j"), "n", F.col("order.token").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    checked = pairs.join(left, "i").join(right, "j").withColumn("similarity", both / (F.col("m") + F.col("n") - both))
     return checked.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
 
 
+def _along(single: DataFrame) -> DataFrame:
+    """(v, r, flip): ``single`` (v, r, flip) with each row's chain followed to its end: v leads as r does, or not as it does with ``flip``.
+
+    Every step composes a row with that of its own end, so a chain is followed in as many steps as its length has bits.
+    """
+    while True:
+        further = single.select(F.col("v").alias("r"), F.col("r").alias("further"), F.col("flip").alias("again"))
+        single = checkpointed(single.join(further, "r", "left").select("v", F.coalesce("further", "r").alias("r"), (F.col("flip") != F.coalesce("again", F.lit(False))).alias("flip"), F.col("further").isNotNull().alias("moved")))
+        if single.where("moved").isEmpty():
+            return single.select("v", "r", "flip")
+        single = single.select("v", "r", "flip")
+
+
+def first_independent(nodes: DataFrame, links: DataFrame, few: int = FEW) -> DataFrame:
+    """(idx, leads) of the lexicographically first maximal independent set: a node leads unless an earlier neighbour does.
+
+    ``links`` (i, j) with i < j. A round keeps, for each undecided node, what it hangs on: "i leads", or with ``turned`` "i
+    does not lead". One that hangs on nothing leads, one on two things of which one must hold does not. One that
+    hangs on a single thing is a function of that node; chains of these are followed at once (``_along``), and whoever
+    hangs on such a node hangs on its chain's end from then on. As soon as few (``few``) are left, they are gone through
+    one by one.
+    """
+    none = checkpointed(nodes.select("idx", F.lit(None).cast("boolean").alias("leads")).limit(0))
+    live, parts = checkpointed(links.select(F.col("j").alias("v"), F.col("i").alias("r"), F.lit(False).alias("turned")).distinct()), [none]
+    while True:
+        decided = reduce(DataFrame.unionByName, parts)
+        hangs = live.groupBy("v").agg(F.count("*").alias("things"), F.min("r").alias("r"), F.min("turned").alias("turned"))
+        roots = live.select(F.col("r").alias("idx")).distinct().join(hangs.select(F.col("v").alias("idx")), "idx", "left_anti").join(decided, "idx", "left")
+        rest = live.limit(few + 1).collect()
+        if len(rest) <= few:
+            known = {r.idx: r.leads is not False for r in roots.collect()}
+            for v, r, turned in sorted(map(tuple, rest), key=lambda x: x[:2]):  # all that a node hangs on is decided before it
+                known[v] = known.get(v, True) and known[r] == turned
+            schema = T.StructType([T.StructField("idx", nodes.schema["idx"].dataType), T.StructField("leads", T.BooleanType())])
+            last = nodes.sparkSession.createDataFrame([(v, known[v]) for v in {v for v, _, _ in rest}], schema)
+            return nodes.select("idx").join(decided.unionByName(last), "idx", "left").select("idx", F.coalesce("leads", F.lit(True)).alias("leads"))
+        roots = checkpointed(roots.select("idx", F.coalesce("leads", F.lit(True)).alias("leads"), F.col("leads").isNull().alias("new")))
+        ends = _along(checkpointed(hangs.where("things = 1").select("v", "r", (~F.col("turned")).alias("flip"))))
+        by_end = checkpointed(ends.join(roots.select(F.col("idx").alias("r"), "leads"), "r").select(F.col("v").alias("idx"), (F.col("leads") != F.col("flip")).alias("leads")))
+        state = roots.select("idx", "leads").unionByName(by_end).select(F.col("idx").alias("r"), "leads")
+        moved = ends.select(F.col("v").alias("r"), F.col("r").alias("end"), "flip")
+        asked = live.join(by_end.select(F.col("idx").alias("v")), "v", "left_anti").join(state, "r", "left").join(moved, "r", "left")
+        asked = checkpointed(asked.select("v", (F.col("leads") != F.col("turned")).alias("holds"), F.coalesce("end", "r").alias("r"), (F.col("turned") != F.coalesce("flip", F.lit(False))).alias("turned")))
+        open_ = asked.where("holds is null").groupBy("v", "r").agg(F.min("turned").alias("turned"), (F.min("turned") != F.max("turned")).alias("torn"))
+        told = asked.groupBy("v").agg(F.bool_or("holds").alias("holds"), F.count_if(F.col("holds").isNull()).alias("left"))
+        told = told.join(open_.where("torn").select("v", "torn").distinct(), "v", "left")
+        told = told.select(F.col("v").alias("idx"), F.when(F.coalesce("holds", F.lit(False)) | F.col("torn").isNotNull(), False).when(F.col("left") == 0, True).alias("leads"))
+        told = checkpointed(told.where("leads is not null"))
+        parts += [roots.where("new").select("idx", "leads"), by_end, told]
+        live = checkpointed(open_.select("v", "r", "turned").join(told.select(F.col("idx").alias("v")), "v", "left_anti"))
+
+
 def leaders(messages: DataFrame, threshold: float, few: int = FEW) -> DataFrame:
     """(idx, leader) by leader clustering in order of ``idx``: a message joins its first similar leader, else leads.
 
-    Rounds of the lexicographically first maximal independent set over ``live``, the links among the undecided:
-    one without an earlier neighbour there leads, the neighbours of those follow, the others wait. As soon as few
-    (``few``) links are left among those that wait, they are gone through one by one instead, so the number of
-    rounds does not grow with a long chain. Copies of a token set follow their first one, which is what going
-    through them one by one gives too.
+    Copies of a token set follow their first one, which is what going through them one by one gives too.
     """
     messages = checkpointed(messages.select("idx", "tokens"))
     members = classes(messages)
     edges = checkpointed(similar_pairs(messages, threshold).select("i", "j"))
-    state = checkpointed(members.select(F.col("rep").alias("idx")).distinct().select("idx", F.lit(None).cast("boolean").alias("leads")))
-    live = edges
-    while True:
-        rest = live.limit(few + 1).collect()
-        if len(rest) <= few:
-            leads: dict = {}
-            for i, j in sorted(rest, key=lambda r: (r.j, r.i)):  # all earlier ones of a message are decided before it
-                leads.setdefault(i, True)
-                leads[j] = leads.get(j, True) and not leads[i]
-            schema = T.StructType([T.StructField("idx", state.schema["idx"].dataType), T.StructField("found", T.BooleanType())])
-            decided = state.sparkSession.createDataFrame(list(leads.items()), schema)
-            state = state.join(decided, "idx", "left").select("idx", F.coalesce("leads", "found", F.lit(True)).alias("leads"))
-            break
-        waiting = live.select(F.col("j").alias("idx")).distinct().withColumn("waits", F.lit(True))
-        step = checkpointed(state.join(waiting, "idx", "left").select("idx", F.coalesce("leads", F.when(F.col("waits").isNull(), True)).alias("leads")))
-        led = live.join(step.where("leads").select(F.col("idx").alias("i")), "i").select(F.col("j").alias("idx")).distinct().withColumn("led", F.lit(True))
-        state = checkpointed(step.join(led, "idx", "left").select("idx", F.coalesce("leads", F.when(F.col("led"), False)).alias("leads")))
-        undecided = state.where("leads is null").select("idx")
-        live = checkpointed(live.join(undecided.withColumnRenamed("idx", "i"), "i").join(undecided.withColumnRenamed("idx", "j"), "j").select("i", "j"))
+    state = checkpointed(first_independent(members.select(F.col("rep").alias("idx")).distinct(), edges, few))
     lead = state.where("leads").select(F.col("idx").alias("i"))
     first = edges.join(lead, "i").groupBy(F.col("j").alias("idx")).agg(F.min("i").alias("first"))
     led = state.join(first, "idx", "left").select(F.col("idx").alias("rep"), F.when(F.col("leads"), F.col("idx")).otherwise(F.col("first")).alias("leader"))

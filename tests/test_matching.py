@@ -128,3 +128,51 @@ def test_empty_hints_and_titles(spark, store):
     assert outcomes(spark, store, rows, DedupePolicy())[1] == (3, "aws-sso", "APPEND")
     untitled = store.union(spark.createDataFrame([topic("u", "", body="x")], TOPICS))
     assert outcomes(spark, untitled, rows, DedupePolicy())[2] == (3, "u", "APPEND")
+
+
+def plain_tags(rows, topics, least, threshold):
+    """(by count, by Jaccard) for each learning, one topic after the other."""
+    first, near = {}, {}
+    for n, tags in rows:
+        own = {t.lower() for t in tags}
+        for slug, held in sorted(topics):
+            lower = [t.lower() for t in held]
+            if own and sum(t in own for t in lower) >= least:
+                first.setdefault(n, slug)
+            j = len(own & set(lower)) / max(1, len(own | set(lower)))
+            if lower and own and j >= threshold and j > near.get(n, (0,))[0]:
+                near[n] = j, slug
+    return first, {n: slug for n, (_, slug) in near.items()}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_tag_stages_agree_with_plain_loops(spark, least):
+    import random
+
+    rng = random.Random(least)
+    names = [f"T{i}" for i in range(14)]
+    some = lambda most: [rng.choice(names).swapcase() if rng.random() < 0.3 else rng.choice(names) for _ in range(rng.randint(0, most))]
+    rows = [(i, some(7)) for i in range(80)] + [(100, [f"t{i}" for i in range(60)]), (101, ["hot"])]
+    topics_ = [(f"s{rng.randint(0, 10**6)}-{i}", [*some(7), *["HOT"] * rng.randint(0, 2)]) for i in range(70)] + [("a-wide", [f"T{i}" for i in range(50)])]
+    learnings = spark.createDataFrame([(n, [t.lower() for t in tags]) for n, tags in rows], "learning_id long, ltags array<string>")
+    held = spark.createDataFrame([(s, [t.lower() for t in tags]) for s, tags in topics_], "slug string, ltags array<string>")
+    for threshold in (0.35, 0.5):
+        first, near = plain_tags(rows, topics_, least, threshold)
+        assert {r.learning_id: r.slug for r in matching._first(matching.enough_tags(learnings, held, least)).collect()} == first
+        assert {r.learning_id: r.slug for r in matching.nearest_tags(learnings, held, threshold).collect()} == near
+
+
+def test_a_tag_that_all_topics_have_meets_one_row_a_key(spark):
+    """Rows that leave the joins of the tag stages: learnings times keys, not times topics."""
+    topics_ = spark.range(3000).selectExpr("concat('t', id) as slug", "array('all', concat('own', id), concat('g', id % 5)) as ltags")
+    learnings = spark.range(400).selectExpr("id as learning_id", "array('all', concat('g', id % 5)) as ltags", "concat('h', id) as hint_slug")
+    for found, most in ((matching.enough_tags(learnings, topics_, 1), 400 * 3), (matching.enough_tags(learnings, topics_, 2), 400 * 3), (matching._by_affinity(learnings, topics_, 2), 400)):
+        assert found.count() <= most
+    assert {r.slug for r in matching._first(matching.enough_tags(learnings, topics_, 2)).collect()} == {"t0", "t1", "t2", "t3", "t4"}
+
+
+def test_affinity_with_empty_slugs(spark):
+    topics_ = spark.createDataFrame([("", ["a", "b"]), ("tool", ["a", "b"]), ("other", ["a"])], "slug string, ltags array<string>")
+    rows = spark.createDataFrame([(1, "my-tool-box", ["a", "b"]), (2, "", ["a", "b"]), (3, "oo", ["a", "b"]), (4, "else", ["a", "c"])], "learning_id long, hint_slug string, ltags array<string>")
+    got = matching._by_affinity(rows, topics_, 2).collect()
+    assert {(r.learning_id, r.slug) for r in got} == {(1, "tool"), (3, "tool"), (1, ""), (2, ""), (3, "")}

@@ -38,6 +38,32 @@ def test_pairs_and_leaders_are_those_of_the_plain_loops(spark, monkeypatch, seed
         assert {r.idx: r.leader for r in patterns.leaders(df, threshold, few).collect()} == sequential(sets, threshold)
 
 
+def greedy(n, links):
+    leads = {}
+    for v in range(n):
+        leads[v] = not any(leads[i] for i, j in links if j == v)
+    return leads
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_agree_with_going_one_by_one(spark, seed):
+    rng, n = random.Random(seed), 60
+    links = {(v - rng.choice([1, 1, 1, 2]), v) for v in range(2, n) if rng.random() < 0.8} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(15 * seed)}
+    nodes = spark.range(n).withColumnRenamed("id", "idx")
+    df = spark.createDataFrame(sorted(links), "i long, j long")
+    for few in (0, 10):
+        assert {r.idx: r.leads for r in patterns.first_independent(nodes, df, few).collect()} == greedy(n, links)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 5000, []
+    along = patterns._along
+    monkeypatch.setattr(patterns, "_along", lambda single: rounds.append(1) or along(single))
+    nodes, links = spark.range(n).withColumnRenamed("id", "idx"), spark.range(1, n).selectExpr("id - 1 as i", "id as j")
+    got = {r.idx: r.leads for r in patterns.first_independent(nodes, links, 0).collect()}
+    assert got == {v: v % 2 == 0 for v in range(n)} and len(rounds) == 1
+
+
 def test_large_sets_and_long_chains(spark):
     """Sets that fill their signatures, and a chain in which each message is like the one before it alone."""
     rng = random.Random(6)

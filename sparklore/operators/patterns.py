@@ -1,18 +1,20 @@
 """What users repeat across sessions: similar messages and corrections, clustered around leaders.
 
-Similarity is Jaccard on token sets. Tokens are numbered by how many messages hold them, the rarest first, and only the
+Similarity is Jaccard on token sets. Tokens are ordered by how many messages hold them, the rarest first, and only the
 first ``n - ceil(t n) + l`` of a message's n tokens are indexed: two messages of similarity t or more that share o
 tokens have min(l, o) of them among those of both. Where the index brings them together they are counted, and a pair
 is dropped unless its count and the tokens that the one whose index ends first has beyond it could be enough. A larger l
 means more to count and far fewer pairs to compare: it is the largest whose pairs in the index, known from how often
-each token is indexed, are little more than those of l = 1. Only the rest is compared token by token, as numbers. A token
-that very many messages have is dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
+each token is indexed, are little more than those of l = 1. The index has hashes of tokens: two tokens of one hash can
+only add to a count. What is left is compared token by token, as text. A token that very many messages have is dealt in tiles, so no task gets all of its pairs; the pairs themselves are never gathered.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ INSTRUCTION, CORRECTION = "repeated-instruction", "repeated-correction"
 TILE = 512
 #: Shared tokens to count (l) that are tried, and how many pairs more than those of the first the index may bring together.
 COUNTED, MORE = (1, 2, 4, 8, 16), 1.25
+#: Tokens, the most frequent ones, whose frequency every task knows (16 bytes each); others count as rare.
+COMMON = 1 << 20
 #: Links between undecided messages that the driver goes through one by one, instead of further rounds.
 FEW = 20_000
 
@@ -60,7 +64,7 @@ def corrections(turns: DataFrame) -> DataFrame:
 
 def classes(messages: DataFrame) -> DataFrame:
     """(idx, rep): messages (idx, tokens) of equal token sets share the smallest idx; those without tokens have their own."""
-    keyed = messages.select("idx", F.array_sort(F.array_distinct("tokens")).alias("set"))
+    keyed = messages.select("idx", F.sort_array(F.array_distinct("tokens")).alias("set"))
     keyed = keyed.withColumn("key", F.when(F.size("set") > 0, F.sha2(F.array_join("set", "\n"), 256)))
     reps = keyed.where("key is not null").groupBy("key").agg(F.min("idx").alias("rep"))
     return keyed.join(checkpointed(reps), "key", "left").select("idx", F.coalesce("rep", "idx").alias("rep"))
@@ -78,42 +82,69 @@ def similar_pairs(messages: DataFrame, threshold: float, tile: int = TILE) -> Da
     """
     if threshold <= 0:
         raise ValueError("threshold must be over 0")
-    sets = messages.select("idx", F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
-    sets = checkpointed(sets.groupBy("set").agg(F.min("idx").alias("idx")).select("idx", "set"))
-    postings = sets.select("idx", F.explode("set").alias("word"))
-    # Tokens are numbers, once for all in a stored table. What a single message has is not compared, but comes first in its order.
-    counts = postings.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
-    words = checkpointed(counts.repartitionByRange("df", "word").sortWithinPartitions("df", "word").select("word", "df", F.monotonically_increasing_id().alias("token")))
-    shared = postings.join(words, "word").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("order"))
-    ranked = checkpointed(shared.join(sets.select("idx", F.size("set").alias("n")), "idx").withColumn("own", F.col("n") - F.size("order")))
-
-    reach = [F.greatest(F.lit(0), _indexed(F.col("n"), threshold, k) - F.col("own")) for k in COUNTED]
-    asked = ranked.select(F.posexplode("order.token").alias("at", "token"), *[r.alias(f"r{k}") for k, r in zip(COUNTED, reach)]).where(F.col("at") < F.col(f"r{COUNTED[-1]}"))
-    held = asked.groupBy("token").agg(*[F.count_if(F.col("at") < F.col(f"r{k}")).cast("double").alias(f"h{k}") for k in COUNTED])
-    cost = held.agg(*[F.coalesce(F.sum(F.col(f"h{k}") * (F.col(f"h{k}") - 1)), F.lit(0.0)).alias(str(k)) for k in COUNTED]).first()
-    counted = max(k for k in COUNTED if cost[str(k)] <= MORE * cost[str(COUNTED[0])])
-
-    index = F.slice("order", 1, F.greatest(F.lit(0), _indexed(F.col("n"), threshold, counted) - F.col("own")))
-    prefix = ranked.select("idx", "n", index.alias("index")).select("idx", "n", F.element_at("index.token", -1).alias("ends"), F.explode("index").alias("o"))
-    prefix = prefix.select("idx", "n", "ends", F.col("o.token").alias("token"), F.ceil(F.col("o.df") / tile).alias("tiles"))
-    placed = prefix.withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("tiles")))
+    sets = messages.select("idx", F.sort_array(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
+    sets = sets.groupBy("set").agg(F.min("idx").alias("idx"))
+    sets = checkpointed(sets.select("idx", F.monotonically_increasing_id().alias("k"), "set", F.transform("set", lambda w: F.xxhash64(w)).alias("hashes")))
+    counts = sets.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    common = counts.orderBy(F.desc("df"), "token").limit(COMMON).toPandas()
+    ranked = checkpointed(_ranked(sets.select("k", "hashes"), common["token"].to_numpy(), common["df"].to_numpy(), tile))
+
+    reach = [F.greatest(F.lit(0), _indexed(F.col("n"), threshold, l) - F.col("own")) for l in COUNTED]  # noqa: E741
+    asked = ranked.select(F.posexplode("tokens").alias("at", "token"), *[r.alias(f"r{l}") for l, r in zip(COUNTED, reach)]).where(F.col("at") < F.col(f"r{COUNTED[-1]}"))  # noqa: E741
+    held = asked.groupBy("token").agg(*[F.count_if(F.col("at") < F.col(f"r{l}")).cast("double").alias(f"h{l}") for l in COUNTED])  # noqa: E741
+    cost = held.agg(*[F.coalesce(F.sum(F.col(f"h{l}") * (F.col(f"h{l}") - 1)), F.lit(0.0)).alias(str(l)) for l in COUNTED]).first()  # noqa: E741
+    counted = max(l for l in COUNTED if cost[str(l)] <= MORE * cost[str(COUNTED[0])])  # noqa: E741
+
+    index = F.greatest(F.lit(0), _indexed(F.col("n"), threshold, counted) - F.col("own"))
+    prefix = ranked.withColumn("index", index).where("index > 0").select("k", "n", F.element_at("tokens", F.least("index", F.size("tokens"))).alias("last"), F.element_at("dfs", F.least("index", F.size("tokens"))).alias("last_df"), F.explode(F.slice(F.arrays_zip("tokens", "dfs"), F.lit(1), F.col("index"))).alias("o"))
+    prefix = prefix.select("k", "n", "last_df", "last", F.col("o.tokens").alias("token"), F.ceil(F.col("o.dfs") / tile).alias("tiles"))
+    placed = prefix.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     dealt = placed.withColumn("other", other).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "tiles")
     a, b = dealt.alias("a"), dealt.alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     once = (F.col("a.mine") != F.col("b.mine")) | (F.col("a.lo") == F.col("a.hi"))
     sized = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    met = a.join(b, same & (F.col("a.idx") < F.col("b.idx")) & once & sized)
-    met = met.groupBy(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).agg(F.count("*").alias("common"), F.first(F.struct("a.n", "a.ends")).alias("x"), F.first(F.struct("b.n", "b.ends")).alias("y"))
-    # Tokens that such a pair shares at least, and those of the message whose index ends first that are beyond it.
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9)
-    ended = F.when(F.col("x.ends") < F.col("y.ends"), F.col("x.n")).when(F.col("x.ends") > F.col("y.ends"), F.col("y.n")).otherwise(F.least("x.n", "y.n"))
-    pairs = met.where(F.col("common") + ended - _indexed(ended, threshold, counted) >= least).select("i", "j")
-    pairs = pairs.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")  # few bytes, much work
-    left, right = ranked.select(F.col("idx").alias("i"), F.col("n").alias("m"), F.col("order.token").alias("s")), ranked.select(F.col("idx").alias("j"), "n", F.col("order.token").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    checked = pairs.join(left, "i").join(right, "j").withColumn("similarity", both / (F.col("m") + F.col("n") - both))
-    return checked.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
+    # Tokens that such a pair shares at least, less those of the message whose index ends first that are beyond it.
+    least = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
+    before = lambda x, y: (F.col(f"{x}.last_df") < F.col(f"{y}.last_df")) | ((F.col(f"{x}.last_df") == F.col(f"{y}.last_df")) & (F.col(f"{x}.last") < F.col(f"{y}.last")))
+    ended = F.when(before("a", "b"), F.col("a.n")).when(before("b", "a"), F.col("b.n")).otherwise(F.least("a.n", "b.n"))
+    need = least - (ended - _indexed(ended, threshold, counted))
+    met = a.join(b, same & (F.col("a.k") < F.col("b.k")) & once & sized).select(F.col("a.k").alias("x"), F.col("b.k").alias("y"), need.alias("need"))
+    pairs = met.groupBy("x", "y").agg(F.count("*").alias("common"), F.max("need").alias("need")).where("common >= need").select("x", "y")
+    pairs = pairs.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x")  # few bytes, much work
+    left, right = (sets.select(F.col("k").alias(c), F.col("idx").alias(f"{c}_idx"), F.col("set").alias(f"{c}_set")) for c in ("x", "y"))
+    both = F.size(F.array_intersect("x_set", "y_set"))
+    checked = pairs.join(left, "x").join(right, "y").withColumn("similarity", both / (F.size("x_set") + F.size("y_set") - both))
+    return checked.where(F.col("similarity") >= threshold).select(F.least("x_idx", "y_idx").alias("i"), F.greatest("x_idx", "y_idx").alias("j"), "similarity")
+
+
+def _ranked(sets: DataFrame, common: np.ndarray, dfs: np.ndarray, tile: int) -> DataFrame:
+    """(k, n, own, tokens, dfs): each set's tokens in order, with what is known of how many messages hold them.
+
+    ``common`` are the ``COMMON`` most frequent tokens that more than one message holds. If that is all of them, others are
+    left out and just counted (``own``), as they stand first and meet nothing; else they stand first by their hash.
+    """
+    complete, order = len(common) < COMMON, np.argsort(common)
+    keys, known = sets.sparkSession.sparkContext.broadcast(common[order]), sets.sparkSession.sparkContext.broadcast(dfs[order])
+
+    def run(batches):
+        tokens, counts = keys.value, known.value
+        for batch in batches:
+            held = batch.column(1)
+            values, sizes = held.flatten().to_numpy(zero_copy_only=False), np.asarray(held.value_lengths())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(tokens, values), max(0, len(tokens) - 1))
+            found = tokens[at] == values if len(tokens) else np.zeros(len(values), bool)
+            df = np.where(found, counts[at], 1) if len(tokens) else np.ones(len(values), np.int64)
+            kept = np.flatnonzero(found) if complete else np.arange(len(values))
+            kept = kept[np.lexsort((values[kept], df[kept], row[kept]))]
+            left = np.bincount(row[kept], minlength=len(sizes))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (values[kept], df[kept].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.array((sizes - left).astype(np.int32)), *lists], names=["k", "n", "own", "tokens", "dfs"])
+
+    return sets.mapInArrow(run, "k long, n int, own int, tokens array<long>, dfs array<long>")
 
 
 def _along(single: DataFrame) -> DataFrame:
@@ -173,7 +204,7 @@ def leaders(messages: DataFrame, threshold: float, few: int = FEW) -> DataFrame:
 
     Copies of a token set follow their first one, which is what going through them one by one gives too.
     """
-    messages = checkpointed(messages.select("idx", "tokens"))
+    messages = checkpointed(messages.select("idx", F.sort_array(F.array_distinct("tokens")).alias("tokens")))
     members = classes(messages)
     edges = checkpointed(similar_pairs(messages, threshold).select("i", "j"))
     state = checkpointed(first_independent(members.select(F.col("rep").alias("idx")).distinct(), edges, few))

@@ -35,6 +35,33 @@ SECRET_PATTERNS = (
     (r"xox[bpoas]-[A-Za-z0-9\-]{10,}", "[REDACTED:slack-token]"),
     (r"""(?iU)(npm[_\-]?token\s*[=:]\s*)[^\s'"]+""", "$1[REDACTED:npm-token]"),
 )
+#: What a match of each pattern has in it, in lower case: one of these.
+LITERALS = (
+    ("akia",),
+    ("aws",),
+    ("bearer",),
+    ("eyj",),
+    ("anthropic",),
+    ("openai",),
+    ("gemini",),
+    ("sk-ant-",),
+    ("sk-",),
+    ("ghp_",),
+    ("gho_",),
+    ("github_pat_",),
+    ("github",),
+    ("passw", "pwd"),
+    ("mongodb",),
+    ("postgres",),
+    ("mysql://",),
+    ("redis://",),
+    ("-----begin",),
+    ("api",),
+    ("secret",),
+    ("access",),
+    ("xox",),
+    ("npm",),
+)
 
 
 def trim_space(text: Column) -> Column:
@@ -86,23 +113,42 @@ def truncate_lines(text: Column, most: int = MAX_LINES) -> Column:
     lines = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
     lines = F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))
     head, tail = most // 2, most - most // 2
+    # Fixed value: the note of omitted lines.
     note = F.concat(F.lit("[... "), (F.size(lines) - most).cast("string"), F.lit(" lines omitted ...]"))
     cut = F.array_join(F.concat(F.slice(lines, 1, head), F.array(note), F.slice(lines, -tail, tail)), "\n")
     return F.when(F.size(lines) <= most, text).otherwise(cut)
 
 
+def _gates() -> list[tuple[str, ...]]:
+    """For each pattern the literals of which a text must have one for it to match, also after the replacements of those before.
+
+    A replacement brings in its label alone, which has brackets at its ends, so no literal arises across them.
+    """
+    out: list[tuple[str, ...]] = []
+    for k, own in enumerate(LITERALS):
+        more = [g for m in range(k) for g in out[m] if any(x in SECRET_PATTERNS[m][1].lower() for x in own)]
+        out.append(tuple(dict.fromkeys([*own, *more])))
+    return out
+
+
+def _fitting(text: Column, then) -> Column:
+    """``then`` of the patterns, as (pattern, label) in their order, of whose literals ``text`` has one.
+
+    Patterns that ignore case take these three letters for s and i, which lower-casing does not.
+    """
+    table = F.array(*[F.struct(F.array(*map(F.lit, gate)).alias("gate"), F.lit(p).alias("pattern"), F.lit(label).alias("label")) for gate, (p, label) in zip(_gates(), SECRET_PATTERNS)])
+    folded = F.lower(F.when(contains_any(text, "\u017f\u0130\u0131"), F.translate(text, "\u017f\u0130\u0131", "sii")).otherwise(text))
+    # As a lambda's variable the folded text is made once.
+    return F.element_at(F.transform(F.array(folded), lambda f: then(F.filter(table, lambda x: F.exists(x["gate"], lambda g: F.contains(f, g))))), 1)
+
+
 def scrub(text: Column) -> Column:
-    """``text`` with every secret pattern replaced, one after the other."""
-    for pattern, label in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, label)
-    return text
+    """``text`` with every secret pattern replaced, one after the other; those that cannot match are not tried."""
+    return _fitting(text, lambda found: F.aggregate(found, text, lambda held, x: F.regexp_replace(held, x["pattern"], x["label"])))
 
 
 def contains_secret(text: Column) -> Column:
-    found = F.lit(False)
-    for pattern, _ in SECRET_PATTERNS:
-        found = found | text.rlike(pattern)
-    return found
+    return F.when(text.isNotNull(), _fitting(text, lambda found: F.exists(found, lambda x: F.regexp_like(text, x["pattern"]))))
 
 
 def contains_any(text: Column, phrases) -> Column:

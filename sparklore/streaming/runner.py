@@ -22,32 +22,12 @@ from ..functions.turns import has, is_error, text_content, tool_name, turn_type
 from ..operators import discovery, matching, merge, patterns, search, transcript
 from ..shared import checkpointed
 from ..sources.topics import GrowingTable, TopicTable
+from .model import Model, answers, asked
+
+__all__ = ["Model", "Pass", "Store", "answers", "asked", "run_once", "run_pass", "start", "typed"]
 
 #: Sessions of a pass that are opened by name.
 FEW = 1000
-#: From (context_id, system, prompt) to (context_id, response); a table of stored answers will do.
-Model = Callable[[DataFrame], DataFrame]
-
-
-def answers(table: DataFrame) -> Model:
-    """A model that looks its answers up in ``table`` (context_id, response)."""
-    return lambda prompts: prompts.select("context_id").join(table, "context_id")
-
-
-def asked(complete: Callable[[str, str], str]) -> Model:
-    """A model that asks ``complete`` (system text, prompt) within the tasks; a failing call gives no proper answer."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for system, prompt in zip(frame["system"], frame["prompt"]):
-                try:
-                    out.append(complete(system, prompt))
-                except Exception as e:  # whatever the caller's client raises
-                    out.append(f"request failed: {e}")
-            yield frame[["context_id"]].assign(response=out)
-
-    return lambda prompts: prompts.mapInPandas(run, schemas.RESPONSES)
 
 
 @dataclass

@@ -115,13 +115,14 @@ def _packed(rows: DataFrame, size: int, planes: bool) -> DataFrame:
     return out.select(F.monotonically_increasing_id().alias("number"), "*")
 
 
-def _dealt(pairs: DataFrame, blocks: DataFrame, n_tiles: int, n_blocks: int) -> DataFrame:
+def _dealt(pairs: DataFrame, blocks: DataFrame, n_rows: int, n_blocks: int) -> DataFrame:
     """``pairs`` (a tile's columns, block) with their block's columns (``a_``), those of a block and slot beside each other.
 
-    Blocks are copied to as many slots as keep all tasks at work: to many where blocks are few, to one where they are many.
+    Blocks are copied to as many slots as keep all tasks at work: to many where blocks are few, to one where they are many,
+    but each for the rows of two full tiles at least.
     """
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = max(1, min(n_tiles, -(-2 * tasks // max(1, n_blocks))))
+    slots = max(1, min(-(-n_rows // (2 * TILE)), -(-2 * tasks // max(1, n_blocks))))
     left = pairs.withColumn("slot", F.pmod(F.xxhash64("number"), F.lit(slots)).cast("int")).repartition(tasks, "block", "slot").sortWithinPartitions("block", "slot")
     right = blocks.select(F.col("number").alias("block"), *(F.col(c).alias(f"a_{c}") for c in blocks.columns if c != "number"))
     right = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(tasks, "block", "slot")
@@ -209,7 +210,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
     rows = rows.where("id is not null and label is not null and v is not null").groupBy("id").agg(F.min(F.struct("label", "v", "anchor")).alias("r")).select("id", "r.*")
     rows = stored(rows, "negatives_rows")
     tiles, blocks = stored(_packed(rows, tile, True), "negatives_tiles"), stored(_packed(rows.where("anchor"), block, False), "negatives_blocks")
-    n_tiles, numbers = tiles.count(), [r.number for r in blocks.select("number").collect()]  # one of some 200,000 rows
+    n_rows, numbers = rows.count(), [r.number for r in blocks.select("number").collect()]  # one of some 200,000 rows
     has = lambda df, name: df.select(F.col("number").alias(name), F.explode(F.array_distinct("labels")).alias("label"))
     same = has(tiles, "number").join(has(blocks, "block"), "label").select("number", "block").distinct()
 
@@ -221,7 +222,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
         anchor, _, ids, found = _found(block_, 1)
         return pa.RecordBatch.from_arrays([pa.array(block_.ids[anchor]), pa.array(ids), pa.array(found)], names=["anchor_id", "positive_id", "positive_score"])
 
-    near = _dealt(same.join(tiles, "number"), blocks, n_tiles, len(numbers)).mapInArrow(lambda b: _best_of(b, 1, positives, same_label, positives_of), "anchor_id long, positive_id long, positive_score long")
+    near = _dealt(same.join(tiles, "number"), blocks, n_rows, len(numbers)).mapInArrow(lambda b: _best_of(b, 1, positives, same_label, positives_of), "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     near = stored(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= positives), "negatives_positives")
 
@@ -255,7 +256,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
         columns = [block_.ids[anchor], asked_ids[anchor, k], ids, asked_scores[anchor, k], found]
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
 
-    far = _dealt(pairs, asked, n_tiles, len(numbers)).mapInArrow(lambda b: _best_of(b, positives, negatives, other_label, negatives_of), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
+    far = _dealt(pairs, asked, n_rows, len(numbers)).mapInArrow(lambda b: _best_of(b, positives, negatives, other_label, negatives_of), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -22,6 +22,8 @@ from .common import small_batches, stored
 
 #: Rows of a tile, anchors of a block, and how many of these are looked up at a time (their tables should stay in cache).
 TILE, BLOCK, AT_ONCE = 1024, 2048, 256
+#: Blocks of a task whose tables are kept (some 16 MB each).
+TABLES = 4
 
 
 def bit_planes(x: np.ndarray) -> np.ndarray:
@@ -116,14 +118,14 @@ def _packed(rows: DataFrame, size: int, planes: bool) -> DataFrame:
 
 
 def _dealt(pairs: DataFrame, blocks: DataFrame, n_rows: int, n_blocks: int) -> DataFrame:
-    """``pairs`` (a tile's columns, block) with their block's columns (``a_``), those of a block and slot beside each other.
+    """``pairs`` (a tile's columns, block) with their block's columns (``a_``), those of a block and slot in one task, in any order.
 
     Blocks are copied to as many slots as keep all tasks at work: to many where blocks are few, to one where they are many,
     but each for the rows of two full tiles at least.
     """
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = max(1, min(-(-n_rows // (2 * TILE)), -(-2 * tasks // max(1, n_blocks))))
-    left = pairs.withColumn("slot", F.pmod(F.xxhash64("number"), F.lit(slots)).cast("int")).repartition(tasks, "block", "slot").sortWithinPartitions("block", "slot")
+    left = pairs.withColumn("slot", F.pmod(F.xxhash64("number"), F.lit(slots)).cast("int")).repartition(tasks, "block", "slot")
     right = blocks.select(F.col("number").alias("block"), *(F.col(c).alias(f"a_{c}") for c in blocks.columns if c != "number"))
     right = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(tasks, "block", "slot")
     return left.join(right.hint("shuffle_hash"), ["block", "slot"])
@@ -141,11 +143,15 @@ class _Block:
     """The anchors of a block, their tables, and ``lists`` lists of each anchor's best candidates so far."""
 
     def __init__(self, row: pa.RecordBatch, lists: int, most: int):
-        self.number, self.anchors = row.column("block")[0].as_py(), _numbers(row, "a_", np.int64)
+        self.row, self.anchors = row, _numbers(row, "a_", np.int64)
         self.ids, self.labels, self.kind = _array(row, "a_ids"), _array(row, "a_labels"), None
         self.parts = [slice(at, at + AT_ONCE) for at in range(0, len(self.anchors), AT_ONCE)]
         self.best = [Best(len(self.ids[a]) * lists, most) for a in self.parts]
 
+    def forget(self) -> None:
+        """Let the tables go; they are made again when a tile comes."""
+        self.kind, self.sums = None, []
+
     def tables(self, norm: float) -> None:
         """Have tables of a type that holds the products of rows of that norm."""
         bound = 1.01 * norm * float(np.abs(self.anchors).max(initial=0))
@@ -168,23 +174,25 @@ class _Block:
 
 
 def _best_of(batches, lists: int, most: int, fitting, told):
-    """``told`` of every block after all its tiles of this task; ``fitting`` gives the lists, rows and anchors of the scores that count."""
-    block = None
+    """``told`` of every block after all its tiles of this task; ``fitting`` gives the lists, rows and anchors of the scores that count.
+
+    Tiles of a task's blocks (a few) come in any order; blocks keep their lists, and the last few their tables.
+    """
+    blocks: dict[int, _Block] = {}
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            if block is None or row.column("block")[0].as_py() != block.number:
-                if block is not None:
-                    yield told(block)
-                block = _Block(row, lists, most)
-                block.row = row
+            number = row.column("block")[0].as_py()
+            block = blocks.pop(number, None) or _Block(row, lists, most)
+            blocks[number] = block
+            if len(blocks) > TABLES:
+                list(blocks.values())[-TABLES - 1].forget()
             ids, labels = _array(row, "ids"), _array(row, "labels")
             for a, best, r, s in block.scored(row):
                 at, i, j = fitting(block, a, best.least, ids[r], labels[r], s)
                 if len(at):
                     best.add(at, ids[r][i], s[i, j])
-    if block is not None:
-        yield told(block)
+    yield from map(told, blocks.values())
 
 
 def _found(block: _Block, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -67,7 +67,7 @@ class KnowledgeBase:
         row = self._checked(self._row(title, slug, body, tags, aliases))
         if not self.load().where(F.col("slug") == slug).isEmpty():
             raise TopicError(f"topic {slug!r} exists")
-        self.store.topics.replace(topics.upsert(self.load(), row))
+        self.store.topics.apply(row)
         return slug
 
     def update(self, name: str, body: str | None = None, title: str | None = None, slug: str | None = None, tags=None, aliases=None) -> str:
@@ -80,7 +80,7 @@ class KnowledgeBase:
         new = self._checked(row, others).first()["slug"]
         if not others.where(F.col("slug") == new).isEmpty():
             raise TopicError(f"topic {new!r} exists")
-        self.store.topics.replace(topics.upsert(others, row))
+        self.store.topics.apply(row, self.spark.createDataFrame([(old,)], "slug string"))
         return new
 
     def upsert(self, rows: DataFrame) -> None:
@@ -88,10 +88,11 @@ class KnowledgeBase:
         bad = topics.checked(rows).where("error is not null").first() or topics.alias_collisions(rows, self.load()).first()
         if bad:
             raise TopicError(f"cannot store {bad['slug']!r}")
-        self.store.topics.replace(topics.upsert(self.load(), rows))
+        self.store.topics.apply(rows)
 
     def delete(self, name: str) -> None:
-        self.store.topics.replace(topics.delete(self.load(), self.get(name).select("slug")))
+        row = self.get(name)
+        self.store.topics.apply(row.limit(0), row.select("slug"))
 
     def status(self) -> dict:
         """Sizes of the state tables."""

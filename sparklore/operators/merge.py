@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed
 from .matching import APPEND, CREATE, NOOP
+from .topics import upsert
 
 #: Fixed value: the heading that insights go under.
 SECTION = "## Key Insights"
@@ -54,6 +56,7 @@ def new_body(title: Column, summary: Column, evidence: Column) -> Column:
 
 def insight(title: Column, summary: Column, evidence: Column, context: Column, at: Column) -> Column:
     listed = F.when(F.size(evidence) > 0, F.concat(F.lit("\n"), bullets(evidence))).otherwise("")
+    # Fixed value: the line that says where an insight is from.
     when = F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'")
     return F.concat(F.lit("### "), title, F.lit("\n\n"), summary, F.lit("\n"), listed, F.lit("\n_Extracted from context "), context.cast("string"), F.lit(" at "), when, F.lit("_\n"))
 
@@ -69,7 +72,12 @@ def add_insight(body: Column, section: Column) -> Column:
 
 
 def merged_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column], Column], at: Column) -> DataFrame:
-    """``topics`` after outcome ``rows`` (pos, ..., existing_slug, outcome): appends folded in order, creates coalesced.
+    """``topics`` after outcome ``rows``, see ``changed_topics``."""
+    return upsert(topics, checkpointed(changed_topics(topics, rows, context, at)))
+
+
+def changed_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column], Column], at: Column) -> DataFrame:
+    """Those of ``topics`` that change, and new ones, after outcome ``rows`` (pos, ..., existing_slug, outcome): appends folded in order, creates coalesced.
 
     All appends of a topic are kept, one after the other. A created topic whose slug exists by now (as two
     sessions may both create it) replaces nothing: it is appended like any other insight. ``context`` gives
@@ -83,13 +91,12 @@ def merged_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column]
     appends = rows.where(F.col("outcome") == APPEND).select(*columns).unionByName(clash.select(*columns))
     part = F.struct("pos", insight(F.col("title"), F.col("summary"), F.col("evidence"), context(F.col("pos")), at).alias("section"), "tags", "project_path")
     folded = appends.groupBy(F.col("existing_slug").alias("slug")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    old = topics.join(folded, "slug", "left")
-    parts = F.coalesce("parts", F.array().cast(folded.schema["parts"].dataType))
+    old, parts = topics.join(folded, "slug"), F.col("parts")
     body = F.aggregate(parts, F.col("body"), lambda b, p: add_insight(b, p["section"]))
     tags = union_caseless(F.col("tags"), F.flatten(F.transform(parts, lambda p: p["tags"])))
     projects = union_exact(F.col("projects"), F.filter(F.transform(parts, lambda p: p["project_path"]), lambda p: p.isNotNull()))
-    touched = F.size(parts) > 0
-    old = old.withColumns({"body": body, "tags": tags, "projects": projects, "updated": F.when(touched, at).otherwise(F.col("updated")), "extracted_at": F.when(touched, at).otherwise(F.col("extracted_at")), "source_context_id": F.when(touched, context(F.try_element_at(parts, F.lit(-1))["pos"]).cast("decimal(20,0)")).otherwise(F.col("source_context_id"))})
+    last = context(F.element_at(parts, -1)["pos"]).cast("decimal(20,0)")
+    old = old.withColumns({"body": body, "tags": tags, "projects": projects, "updated": at, "extracted_at": at, "source_context_id": last})
     none = F.array().cast("array<string>")
     new = fresh.select(
         "slug", "title", none.alias("aliases"), "tags", F.when(F.col("project_path").isNull(), none).otherwise(F.array("project_path")).alias("projects"), at.alias("created"), at.alias("updated"), at.alias("extracted_at"),

@@ -24,7 +24,8 @@ from ..functions.turns import label, unsigned
 from ..operators import matching, merge, transcript
 from ..shared import checkpointed, local_path, scratch_path
 from ..sources import PROVIDERS
-from ..sources.topics import GrowingTable, TopicTable, read_markdown, write_markdown
+from ..sources.tables import GrowingTable, TopicTable
+from ..sources.topics import read_markdown, write_markdown
 from ..streaming.runner import Store, answers, run_pass, typed
 from . import registry as Q
 from . import views as V
@@ -289,7 +290,7 @@ def topic_versions(spark, sf_dir):
     table.replace(rows)
     for piece in (F.col("slug") < "h", (F.col("slug") >= "h") & (F.col("slug") < "p")):
         changed = rows.where(piece).select(F.when(F.col("slug") < "h", F.col("slug")).otherwise(F.concat("slug", F.lit("-new"))).alias("slug"), F.upper("title").alias("title"))
-        table.replace(Q.topics.upsert(table.read(), changed))
+        table.apply(changed)
     return table.read()
 
 

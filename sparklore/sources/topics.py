@@ -1,9 +1,7 @@
-"""The topic store: Markdown files with YAML front matter, and versioned Parquet tables."""
+"""Topics as Markdown files with YAML front matter."""
 
 from __future__ import annotations
 
-import time
-import uuid
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -100,99 +98,3 @@ def write_markdown(topics: DataFrame, path: str) -> None:
     """One file a topic below ``path``, in a folder named after its slug (the text writer names the file itself); ``read_markdown`` reads them back."""
     # A line end within the text is no separator here: each text is one row, and ends with its own.
     markdown(topics).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(path)
-
-
-class Conflict(RuntimeError):
-    """Another writer has changed the table since it was read, or is writing it."""
-
-
-class TopicTable:
-    """A table as Parquet versions below ``path``; readers see the newest whole one.
-
-    Writers are told apart: a new version's number is claimed by making a file, which only one can, and a
-    writer whose table has moved on since its ``read`` gets a ``Conflict`` instead of undoing the other's work.
-    """
-
-    #: Versions kept for readers that began before the last ones; seconds after which a claim counts as left behind.
-    KEPT, STALE = 3, 3600
-
-    def __init__(self, spark: SparkSession, path: str, schema: str = schemas.TOPICS):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.base: list[str] | None = None
-
-    def _fs(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[str]:
-        """Folders of complete versions, the oldest first."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        return [f"{self.path}/{n}" for n in sorted(s.getPath().getName() for s in fs.listStatus(path(self.path)) if fs.exists(path(s.getPath(), "_SUCCESS")))]
-
-    def _parts(self) -> list[str]:
-        return self.versions()[-1:]
-
-    def read(self) -> DataFrame:
-        self.base = self._parts()
-        return self.spark.read.schema(self.schema).parquet(*self.base) if self.base else self.spark.createDataFrame([], self.schema)
-
-    def _write(self, rows: DataFrame, number: int) -> None:
-        rows.select(*[c.split()[0] for c in self.schema.split(", ")]).write.parquet(f"{self.path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
-
-    def _claimed(self, number: int) -> str:
-        fs, path = self._fs()
-        name = f"{self.path}/_claim-{number:09d}"
-        if not fs.createNewFile(path(name)):
-            age = time.time() - fs.getFileStatus(path(name)).getModificationTime() / 1000
-            if age < self.STALE or not (fs.delete(path(name), False) and fs.createNewFile(path(name))):
-                raise Conflict(f"{self.path} is being written")
-        return name
-
-    def replace(self, rows: DataFrame) -> None:
-        """A new version with ``rows``, which may be made from what ``read`` gave last; versions before the last few go."""
-        fs, path = self._fs()
-        done = self._parts()
-        number = int(done[-1].rpartition("/v")[2].split("-")[0]) + 1 if done else 1
-        claim = self._claimed(number)
-        try:
-            if self.base is not None and self.base != self._parts():
-                raise Conflict(f"{self.path} has changed since it was read")
-            self._write(rows, number)
-            self.base = self._parts()
-            for old in self.versions()[: -self.KEPT]:
-                fs.delete(path(old), True)
-        finally:
-            fs.delete(path(claim), False)
-
-
-class GrowingTable(TopicTable):
-    """A table that is only added to: every part counts, so adding reads and rewrites nothing."""
-
-    #: Parts that ``append`` makes one of.
-    MANY = 64
-
-    def _parts(self) -> list[str]:
-        return self.versions()
-
-    def append(self, rows: DataFrame) -> None:
-        """``rows`` in a part of their own. Writers need not wait for each other."""
-        done = self._parts()
-        number = int(done[-1].rpartition("/v")[2].split("-")[0]) + 1 if done else 1
-        self._write(rows, number)
-        if len(done) >= self.MANY:
-            self.compact()
-
-    def compact(self) -> None:
-        """The parts there are now as one. Rows are seen twice between its writing and the others' end, which a set of rows stands."""
-        fs, path = self._fs()
-        claim = self._claimed(0)
-        try:
-            old = self._parts()
-            self._write(self.read().distinct(), int(old[-1].rpartition("/v")[2].split("-")[0]))
-            for name in old:
-                fs.delete(path(name), True)
-        finally:
-            fs.delete(path(claim), False)

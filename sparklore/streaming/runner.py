@@ -1,7 +1,7 @@
 """Passes over session logs: discover, reduce, extract, match, merge, mine patterns, save state.
 
-A stream cannot be told that a file it has seen has grown, so a pass lists the sessions anew and leaves out
-those whose version the state table holds; the streaming query only says when to run one.
+A pass lists the sessions anew and leaves out those whose version the state table holds; the streaming query says
+when to run one: at an interval, or when files have changed (``changes.py``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..functions import text as X
 from ..functions.turns import has, is_error, text_content, tool_name, turn_type
 from ..operators import discovery, matching, merge, patterns, search, transcript
 from ..shared import checkpointed
-from ..sources.topics import GrowingTable, TopicTable
+from ..sources.tables import GrowingTable, TopicTable
+from .changes import changed_files
 from .model import Model, answers, asked
 
 __all__ = ["Model", "Pass", "Store", "answers", "asked", "run_once", "run_pass", "start", "typed"]
@@ -42,8 +43,8 @@ class Store:
     patterns: GrowingTable = field(init=False)
 
     def __post_init__(self):
-        at = lambda kind, name, schema: kind(self.spark, f"{self.path}/{name}", schema)
-        self.topics, self.processed = at(TopicTable, "topics", schemas.TOPICS), at(GrowingTable, "processed", schemas.PROCESSED)
+        at = lambda kind, name, *more: kind(self.spark, f"{self.path}/{name}", *more)
+        self.topics, self.processed = at(TopicTable, "topics", schemas.TOPICS), at(GrowingTable, "processed", schemas.PROCESSED, "context_id", "pass")
         self.extracted, self.patterns = at(GrowingTable, "extraction_hashes", schemas.HASHES), at(GrowingTable, "pattern_hashes", schemas.HASHES)
 
     def heads(self) -> DataFrame:
@@ -112,7 +113,8 @@ def run_pass(spark: SparkSession, source, store: Store, config: Config, model: M
     errors = unread.unionByName(wrong).unionByName(silent).groupBy("context_id").agg(F.min("error").alias("error"))
     learned = learned.where(F.col("confidence") >= loop.confidence_threshold).drop("project_path").join(chosen.select("context_id", F.col("project").alias("project_path")), "context_id")
     learned = learned.withColumn("hash", X.content_hash(F.col("topic_hint"), F.col("title"), F.col("summary")))
-    rows = learned.join(store.extracted.read(), "hash", "left_anti").withColumn("pos", F.struct("context_id", "n"))
+    learned = checkpointed(learned)
+    rows = learned.join(store.extracted.read(learned), "hash", "left_anti").withColumn("pos", F.struct("context_id", "n"))
     found = None
     if loop.patterns.enabled and synthesize is not None:
         found = _clusters(turns, chosen, store, config)
@@ -122,7 +124,7 @@ def run_pass(spark: SparkSession, source, store: Store, config: Config, model: M
     rows = rows.withColumn("learning_id", F.concat_ws("-", F.col("pos.context_id").cast("string"), F.col("pos.n").cast("string")))
     result = checkpointed(matching.outcomes(rows, known, config.dedupe))
     if not dry_run:
-        store.topics.replace(merge.merged_topics(known, result, lambda pos: pos["context_id"], at))
+        store.topics.apply(merge.changed_topics(known, result, lambda pos: pos["context_id"], at))
         store.extracted.append(result.where(F.col("context_id") != 0).select("hash").distinct())
         if found is not None and errors.where("context_id = 0").isEmpty():
             store.patterns.append(found.select(F.col("content_hash").alias("hash")))
@@ -154,17 +156,23 @@ def _directives(found: DataFrame, synthesize: Model, spark: SparkSession) -> tup
     return learned.withColumn("pos", F.struct("context_id", "n")), wrong.unionByName(silent)
 
 
-def start(spark: SparkSession, run_pass: Callable[[], object], checkpoint: str, seconds: int | None = None, failures: int = 5):
+def start(spark: SparkSession, run_pass: Callable[[], object], checkpoint: str, seconds: int | None = None, failures: int = 5, watch: list[str] | None = None, quiet: float = 10, most: float = 900):
     """A streaming query that calls ``run_pass`` at once and then every ``seconds``; None: a single time.
 
-    A failing pass is made up for at the next trigger. The query fails with it where that is the only one, or
-    the last of ``failures`` in a row.
+    With ``watch`` (folders or files) it is called when something there has changed and has been ``quiet`` for a while, or
+    for ``most`` seconds at the latest, and then looks every second or so (``seconds``). A failing pass is made up for at
+    the next trigger. The query fails with it where that is the only one, or the last of ``failures`` in a row.
     """
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    if watch:
+        ticks = changed_files(spark, watch, f"{checkpoint}-snapshots", quiet=0 if seconds is None else quiet, most=most, idle=most)
+    else:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     failed = 0
 
-    def each(_batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         nonlocal failed
+        if watch and not failed and batch.isEmpty():
+            return
         try:
             run_pass()
             failed = 0

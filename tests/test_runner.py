@@ -9,7 +9,8 @@ from sparklore.cli import main
 from sparklore.config import Config, LoopConfig, ModelConfig, PatternConfig
 from sparklore.kb import KnowledgeBase, TopicError
 from sparklore.sources import ClaudeLogs, CodexLogs, CrushLogs, GeminiLogs
-from sparklore.sources.topics import Conflict, GrowingTable, TopicTable, read_markdown, write_markdown
+from sparklore.sources.tables import Conflict, GrowingTable, TopicTable
+from sparklore.sources.topics import read_markdown, write_markdown
 from sparklore.streaming.runner import Store, answers, asked, run_once, run_pass, start
 
 
@@ -148,11 +149,11 @@ def test_a_failing_topic_write_marks_nothing(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "store"))
     model = asked(reply)
 
-    def full(self, rows):
+    def full(self, rows, deleted=None):
         raise OSError("disk full")
 
     with monkeypatch.context() as m:
-        m.setattr(TopicTable, "replace", full)
+        m.setattr(TopicTable, "apply", full)
         with pytest.raises(OSError):
             run_once(spark, CodexLogs(str(logs)), store, Config(), model)
     assert store.processed.read().isEmpty() and store.extracted.read().isEmpty() and store.patterns.read().isEmpty()

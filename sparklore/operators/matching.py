@@ -48,14 +48,14 @@ def _first(hits: DataFrame, *better: Column) -> DataFrame:
     return best.select("learning_id", "b.slug")
 
 
-def _grams(text: Column, n: int) -> Column:
+def grams(text: Column, n: int) -> Column:
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
 
 
-def _own_grams(text: Column) -> Column:
+def own_grams(text: Column) -> Column:
     """The stretches of three characters of ``text``, or all of a shorter one."""
-    return F.when(F.length(text) < 3, F.array(text)).otherwise(_grams(text, 3))
+    return F.when(F.length(text) < 3, F.array(text)).otherwise(grams(text, 3))
 
 
 def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
     that the fewest outer texts hold must be among theirs. Texts are looked at for the pairs left.
     """
     inner = inner.where("text <> ''")
-    wanted = checkpointed(inner.select("i", F.explode(_own_grams(F.col("text"))).alias("gram")))
-    held = outer.select("o", F.explode(F.concat(*[_grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"))
+    wanted = checkpointed(inner.select("i", F.explode(own_grams(F.col("text"))).alias("gram")))
+    held = outer.select("o", F.explode(F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"))
     held = checkpointed(held.join(wanted.select("gram").distinct(), "gram", "left_semi"))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")

@@ -23,12 +23,12 @@ def search(topics: DataFrame, query: str) -> DataFrame:
     return topics.withColumn("score", score.cast("int")).where("score > 0").orderBy(F.desc("score"), "slug")
 
 
-def _fields(topics: DataFrame) -> DataFrame:
+def fields(topics: DataFrame) -> DataFrame:
     """(o, slug, weight, text): what a term may be found in, one row each; repeats of an alias or tag count each."""
     lower = lambda c, w: F.transform(c, lambda x: F.struct(F.lower(x).alias("text"), F.lit(w).alias("weight")))
     one = lambda c, w: F.struct(c.alias("text"), F.lit(w).alias("weight"))
-    fields = F.concat(F.array(one(F.col("slug"), 10), one(F.lower("title"), 10), one(F.lower("body"), 2)), lower("aliases", 7), lower("tags", 5))
-    rows = topics.select("slug", F.posexplode(fields).alias("place", "f")).where("f.text is not null")
+    all_ = F.concat(F.array(one(F.col("slug"), 10), one(F.lower("title"), 10), one(F.lower("body"), 2)), lower("aliases", 7), lower("tags", 5))
+    rows = topics.select("slug", F.posexplode(all_).alias("place", "f")).where("f.text is not null")
     return rows.select(F.struct("slug", "place").alias("o"), "slug", "f.weight", "f.text")
 
 
@@ -39,9 +39,9 @@ def search_all(queries: DataFrame, topics: DataFrame) -> DataFrame:
     stretch of three characters (see ``containing``), and scores are summed by term and topic first.
     """
     asked = queries.select("query_id", F.explode(X.words(F.lower("query"))).alias("i")).groupBy("query_id", "i").agg(F.count("*").alias("times"))
-    asked, fields = checkpointed(asked), checkpointed(_fields(topics))
-    hits = containing(fields.select("o", "text"), asked.select("i", F.col("i").alias("text")).distinct())
-    scored = hits.join(fields.select("o", "slug", "weight"), "o").groupBy("i", "slug").agg(F.sum("weight").alias("score"))
+    asked, held = checkpointed(asked), checkpointed(fields(topics))
+    hits = containing(held.select("o", "text"), asked.select("i", F.col("i").alias("text")).distinct())
+    scored = hits.join(held.select("o", "slug", "weight"), "o").groupBy("i", "slug").agg(F.sum("weight").alias("score"))
     out = asked.join(scored, "i").groupBy("query_id", "slug").agg(F.sum(F.col("times") * F.col("score")).cast("int").alias("score"))
     return out.select("query_id", "slug", "score")
 

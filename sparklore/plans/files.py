@@ -24,6 +24,7 @@ from ..functions.turns import label, unsigned
 from ..operators import matching, merge, transcript
 from ..shared import checkpointed, local_path, scratch_path
 from ..sources import PROVIDERS
+from ..sources.search_index import SearchIndex
 from ..sources.tables import GrowingTable, TopicTable
 from ..sources.topics import read_markdown, write_markdown
 from ..streaming.runner import Store, answers, run_pass, typed
@@ -294,6 +295,23 @@ def topic_versions(spark, sf_dir):
     return table.read()
 
 
+CHANGED = f"select case when slug < 'h' then slug else concat(slug, '-new') end as slug, concat('Red ', title) as title, aliases, tags, projects, body from ({Q.TOPICS}) t where slug < 'h' union all select * from ({Q.TOPICS}) t where slug >= 'h' and slug < 'p'"
+
+
+@query(f"""with r as (select *, row_number() over (partition by query_id order by score desc, slug) as k from ({Q.ORACLE_SQL["topic_search_batch"].replace(f"({Q.TOPICS})", f"({CHANGED})")}) s) select query_id, slug, score from r where k <= 7""")
+def topic_search_index(spark, sf_dir):
+    """The best seven topics of each query from a stored index, after topics were changed and taken away."""
+    table, index = TopicTable(spark, scratch_path(spark, "topics")), SearchIndex(spark, scratch_path(spark, "search"))
+    none = F.lit(None)
+    empty = {"created": none.cast("timestamp"), "updated": none.cast("timestamp"), "extracted_at": none.cast("timestamp"), "source": none.cast("string"), "confidence": none.cast("string"), "source_context_id": none.cast("decimal(20,0)")}
+    rows = V.view(spark, sf_dir, V.TOPICS).withColumns(empty)
+    table.replace(rows)
+    index.sync(table)
+    table.apply(rows.where("slug < 'h'").withColumn("title", F.concat(F.lit("Red "), F.col("title"))), rows.where("slug >= 'p'").select("slug"))
+    index.sync(table)
+    return index.search(Q.search_queries(spark, sf_dir), 7)
+
+
 @query(f"select context_id, case when context_id % 2 = 0 then head_turn_id else head_turn_id + 1 end as head_turn_id from ({V.SESSIONS}) s")
 def session_heads(spark, sf_dir):
     store = Store(spark, scratch_path(spark, "state"))

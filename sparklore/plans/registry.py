@@ -283,9 +283,13 @@ def topic_search(spark, sf_dir):
 
 @query(f"select n_nationkey as query_id, slug, sum({score_sql('term')})::int as score from (select n_nationkey, unnest(string_split(lower(concat(n_name, ' ', case n_nationkey % 3 when 0 then 'Red gear' when 1 then 'LARGE Brand#1' else 'bolt bolt' end)), ' ')) as term from nation) q cross join ({TOPICS}) t group by 1, 2 having score > 0")
 def topic_search_batch(spark, sf_dir):
+    return search.search_all(search_queries(spark, sf_dir), V.view(spark, sf_dir, V.TOPICS))
+
+
+def search_queries(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     text = F.expr("concat(n_name, ' ', case n_nationkey % 3 when 0 then 'Red gear' when 1 then 'LARGE Brand#1' else 'bolt bolt' end)")
-    return search.search_all(nation.select(F.col("n_nationkey").alias("query_id"), text.alias("query")), V.view(spark, sf_dir, V.TOPICS))
+    return nation.select(F.col("n_nationkey").alias("query_id"), text.alias("query"))
 
 
 @query(f"select distinct lower(tag) as tag from (select unnest(tags) as tag from ({TOPICS}) t) u")

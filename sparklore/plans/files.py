@@ -27,6 +27,8 @@ from ..sources import PROVIDERS
 from ..sources.search_index import SearchIndex
 from ..sources.tables import GrowingTable, TopicTable
 from ..sources.topics import read_markdown, write_markdown
+from ..kb import KnowledgeBase
+from ..streaming.changes import changed_files
 from ..streaming.runner import Store, answers, run_pass, typed
 from . import registry as Q
 from . import views as V
@@ -348,15 +350,62 @@ def ids_and_labels(spark, sf_dir):
     return rows.select("doc_id", unsigned(F.expr(RAW_ID)).cast("string").alias("id"), label(title, F.col("source")).alias("label"))
 
 
+def _told(spark: SparkSession, source) -> DataFrame:
+    """(context_id, conv, response): an answer with a learning of its own for every session."""
+    ids = checkpointed(source.sessions(spark).select("context_id", F.regexp_extract("session_id", r"(\d+)", 1).cast("long").alias("conv")))
+    text = F.concat(F.lit('{"context_id": 1, "learnings": [{"topic_hint": "tool '), F.col("conv").cast("string"), F.lit('", "title": "T'), F.col("conv").cast("string"), F.lit('", "summary": "s", "confidence": 0.9}]}'))
+    return ids.withColumn("response", text)
+
+
+def _all_sessions() -> Config:
+    return replace(Config(), loop=LoopConfig(context_limit=2**31 - 1, patterns=PatternConfig(enabled=False)))
+
+
 @query("""with c as (select conv_id, count(*) filter (role in ('assistant', 'system')) > 0 as said from conversations group by 1)
 select count(*) as sessions, count(*) filter (said and conv_id % 5 = 0) as failed, count(*) filter (said and conv_id % 5 <> 0) as topics_created, 0::bigint as topics_updated, 0::bigint as duplicates_skipped,
   count(*) filter (not (said and conv_id % 5 = 0)) as processed, count(*) filter (said and conv_id % 5 <> 0) as topics from c""")
 def whole_pass(spark, sf_dir):
     """A pass over all conversations as logs; every fifth session gets no answer, and stays."""
     source, store = made(spark, sf_dir, "codex"), Store(spark, scratch_path(spark, "pass"))
-    ids = checkpointed(source.sessions(spark).select("context_id", F.regexp_extract("session_id", r"(\d+)", 1).cast("long").alias("conv")))
-    text = F.concat(F.lit('{"context_id": 1, "learnings": [{"topic_hint": "tool '), F.col("conv").cast("string"), F.lit('", "title": "T'), F.col("conv").cast("string"), F.lit('", "summary": "s", "confidence": 0.9}]}'))
-    config = replace(Config(), loop=LoopConfig(context_limit=2**31 - 1, patterns=PatternConfig(enabled=False)))
-    done = run_pass(spark, source, store, config, answers(ids.where("conv % 5 <> 0").select("context_id", text.alias("response"))))
+    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, source).where("conv % 5 <> 0").select("context_id", "response")))
     totals = done.totals().select("sessions", "failed", "topics_created", "topics_updated", "duplicates_skipped")
     return totals.withColumns({"processed": F.lit(store.heads().count()).cast("long"), "topics": F.lit(store.topics.read().count()).cast("long")})
+
+
+@query("""with c as (select conv_id, count(*) filter (role in ('assistant', 'system')) > 0 as said from conversations group by 1)
+select concat('T', conv_id) as title, 'CREATE' as outcome, 0::bigint as stored from c where said and conv_id % 5 <> 0""")
+def dry_pass(spark, sf_dir):
+    """What a pass would do, and the topics that there are after it."""
+    source, store = made(spark, sf_dir, "codex"), Store(spark, scratch_path(spark, "pass"))
+    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, source).where("conv % 5 <> 0").select("context_id", "response")), dry_run=True)
+    return done.outcomes.select("title", "outcome", F.lit(store.topics.read().count() + store.heads().count()).cast("long").alias("stored"))
+
+
+@query(f"""select (select count(*) from ({Q.TOPICS}) t) as topics, (select count(*) from ({V.SESSIONS}) s) as processed, (select count(distinct source) from documents) as extraction_hashes, (select count(distinct lang) from documents) as pattern_hashes""")
+def state_sizes(spark, sf_dir):
+    kb = KnowledgeBase(spark, scratch_path(spark, "state"))
+    none = F.lit(None)
+    empty = {"created": none.cast("timestamp"), "updated": none.cast("timestamp"), "extracted_at": none.cast("timestamp"), "source": none.cast("string"), "confidence": none.cast("string"), "source_context_id": none.cast("decimal(20,0)")}
+    kb.upsert(V.view(spark, sf_dir, V.TOPICS).withColumns(empty).withColumn("aliases", F.array().cast("array<string>")))
+    heads = V.view(spark, sf_dir, V.SESSIONS).select(F.col("context_id").cast("decimal(20,0)").alias("context_id"), F.col("head_turn_id").cast("decimal(20,0)").alias("head_turn_id"))
+    for n in range(2):
+        kb.store.processed.append(heads.withColumn("pass", F.lit(n).cast("long")))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for table, column in ((kb.store.extracted, "source"), (kb.store.patterns, "lang")):
+        table.append(documents.select(F.col(column).alias("hash")).distinct())
+        table.append(documents.select(F.col(column).alias("hash")).distinct())
+    return spark.createDataFrame([tuple(kb.status().values())], ", ".join(f"{k} long" for k in kb.status()))
+
+
+@query("select concat('s', conv_id) as session_id, 1 + max((conv_id % 5 = 0)::int) as changes from conversations group by conv_id")
+def changed_logs(spark, sf_dir):
+    """How often each log has come by the stream of changed files: once, and again where it grew between two runs of the query."""
+    root, out = made(spark, sf_dir, "codex").root, scratch_path(spark, "changes")
+    rows = _conversations(spark, sf_dir).where(F.col("conv") % 5 == 0).groupBy("conv").agg(F.min("text").alias("value"))
+    for more in (False, True):
+        if more:
+            _write(rows, root, "", ".jsonl")
+        stream = changed_files(spark, [root], f"{out}/snapshots", [".txt"], quiet=0)
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    session = F.regexp_extract("path", r"session=(s-?\d+)\.jsonl/", 1)
+    return spark.read.parquet(f"{out}/rows").groupBy(session.alias("session_id")).agg(F.count("*").cast("int").alias("changes"))

@@ -264,6 +264,36 @@ def novel_clusters(spark, sf_dir):
     return patterns.novel(found, found.where("leader % 2 = 0")).select("leader", "n", "content_hash")
 
 
+@query(f"""with recursive {LEADERS}, c as (select leader, count(*) as n, count(distinct doc_id % 7) as contexts, any_value(d.text) filter (d.doc_id = leader) as representative from g join documents d on d.doc_id = g.idx group by leader)
+select leader, n, contexts, sha256(concat(lower(representative), '|repeated-correction')) as content_hash from c where n >= 2 and contexts >= 2""")
+def correction_clusters(spark, sf_dir):
+    messages = _messages(spark, sf_dir).withColumn("context_id", F.col("context_id") % 7)
+    return patterns.clusters(messages, patterns.CORRECTION, THRESHOLD, 2, 2).select("leader", "n", "contexts", "content_hash")
+
+
+@query("select distinct doc_id % 1009 as context_id from documents")
+def cluster_contexts(spark, sf_dir):
+    rows = _documents(spark, sf_dir).groupBy(F.expr("doc_id div 4").alias("leader")).agg(F.collect_list(F.struct((F.col("doc_id") % 1009).alias("context_id"))).alias("occurrences"))
+    return patterns.contexts(rows)
+
+
+@query(f"""with a as (select context_id, session_id, head_turn_id, modified, context_id % 3 as place from ({V.SESSIONS}) x)
+select context_id, place from a anti join ({V.STATE}) t using (context_id, head_turn_id) where head_turn_id <> 0 order by place, modified desc, session_id limit 20""")
+def sessions_by_place(spark, sf_dir):
+    """Sessions of several databases: those of the first come first, then the newest."""
+    sessions = V.view(spark, sf_dir, V.SESSIONS).withColumn("place", F.col("context_id") % 3)
+    return discovery.filter_then_limit(sessions, V.view(spark, sf_dir, V.STATE), 20).select("context_id", "place")
+
+
+@query("""with c as (select doc_id, case doc_id % 3 when 0 then text when 1 then concat(text, chr(10), 'Current topics: ', source) else concat('Current topics: ', source, ', ', lang, ', ', doc_id, chr(10), text) end as content from documents)
+select doc_id, case when regexp_matches(content, '(?m)^Current topics: ') then len(string_split(regexp_extract(content, '(?m)^Current topics: (.*)$', 1), ', ')) else 0 end::int as topics from c""")
+def block_topic_counts(spark, sf_dir):
+    line = lambda *parts: F.concat(F.lit(B.LISTED), F.concat_ws(", ", *parts))
+    content = F.expr("doc_id % 3")
+    content = F.when(content == 0, F.col("text")).when(content == 1, F.concat("text", F.lit("\n"), line("source"))).otherwise(F.concat(line("source", "lang", F.col("doc_id").cast("string")), F.lit("\n"), F.col("text")))
+    return _documents(spark, sf_dir).select("doc_id", B.topic_count(content).alias("topics"))
+
+
 # --- topics and search ---------------------------------------------------------------------------
 
 TOPICS = V.duck(V.TOPICS)

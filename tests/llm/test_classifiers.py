@@ -72,6 +72,48 @@ def test_toxicity_likelihood_and_its_gradient():
     assert np.allclose(bags.loss(w)[1], numeric(lambda x: bags.loss(x)[0], w), atol=1e-4)
 
 
+def tables(spark, sf_dir):
+    return (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+
+
+def test_every_quality_score_is_that_of_the_fitted_network(spark, sf_dir):
+    """The query's whole result against the network's units summed one by one."""
+    from sparklore.llm import quality
+
+    docs, labels = tables(spark, sf_dir)
+    net, _ = quality.train(docs, labels)
+    w, b, v, c = (p.tolist() for p in net.p)
+    want = {}
+    for r in docs.collect():
+        x = [max(-6.0, min(6.0, (a - m) / s)) for a, m, s in zip(features(r.text or "").tolist(), net.mean.tolist(), net.scale.tolist())]
+        units = [np.tanh(b[k] + sum(x[i] * w[i][k] for i in range(len(x)))) for k in range(len(b))]
+        want[r.doc_id] = 1 / (1 + np.exp(-(c[0] + sum(h * a for h, a in zip(units, v)))))
+    got = {r.doc_id: r for r in op5_quality(spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[i].score - want[i]) < 1e-6 and got[i].predicted == int(got[i].score >= 0.7) for i in want)
+
+
+def test_every_toxicity_score_is_the_noisy_or_of_its_sentences(spark, sf_dir):
+    """The query's whole result against products over sentences, from the fitted weights."""
+    from sparklore.llm.toxicity import CLEAN, word_features
+
+    docs, labels = tables(spark, sf_dir)
+    weights = train(docs, labels).weights
+    got = {r.doc_id: r for r in op6_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert weights and len(got) == len(rows)
+    for r in rows:
+        clean, spans = 1.0, []
+        for start, end, words in sentences(r.text or ""):
+            z = sum(weights.get(f, 0.0) for w in words for f in word_features(w))
+            if z:
+                p = 1 / (1 + np.exp(-max(-40.0, min(40.0, CLEAN + z))))
+                clean *= 1 - p
+                spans += [(start, end)] if p >= 0.5 else []
+        assert abs(got[r.doc_id].score - (1 - clean)) < 1e-6 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        assert [(s.start, s.end) for s in got[r.doc_id].offending] == spans
+
+
 def test_features_are_finite():
     for text in ["", " ", "\n\n", "\x00", "🙂" * 10, "w " * 100_000]:
         assert np.isfinite(features(text)).all()

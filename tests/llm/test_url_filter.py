@@ -85,3 +85,20 @@ def test_accuracy_on_urls_set_aside(spark):
     print(f"held out: {n} labelled URLs, {right:.3f} judged as their rule does, {usual:.3f} have the more frequent verdict")
     # Rules differ by first path segment, which no lexical feature tells; what is left is well above guessing.
     assert n > 100 and right > usual + 0.1
+
+
+def test_every_score_is_the_sum_of_the_fitted_trees(spark, sf_dir):
+    """The query's whole result: verdicts by the rules, else by the trees' weighted sum, tree after tree."""
+    from sparklore.llm import url_filter as U
+    from sparklore.llm.common import sample_by_hash
+
+    rows = U.described(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url")
+    model = U.fitted_trees(sample_by_hash(U.labelled(rows), "url", U.FITTED).select("features", "label"))
+    got = {r.page_id: r for r in op10_url_filter(spark, sf_dir).collect()}
+    held = rows.select("id", "rule", "verdict", "features").collect()
+    assert len(got) == len(held)
+    for r in held[:60]:
+        margin = sum(w * t.predict(r.features) for t, w in zip(model.trees, model.treeWeights))
+        assert abs(got[r.id].score - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+    for r in held:
+        assert got[r.id].rule == r.rule and got[r.id].verdict == (r.verdict or ("block" if got[r.id].score >= 0.5 else "allow"))

@@ -139,7 +139,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Digest and size are of the payload as read; a revisit's are those its header states of the record
     it refers to. ``intact``: the digest read is the one stated. A record whose payload holds the magic
-    is put together from its pieces in a second read of its file alone.
+    is put together from its pieces in a second read of its file alone. Null ids and urls are as they were written,
+    records that repeat are read each, archives without a record give no rows. Where a file's chain breaks off
+    (``unread`` tells) the records before are read.
     """
     found = stored(candidates(spark, path), "warc_candidates")
     records = stored(reachable(found), "warc_records")
@@ -149,6 +151,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return out.select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", (digest == F.col("stated_digest")).alias("intact"))
 
 
+def unread(spark: SparkSession, path: str) -> DataFrame:
+    """(file, read_to, bytes, starts): the files of ``path`` whose chain of records does not end where they do.
+
+    A wrong length or a file cut short breaks the chain; ``read_to`` is where it leads (0 where the first record names no
+    length), ``starts`` how many record starts lie there or beyond, which may be records that nothing leads to. None of intact archives.
+    """
+    found = stored(candidates(spark, path), "warc_candidates")
+    read = reachable(found).groupBy("file").agg(F.max("successor").alias("read_to"))
+    ends = found.groupBy("file").agg(F.max("next_offset").alias("bytes")).join(read, "file", "left").select("file", F.coalesce("read_to", F.lit(0).cast("long")).alias("read_to"), "bytes")
+    broken = stored(ends.where("read_to <> bytes"), "warc_broken")
+    beyond = found.join(broken, "file").where("offset >= read_to").groupBy("file").agg(F.count("*").alias("starts"))
+    return broken.join(beyond, "file", "left").select("file", "read_to", "bytes", F.coalesce("starts", F.lit(0)).cast("long").alias("starts"))
+
+
 def _assembled(spark: SparkSession, path: str, split: DataFrame) -> DataFrame:
     spans = split.select("file", F.col("offset").alias("begin"), F.col("successor").alias("end"))
     pieces = _pieces(spark, path).join(spans.select("file").distinct(), "file", "left_semi")

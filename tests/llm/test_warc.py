@@ -4,7 +4,7 @@ import hashlib
 import duckdb
 import pytest
 from sparklore.llm.queries import ORACLE_SQL, op7_warc
-from sparklore.llm.warc import read_warc, write_warc
+from sparklore.llm.warc import read_warc, unread, write_warc
 
 COLUMNS = "page_id long, url string, html string, value string"
 
@@ -45,6 +45,26 @@ def test_small_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_what_a_wrong_length_cuts_off_is_told(spark, tmp_path):
+    path = tmp_path / "w"
+    assert got(spark, ROWS, str(path), compression="none") == expected(ROWS)
+    assert unread(spark, str(path)).count() == 0
+    (part,) = sorted(path.glob("part-*"), key=lambda p: -p.stat().st_size)[:1]
+    data = part.read_bytes()
+    (path / f".{part.name}.crc").unlink()  # the local file system's own checksum
+    records = [i for i in range(len(data)) if data.startswith(b"WARC/1.0\r\nWARC-Type: re", i) and b"WARC-Record-ID" in data[i : i + 90]]
+    second = records[1]
+    at = data.index(b"Content-Length: ", second) + 16
+    digits = data[at : data.index(b"\r", at)]
+    part.write_bytes(data[:at] + b"9" * len(digits) + data[at + len(digits) :])
+    (row,) = unread(spark, str(path)).collect()
+    assert row.file.endswith(part.name) and row.read_to != len(data) == row.bytes
+    assert row.starts == sum(1 for i in range(len(data)) if data.startswith(b"WARC/1.0\r\n", i) and i >= row.read_to)
+    assert len(read_warc(spark, str(path)).collect()) < len(ROWS)
+    part.write_bytes(data[: records[-1] + 60])
+    assert [r.file.endswith(part.name) for r in unread(spark, str(path)).collect()] == [True]
+
+
 def test_empty_table(spark, tmp_path):
     assert got(spark, [], str(tmp_path / "w")) == []
 

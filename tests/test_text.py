@@ -111,3 +111,21 @@ def test_managed_blocks(spark):
     assert {k: v[0] for k, v in state("refresh").items()}["plain"] == "no_change"
     counts = {r.path: r.n for r in files.select("path", B.topic_count(F.col("content")).alias("n")).collect()}
     assert counts == {"new": 0, "plain": 0, "old": 0, "twice": 3, "open": 0, "same": 3} and "with a shell" not in B.render("a", "T", shell=False)
+
+
+def test_json_in_text_is_what_the_patterns_say(spark):
+    import random
+    import re
+
+    def plain(text):
+        text = text.strip()
+        for opening in ("```json", "```"):
+            if m := re.search(f"(?s){opening}(.*?)```", text):
+                return m.group(1).strip()
+        m = re.search(r"(?s)\{.*\}", text)
+        return m.group() if m else text
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(["```", "```json", "{", "}", "a", " ", "\n", "json", "``", "é"], k=rng.randint(0, 9))) for _ in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(R.json_in(F.col("text")))
+    assert [r[0] for r in rows.collect()] == [plain(t) for t in texts]

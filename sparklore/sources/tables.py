@@ -31,13 +31,13 @@ class TopicTable:
 
     #: Manifests kept for readers that began before the last ones; seconds after which a claim counts as left behind.
     KEPT, STALE = 3, 3600
-    #: Of a new table; those of one that is there stay as they are.
+    #: Of a new table; those of one that is there stay as they are. More suit one of many millions of keys.
     BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = schemas.TOPICS, key: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: str = schemas.TOPICS, key: str | None = None, buckets: int | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.columns = [c.split()[0] for c in schema.split(", ")]
-        self.key = key or self.columns[0]
+        self.key, self.buckets = key or self.columns[0], buckets or self.BUCKETS
         self.base: list[str] | None = None
 
     def _fs(self):
@@ -66,7 +66,7 @@ class TopicTable:
     def _now(self) -> tuple[list[str], dict]:
         """The newest manifest's name (in a list; none before the first write), and what it says."""
         names = self._manifests()[-1:]
-        return names, self._load(names[0]) if names else {"number": 0, "count": self.BUCKETS, "buckets": {}}
+        return names, self._load(names[0]) if names else {"number": 0, "count": self.buckets, "buckets": {}}
 
     def _bucket(self, count: int, column: str | None = None):
         return F.pmod(F.xxhash64(F.col(column or self.key)), F.lit(count)).cast("int")
@@ -169,10 +169,9 @@ class GrowingTable(TopicTable):
 
     #: Folders of a bucket that ``append`` makes one of; times it tries to come in between other writers.
     MANY, TRIES = 16, 20
-    BUCKETS = 256
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None, newest: str | None = None):
-        super().__init__(spark, path, schema, key)
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None, newest: str | None = None, buckets: int | None = None):
+        super().__init__(spark, path, schema, key, buckets)
         self.newest = newest
 
     def versions(self) -> list[str]:

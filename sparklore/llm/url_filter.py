@@ -92,7 +92,10 @@ def fitted_trees(sample: DataFrame):
 
 
 def described(pages: DataFrame, id_col: str, url_col: str, rules=RULES) -> DataFrame:
-    """(id, url, host, path, rule, verdict, features) of every row of ``pages``, from a stored table."""
+    """(id, url, host, path, rule, verdict, features) of every row of ``pages``, from a stored table.
+
+    A null url, or one without ``://``, has an empty host and path. Rows that repeat are described each; empty in, empty out.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
     rows = stored(with_features(with_suffix_statistics(rows)), "url_features")
@@ -104,7 +107,11 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def held_out_accuracy(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, fitted: int = FITTED) -> tuple[int, float, float]:
-    """(URLs, share judged as their rule does, share of the more frequent verdict) of the labelled URLs of one fold, by trees fitted on the others."""
+    """(URLs, share judged as their rule does, share of the more frequent verdict) of the labelled URLs of one fold, by trees fitted on the others.
+
+    Null URLs have no rule and are not among them, rows that repeat count each. Where no tree can be fitted none is judged right;
+    of an empty table (0, 0.0, 1.0).
+    """
     rows = labelled(described(pages, id_col, url_col, rules))
     aside = fold_of(F.col("url")) == 0
     model = fitted_trees(stored(sample_by_hash(rows.where(~aside), "url", fitted).select("features", "label"), "url_sample"))

@@ -102,3 +102,9 @@ def test_every_score_is_the_sum_of_the_fitted_trees(spark, sf_dir):
         assert abs(got[r.id].score - 1 / (1 + math.exp(-2 * margin))) < 1e-9
     for r in held:
         assert got[r.id].rule == r.rule and got[r.id].verdict == (r.verdict or ("block" if got[r.id].score >= 0.5 else "allow"))
+
+
+def test_accuracy_of_nothing(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert held_out_accuracy(none) == (0, 0.0, 1.0)
+    assert held_out_accuracy(spark.createDataFrame([(1, None), (1, None), (2, "x")], "page_id long, url string")) == (0, 0.0, 1.0)

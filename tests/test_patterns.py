@@ -38,6 +38,27 @@ def test_pairs_and_leaders_are_those_of_the_plain_loops(spark, monkeypatch, seed
         assert {r.idx: r.leader for r in patterns.leaders(df, threshold, few).collect()} == sequential(sets, threshold)
 
 
+def test_pairs_that_are_not_similar_leave_no_task(spark, capsys):
+    """Sets of very frequent tokens are compared where their blocks meet; no row is made for two sets that share a token."""
+    df = spark.createDataFrame([(i, ["the", "and", "for", *(f"w{i}-{k}" for k in range(6))]) for i in range(300)], "idx long, tokens array<string>")
+    pairs = patterns.similar_pairs(df, 0.4)
+    assert pairs.count() == 0
+    pairs.explain("formatted")
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_pairs_with_more_tokens_than_tasks_know(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "COMMON", 9)
+    monkeypatch.setattr(patterns, "PAIRS", 3)
+    rng = random.Random(4)
+    sets = [{f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randint(1, 12))} for _ in range(70)]
+    sets = [s for i, s in enumerate(sets) if s not in sets[:i]]
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "idx long, tokens array<string>")
+    want = {(i, j): jaccard(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.3}
+    got = patterns.similar_pairs(df, 0.3, 60).collect()
+    assert {(r.i, r.j): r.similarity for r in got} == want and len(got) == len(want) > 10
+
+
 def greedy(n, links):
     leads = {}
     for v in range(n):

@@ -28,6 +28,11 @@ def union_caseless(first: Column, more: Column) -> Column:
     return F.aggregate(more, first, lambda a, x: F.when(has(a, x), a).otherwise(F.array_append(a, x)))
 
 
+def _once(items: Column) -> Column:
+    """``items`` without repeats, for a union that drops them one by one; with nulls, of which unions keep all, as they are."""
+    return F.when(F.exists(items, lambda x: x.isNull()), items).otherwise(F.array_distinct(items))
+
+
 def coalesce_creates(creates: DataFrame) -> DataFrame:
     """One learning a slug, in order of first appearance (pos): the first, with the others' summaries, evidence and tags.
 
@@ -38,7 +43,7 @@ def coalesce_creates(creates: DataFrame) -> DataFrame:
     grouped = rows.groupBy("slug").agg(F.array_sort(F.collect_list(item)).alias("all"))
     first, rest = F.col("all")[0], F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))
     summary = F.concat(first["summary"], F.array_join(F.transform(rest, lambda x: F.concat(F.lit("\n\n"), x["title"], F.lit(": "), x["summary"])), ""))
-    more = lambda name: F.flatten(F.transform(rest, lambda x: x[name]))
+    more = lambda name: _once(F.flatten(F.transform(rest, lambda x: x[name])))
     return grouped.select(
         first["pos"].alias("pos"), "slug", first["topic_hint"].alias("topic_hint"), first["title"].alias("title"), summary.alias("summary"), union_exact(first["evidence"], more("evidence")).alias("evidence"),
         union_caseless(first["tags"], more("tags")).alias("tags"), first["confidence"].alias("confidence"), first["project_path"].alias("project_path"), F.size("all").alias("merged"),
@@ -61,14 +66,39 @@ def insight(title: Column, summary: Column, evidence: Column, context: Column, a
     return F.concat(F.lit("### "), title, F.lit("\n\n"), summary, F.lit("\n"), listed, F.lit("\n_Extracted from context "), context.cast("string"), F.lit(" at "), when, F.lit("_\n"))
 
 
-def add_insight(body: Column, section: Column) -> Column:
-    """``section`` at the end of the body's insights section, which is made at the body's end if missing."""
+def _ended(text: Column) -> Column:
+    return F.concat(text, F.when(F.endswith(text, F.lit("\n")), "").otherwise("\n"))
+
+
+def _around(body: Column) -> tuple[Column, Column, Column]:
+    """Where the body's insights section starts (0: nowhere), the body to that section's end, and what comes behind."""
     at = F.instr(body, SECTION)
     after = F.instr(F.substr(body, at + 1), "\n## ")
     end = F.when(after > 0, at + after - 1).otherwise(F.length(body))
-    head, tail = F.substr(body, F.lit(1), end), F.substr(body, end + 1)
-    ended = lambda x: F.concat(x, F.when(F.endswith(x, F.lit("\n")), "").otherwise("\n"))
-    return F.when(at > 0, F.concat(ended(head), F.lit("\n"), section, tail)).otherwise(F.concat(ended(body), F.lit(f"\n{SECTION}\n\n"), section))
+    return at, F.substr(body, F.lit(1), end), F.substr(body, end + 1)
+
+
+def add_insight(body: Column, section: Column) -> Column:
+    """``section`` at the end of the body's insights section, which is made at the body's end if missing."""
+    at, head, tail = _around(body)
+    return F.when(at > 0, F.concat(_ended(head), F.lit("\n"), section, tail)).otherwise(F.concat(_ended(body), F.lit(f"\n{SECTION}\n\n"), section))
+
+
+def add_insights(body: Column, sections: Column) -> Column:
+    """``add_insight`` of one of ``sections`` after the other, with each text looked at once instead of the growing body.
+
+    Where a section has a heading of its own that ends the insights, the next ones go before it.
+    """
+    at, head, tail = _around(body)
+    head = F.when(at > 0, _ended(head)).otherwise(F.concat(_ended(body), F.lit(f"\n{SECTION}\n")))
+    placed = F.transform(sections, lambda s: F.concat(F.lit("\n"), s))
+    cut = lambda p: F.instr(p, "\n## ")
+    before = F.transform(placed, lambda p: F.when(cut(p) > 0, F.substr(p, F.lit(1), cut(p) - 1)).otherwise(p))
+    behind = F.transform(placed, lambda p: F.when(cut(p) > 0, F.substr(p, cut(p))).otherwise(""))
+    # All but the last are ended by the next. (What stands in a lambda is evaluated for each item: no whole array does.)
+    ended = F.transform(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0))), lambda p: F.when(p == "", p).otherwise(_ended(p)))
+    whole = F.concat(head, F.array_join(ended, ""), F.try_element_at(before, F.lit(-1)), F.array_join(F.reverse(behind), ""), F.when(at > 0, tail).otherwise(""))
+    return F.when(F.size(sections) == 0, body).when(~F.exists(sections, lambda s: s.isNull()), whole)
 
 
 def merged_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column], Column], at: Column) -> DataFrame:
@@ -92,9 +122,9 @@ def changed_topics(topics: DataFrame, rows: DataFrame, context: Callable[[Column
     part = F.struct("pos", insight(F.col("title"), F.col("summary"), F.col("evidence"), context(F.col("pos")), at).alias("section"), "tags", "project_path")
     folded = appends.groupBy(F.col("existing_slug").alias("slug")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     old, parts = topics.join(folded, "slug"), F.col("parts")
-    body = F.aggregate(parts, F.col("body"), lambda b, p: add_insight(b, p["section"]))
-    tags = union_caseless(F.col("tags"), F.flatten(F.transform(parts, lambda p: p["tags"])))
-    projects = union_exact(F.col("projects"), F.filter(F.transform(parts, lambda p: p["project_path"]), lambda p: p.isNotNull()))
+    body = add_insights(F.col("body"), F.transform(parts, lambda p: p["section"]))
+    tags = union_caseless(F.col("tags"), _once(F.flatten(F.transform(parts, lambda p: p["tags"]))))
+    projects = union_exact(F.col("projects"), _once(F.filter(F.transform(parts, lambda p: p["project_path"]), lambda p: p.isNotNull())))
     last = context(F.element_at(parts, -1)["pos"]).cast("decimal(20,0)")
     old = old.withColumns({"body": body, "tags": tags, "projects": projects, "updated": at, "extracted_at": at, "source_context_id": last})
     none = F.array().cast("array<string>")

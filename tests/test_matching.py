@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from sparklore.config import Config, DedupePolicy, Regime
 from sparklore.operators import matching, merge, search, topics
@@ -176,3 +179,24 @@ def test_affinity_with_empty_slugs(spark):
     rows = spark.createDataFrame([(1, "my-tool-box", ["a", "b"]), (2, "", ["a", "b"]), (3, "oo", ["a", "b"]), (4, "else", ["a", "c"])], "learning_id long, hint_slug string, ltags array<string>")
     got = matching._by_affinity(rows, topics_, 2).collect()
     assert {(r.learning_id, r.slug) for r in got} == {(1, "tool"), (3, "tool"), (1, ""), (2, ""), (3, "")}
+
+
+def test_insights_added_at_once_are_those_added_one_by_one(spark):
+    rng = random.Random(5)
+    some = ["x", "\n", "## Key Insights", "\n## ", "### t", "é", "# ", ""]
+    text = lambda n: "".join(rng.choice(some) for _ in range(rng.randint(0, n)))
+    rows = [(i, text(8), [text(5) if rng.random() < 0.98 else None for _ in range(rng.randint(0, 6))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, body string, sections array<string>")
+    one_by_one = F.aggregate("sections", F.col("body"), merge.add_insight)
+    got = df.select(one_by_one.alias("a"), merge.add_insights(F.col("body"), F.col("sections")).alias("b"))
+    assert got.where("not a <=> b").collect() == [] and got.where("b is null").count() > 3
+
+
+def test_a_topic_with_very_many_appends_is_not_folded_one_by_one(spark):
+    """20,000 appends of some 2 KB: a body that is copied for each of them takes hours."""
+    topics = spark.createDataFrame([("a", "A", [], [], [], None, None, None, None, None, None, "# A\n")], TOPICS)
+    rows = spark.range(20_000).selectExpr("id as pos", "'a' as topic_hint", "concat('t', id) as title", "repeat('s', 2000) as summary", "array('e') as evidence", "array('x', concat('T', id % 3)) as tags", "0.5D as confidence", "'p' as project_path", "'a' as existing_slug", "'APPEND' as outcome")
+    start = time.monotonic()
+    got = merge.merged_topics(topics, rows, lambda pos: pos, F.lit("2024-01-02 03:04:05").cast("timestamp")).selectExpr("length(body) as n", "tags", "projects").collect()
+    assert [(r.n > 20_000 * 2000, r.tags, r.projects) for r in got] == [(True, ["x", "T0", "T1", "T2"], ["p"])]
+    assert time.monotonic() - start < 100

@@ -88,12 +88,13 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write(rows: DataFrame, root: str, folder: str, suffix: str) -> None:
     """``value`` of the rows (conv, value, and what else sorts them) as a session's lines, a folder with one part for each session.
 
-    A task writes its sessions one after the other, in its rows' order.
+    A task writes its sessions one after the other, in its rows' order. Where projects share a folder, one job writes
+    them.
     """
     order = [c for c in rows.columns if c not in ("conv", "value")]
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for p in range(PROJECTS):
-        own = rows.where(F.col("conv") % PROJECTS == p).withColumn("session", F.concat(F.lit("s"), F.col("conv").cast("string"), F.lit(suffix)))
+    for p in range(PROJECTS if "{}" in folder else 1):
+        own = (rows.where(F.col("conv") % PROJECTS == p) if "{}" in folder else rows).withColumn("session", F.concat(F.lit("s"), F.col("conv").cast("string"), F.lit(suffix)))
         own = own.repartition(tasks, "session").sortWithinPartitions("session", *order)
         own.select("session", "value").write.mode("append").partitionBy("session").text(f"{root}/{folder.format(p)}")
 

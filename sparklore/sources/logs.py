@@ -9,6 +9,8 @@ there may be a folder of its name (also as ``<column>=<name>``) with one part in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +25,26 @@ from ..shared import checkpointed
 V = "variant"
 #: What follows a session's name in the path of a part that Spark has written.
 PART = "(?:/part-[^/]*)?"
+#: Listing tasks a core: a task lists many sessions' folders instead of one.
+LISTING = 4
+
+
+@contextmanager
+def _listed_together(spark: SparkSession) -> Iterator[None]:
+    """Readers made within list folders in a bounded number of tasks; by default each folder is a task of its own."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(LISTING * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _listing(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(pattern).select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+    with _listed_together(spark):
+        files = spark.read.format("binaryFile").load(pattern)
+    files = files.select("path", "length", F.unix_micros("modificationTime").alias("modified"))
     name = F.regexp_extract("path", rf"([^/]*){suffix}{PART}$", 1)
     name = F.when(F.col("path").rlike(rf"{PART[:-1]}$"), F.regexp_replace(name, "^[^=]*=", "")).otherwise(name)
     rows = files.where("length > 0").withColumn("session_id", name).where("session_id <> ''")
@@ -50,7 +68,8 @@ def turn(item: str, /, **values: Column) -> Column:
 def numbered(rows: DataFrame) -> DataFrame:
     """(context_id, turn_id, data) of ``rows`` (context_id, place, data), numbered from 1 in the order of ``place``."""
     first = rows.schema["place"].dataType.names[0]
-    kept = running_sum(rows.where("data is not null"), "context_id", F.col("place")[first], ["place"], F.lit(1), "before")
+    rows = checkpointed(rows.where("data is not null"))  # files are opened and parsed once
+    kept = running_sum(rows, "context_id", F.col("place")[first], ["place"], F.lit(1), "before")
     return kept.select("context_id", (F.col("before") + 1).cast("long").alias("turn_id"), "data")
 
 
@@ -64,7 +83,9 @@ def _files(spark: SparkSession, sessions: DataFrame, pattern: str, few, **option
         paths = pattern
     elif not paths:
         return sessions.select("context_id", F.lit("").alias("value"), F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("seq")).limit(0)
-    files = spark.read.text(paths, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
+    with _listed_together(spark):
+        files = spark.read.text(paths, **options)
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
     key = lambda c: F.url_decode(F.regexp_replace(F.regexp_replace(c, r"\+", "%2B"), "^file:/+", "/"))
     wanted = sessions.select("context_id", key(F.regexp_replace("path", "%(?![0-9A-Fa-f]{2})", "%25")).alias("__key"))
     return files.withColumn("__key", key(F.col("file"))).join(wanted, "__key").select("context_id", "value", "split", "seq")

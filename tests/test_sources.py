@@ -143,3 +143,24 @@ def test_a_database_that_cannot_be_read_is_an_error_of_its_sessions(spark, tmp_p
     rows = sqlite_query(spark, [str(tmp_path / "bad.db")], "messages", "session_id string, row long")
     (row,) = rows.where(F.col("session_id").isin("s1", "s2")).collect()
     assert "bad.db" in row.error and row.session_id is None
+
+
+def test_folders_of_sessions_are_listed_together(spark, tmp_path, monkeypatch):
+    """Folders that Spark has written, one a session, are listed in a bounded number of tasks, and parsed once."""
+    from sparklore.sources import logs
+
+    seen, name = [], "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    rows = spark.range(80).selectExpr("concat('s', id, '.jsonl') as session", """concat('{"type": "error", "data": {"message": "m', id, '"}}') as value""")
+    rows.repartition(2).write.partitionBy("session").text(str(tmp_path / "logs"))
+    before, group = spark.conf.get(name), "listed-together"
+    monkeypatch.setattr(logs, "LISTING", 1)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        source = logs.CodexLogs(str(tmp_path / "logs"))
+        assert source.turns(spark, source.sessions(spark)).count() == 80 and spark.conf.get(name) == before
+        tracker = spark.sparkContext.statusTracker()
+        for job in tracker.getJobIdsForGroup(group):
+            seen += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen and max(seen) < 80

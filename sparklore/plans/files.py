@@ -1,6 +1,6 @@
 """Queries over what the library reads and writes: logs of every kind, topic files, versioned tables, a whole pass.
 
-The logs are made from the ``conversations`` table by Spark's writers and tasks, below the shared folder, and read by
+The logs are made from the ``conversations`` table by Spark's tasks, below the shared folder, and read by
 the sources.
 """
 
@@ -10,7 +10,8 @@ import os
 import sqlite3
 import uuid
 from dataclasses import replace
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..functions import responses as R
 from ..functions import text as X
 from ..functions.turns import label, unsigned
 from ..operators import matching, merge, transcript
-from ..shared import checkpointed, local_path, scratch_path
+from ..shared import checkpointed, file_store, local_path, scratch_path
 from ..sources import PROVIDERS
 from ..sources.search_index import SearchIndex
 from ..sources.tables import GrowingTable, TopicTable
@@ -34,8 +35,8 @@ from . import registry as Q
 from . import views as V
 
 query = Q.query
-#: Projects that conversations are dealt to, and rows that a task inserts at a time.
-PROJECTS, AT_ONCE = 3, 1000
+#: Projects that conversations are dealt to, rows that a task inserts at a time, and bytes of a log that it writes at a time.
+PROJECTS, AT_ONCE, BUFFER = 3, 1000, 1 << 16
 
 
 def _json(**values) -> Column:
@@ -85,18 +86,36 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.coalesce("conv_id", F.lit(0).cast("long")).alias("conv"), "turn", "role", "text")
 
 
-def _write(rows: DataFrame, root: str, folder: str, suffix: str) -> None:
-    """``value`` of the rows (conv, value, and what else sorts them) as a session's lines, a folder with one part for each session.
+def _name(suffix: str, *folder: str | Column) -> Column:
+    """The path of a conversation's log in the ``folder`` that is named by these pieces."""
+    return F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in (*folder, "s", F.col("conv"), suffix)])
 
-    A task writes its sessions one after the other, in its rows' order. Where projects share a folder, one job writes
-    them.
+
+def _write(rows: DataFrame, root: str, path: Column) -> None:
+    """``value`` of the rows (conv, value, and what else sorts them) as lines of a file for each session, at ``path`` below ``root``.
+
+    A task writes its sessions one after the other, in its rows' order. A file is put in its place when it is whole.
     """
     order = [c for c in rows.columns if c not in ("conv", "value")]
+
+    def run(batches):
+        store, top = file_store(root)
+        folders, lines = set(), (line for b in batches for line in zip(b.column("path").to_pylist(), b.column("value").to_pylist()))
+        for name, own in groupby(lines, itemgetter(0)):
+            folder = os.path.dirname(f"{top}/{name}")
+            if folder not in folders:
+                store.create_dir(folder, recursive=True)
+                folders.add(folder)
+            part = f"{folder}/{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part, buffer_size=BUFFER) as out:
+                for _, value in own:
+                    out.write(f"{value or ''}\n".encode())
+            store.move(part, f"{top}/{name}")
+        yield pa.RecordBatch.from_pydict({"written": [len(folders)]})
+
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for p in range(PROJECTS if "{}" in folder else 1):
-        own = (rows.where(F.col("conv") % PROJECTS == p) if "{}" in folder else rows).withColumn("session", F.concat(F.lit("s"), F.col("conv").cast("string"), F.lit(suffix)))
-        own = own.repartition(tasks, "session").sortWithinPartitions("session", *order)
-        own.select("session", "value").write.mode("append").partitionBy("session").text(f"{root}/{folder.format(p)}")
+    placed = rows.withColumn("path", path).repartition(tasks, "path").sortWithinPartitions("path", *order)
+    placed.select("path", "value").mapInArrow(run, "written long").write.format("noop").mode("overwrite").save()
 
 
 def _databases(rows: DataFrame, root: str, tables: dict[str, str], keys: dict[str, Column]) -> tuple[str, ...]:
@@ -164,19 +183,24 @@ def opencode_databases(rows: DataFrame, root: str) -> tuple[str, ...]:
     return _databases(rows, root, tables, {"turn": F.col("turn")})
 
 
+def _lines(rows: DataFrame, records: Column) -> DataFrame:
+    """(conv, turn, line, value): the lines of logs, with some that are no JSON."""
+    noise = F.when(F.col("turn") == 0, F.array(F.lit("no json"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return rows.select("conv", "turn", F.posexplode(F.concat(noise, records)).alias("line", "value"))
+
+
 def made(spark: SparkSession, sf_dir: str, provider: str):
     """The provider's source over logs of all conversations."""
-    root, rows = scratch_path(spark, provider), _conversations(spark, sf_dir)
+    root, rows, project = scratch_path(spark, provider), _conversations(spark, sf_dir), F.col("conv") % PROJECTS
     if provider in ("crush", "opencode"):
         return PROVIDERS[provider]((crush_databases if provider == "crush" else opencode_databases)(rows, root))
     if provider == "gemini":
         # One document a session, which is one text.
         messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", gemini_message().alias("m")))), lambda t: t["m"])
-        _write(rows.groupBy("conv").agg(F.to_json(F.struct(messages.alias("messages"))).alias("value")), root, "p{}/chats", ".json")
+        _write(rows.groupBy("conv").agg(F.to_json(F.struct(messages.alias("messages"))).alias("value")), root, _name(".json", "p", project, "/chats/"))
     else:
-        folder, records = ("-home-p{}", claude_records()) if provider == "claude-code" else ("", codex_records())
-        noise = F.when(F.col("turn") == 0, F.array(F.lit("no json"), F.lit(""))).otherwise(F.array().cast("array<string>"))
-        _write(rows.select("conv", "turn", F.posexplode(F.concat(noise, records)).alias("line", "value")), root, folder, ".jsonl")
+        folder, records = (("-home-p", project, "/"), claude_records()) if provider == "claude-code" else ((), codex_records())
+        _write(_lines(rows, records), root, _name(".jsonl", *folder))
     return PROVIDERS[provider](root)
 
 
@@ -402,11 +426,12 @@ def state_sizes(spark, sf_dir):
 def changed_logs(spark, sf_dir):
     """How often each log has come by the stream of changed files: once, and again where it grew between two runs of the query."""
     root, out = made(spark, sf_dir, "codex").root, scratch_path(spark, "changes")
-    rows = _conversations(spark, sf_dir).where(F.col("conv") % 5 == 0).groupBy("conv").agg(F.min("text").alias("value"))
-    for more in (False, True):
-        if more:
-            _write(rows, root, "", ".jsonl")
-        stream = changed_files(spark, [root], f"{out}/snapshots", [".txt"], quiet=0)
+    rows = _conversations(spark, sf_dir).where(F.col("conv") % 5 == 0)
+    more = rows.groupBy("conv").agg((F.max("turn") + 1).alias("turn"), F.lit(0).alias("line"), F.min("text").alias("value"))
+    for grown in (False, True):
+        if grown:
+            _write(_lines(rows, codex_records()).unionByName(more), root, _name(".jsonl"))
+        stream = changed_files(spark, [root], f"{out}/snapshots", [".jsonl"], quiet=0)
         stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    session = F.regexp_extract("path", r"session=(s-?\d+)\.jsonl/", 1)
+    session = F.regexp_extract("path", r"/(s-?\d+)\.jsonl$", 1)
     return spark.read.parquet(f"{out}/rows").groupBy(session.alias("session_id")).agg(F.count("*").cast("int").alias("changes"))

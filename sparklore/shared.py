@@ -54,6 +54,13 @@ def local_path(path: str) -> str:
     return unquote(parts.path) if parts.scheme else path
 
 
+def file_store(uri: str):
+    """The Arrow file system of ``uri``, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"/{uri.removeprefix('file:').lstrip('/')}")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

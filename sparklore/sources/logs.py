@@ -27,24 +27,32 @@ V = "variant"
 PART = "(?:/part-[^/]*)?"
 #: Listing tasks a core: a task lists many sessions' folders instead of one.
 LISTING = 4
+#: What opening a log counts as, in bytes read: Spark's own figure is for few large files, and has a task read some 30 logs.
+OPENING = 64 * 1024
 
 
 @contextmanager
-def _listed_together(spark: SparkSession) -> Iterator[None]:
-    """Readers made within list folders in a bounded number of tasks; by default each folder is a task of its own."""
-    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(LISTING * spark.sparkContext.defaultParallelism))
+def _small_files(spark: SparkSession) -> Iterator[None]:
+    """What is made and run within lists folders in a bounded number of tasks, and a task reads many files.
+
+    By default each folder is listed by a task of its own.
+    """
+    held = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": LISTING * spark.sparkContext.defaultParallelism, "spark.sql.files.openCostInBytes": OPENING}
+    before = {name: spark.conf.get(name) for name in held}
     try:
+        for name, value in held.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _listing(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
-    with _listed_together(spark):
+    """The files of ``pattern``, as they are now."""
+    with _small_files(spark):
         files = spark.read.format("binaryFile").load(pattern)
-    files = files.select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+        files = checkpointed(files.select("path", "length", F.unix_micros("modificationTime").alias("modified")))
     name = F.regexp_extract("path", rf"([^/]*){suffix}{PART}$", 1)
     name = F.when(F.col("path").rlike(rf"{PART[:-1]}$"), F.regexp_replace(name, "^[^=]*=", "")).otherwise(name)
     rows = files.where("length > 0").withColumn("session_id", name).where("session_id <> ''")
@@ -83,9 +91,7 @@ def _files(spark: SparkSession, sessions: DataFrame, pattern: str, few, **option
         paths = pattern
     elif not paths:
         return sessions.select("context_id", F.lit("").alias("value"), F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("seq")).limit(0)
-    with _listed_together(spark):
-        files = spark.read.text(paths, **options)
-    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
+    files = spark.read.text(paths, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
     key = lambda c: F.url_decode(F.regexp_replace(F.regexp_replace(c, r"\+", "%2B"), "^file:/+", "/"))
     wanted = sessions.select("context_id", key(F.regexp_replace("path", "%(?![0-9A-Fa-f]{2})", "%25")).alias("__key"))
     return files.withColumn("__key", key(F.col("file"))).join(wanted, "__key").select("context_id", "value", "split", "seq")
@@ -194,7 +200,8 @@ class ClaudeLogs(LogReader):
         return _sessions(rows, F.replace(F.regexp_extract("path", rf"([^/]+)/[^/]+\.jsonl{PART}$", 1), F.lit("-"), F.lit("/")))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
-        return claude_turns(_lines(_files(spark, sessions, f"{self.root}/*/*.jsonl", few, lineSep="\n"))), no_errors(spark)
+        with _small_files(spark):
+            return claude_turns(_lines(_files(spark, sessions, f"{self.root}/*/*.jsonl", few, lineSep="\n"))), no_errors(spark)
 
 
 @dataclass(frozen=True)
@@ -207,7 +214,8 @@ class CodexLogs(LogReader):
         return _sessions(_listing(spark, f"{self.root}/*.jsonl", r"\.jsonl"), F.lit(None).cast("string"))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
-        return codex_turns(_lines(_files(spark, sessions, f"{self.root}/*.jsonl", few, lineSep="\n"))), no_errors(spark)
+        with _small_files(spark):
+            return codex_turns(_lines(_files(spark, sessions, f"{self.root}/*.jsonl", few, lineSep="\n"))), no_errors(spark)
 
 
 @dataclass(frozen=True)
@@ -226,5 +234,6 @@ class GeminiLogs(LogReader):
         return rows.select("context_id", entry.alias("entry"), F.when(entry.isNull(), "no JSON document").alias("error"))
 
     def read(self, spark: SparkSession, sessions: DataFrame, few=None) -> tuple[DataFrame, DataFrame]:
-        rows = checkpointed(self.documents(spark, sessions, few))
+        with _small_files(spark):
+            rows = checkpointed(self.documents(spark, sessions, few))
         return gemini_turns(rows.where("error is null")), rows.where("error is not null").select("context_id", "error")

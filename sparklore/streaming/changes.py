@@ -15,24 +15,20 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..shared import file_store
+
 SCHEMA = "path string, size long, was long"
 #: Rows of a partition.
 ROWS = 10_000
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"/{uri.removeprefix('file:').lstrip('/')}")
-
-
 def snapshot(roots: list[str], suffixes: list[str]) -> dict[str, list[int]]:
     """Size and time of each file below ``roots`` (or of one that is a root) with one of ``suffixes``; roots that are not there are passed over."""
     from pyarrow import fs
 
     out = {}
     for root in roots:
-        store, path = _store(root)
+        store, path = file_store(root)
         info = store.get_file_info(path)
         found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if info.type == fs.FileType.Directory else [info]
         for f in found:
@@ -53,7 +49,7 @@ class ChangeReader(DataSourceStreamReader):
         """The snapshot's name, after it has been put where a later run of the query finds it."""
         text = json.dumps(files, sort_keys=True)
         name = hashlib.sha256(text.encode()).hexdigest()
-        store, folder = _store(self.state)
+        store, folder = file_store(self.state)
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/{name}.part") as file:
             file.write(text.encode())
@@ -63,7 +59,7 @@ class ChangeReader(DataSourceStreamReader):
     def _files(self, name: str) -> dict:
         if not name:
             return {}
-        store, folder = _store(self.state)
+        store, folder = file_store(self.state)
         with store.open_input_stream(f"{folder}/{name}") as file:
             return json.loads(file.read())
 
@@ -107,7 +103,7 @@ class ChangeReader(DataSourceStreamReader):
         """Snapshots other than the one that is done can go, but for one that was made just now."""
         from pyarrow import fs
 
-        store, folder = _store(self.state)
+        store, folder = file_store(self.state)
         for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
             if f.base_name not in (end["snapshot"], (self.offset or end)["snapshot"]) and time.time_ns() - (f.mtime_ns or 0) > 60 * 10**9:
                 store.delete_file(f.path)

@@ -164,3 +164,24 @@ def test_folders_of_sessions_are_listed_together(spark, tmp_path, monkeypatch):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert seen and max(seen) < 80
+
+
+def test_a_task_reads_many_small_logs(spark, tmp_path, monkeypatch):
+    """Spark's own weight of a file has a task read 32 of them."""
+    from sparklore.sources import logs
+
+    name, group, seen = "spark.sql.files.openCostInBytes", "small-logs", []
+    for n in range(400):
+        lines(tmp_path / f"s{n}.jsonl", {"type": "error", "data": {"message": f"m{n}"}})
+    monkeypatch.setattr(logs, "LISTING", 1)
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        source = CodexLogs(str(tmp_path))
+        assert source.turns(spark, source.sessions(spark)).count() == 400 and spark.conf.get(name) == before
+        tracker = spark.sparkContext.statusTracker()
+        for job in tracker.getJobIdsForGroup(group):
+            seen += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen and max(seen) <= 6

@@ -375,11 +375,11 @@ def ids_and_labels(spark, sf_dir):
     return rows.select("doc_id", unsigned(F.expr(RAW_ID)).cast("string").alias("id"), label(title, F.col("source")).alias("label"))
 
 
-def _told(spark: SparkSession, source) -> DataFrame:
-    """(context_id, conv, response): an answer with a learning of its own for every session."""
-    ids = checkpointed(source.sessions(spark).select("context_id", F.regexp_extract("session_id", r"(\d+)", 1).cast("long").alias("conv")))
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(context_id, conv, response): an answer with a learning of its own for the session of every conversation."""
     text = F.concat(F.lit('{"context_id": 1, "learnings": [{"topic_hint": "tool '), F.col("conv").cast("string"), F.lit('", "title": "T'), F.col("conv").cast("string"), F.lit('", "summary": "s", "confidence": 0.9}]}'))
-    return ids.withColumn("response", text)
+    session = F.concat(F.lit("s"), F.col("conv").cast("string"))
+    return _conversations(spark, sf_dir).select("conv").distinct().select(X.context_id(session).alias("context_id"), "conv", text.alias("response"))
 
 
 def _all_sessions() -> Config:
@@ -392,7 +392,7 @@ select count(*) as sessions, count(*) filter (said and conv_id % 5 = 0) as faile
 def whole_pass(spark, sf_dir):
     """A pass over all conversations as logs; every fifth session gets no answer, and stays."""
     source, store = made(spark, sf_dir, "codex"), Store(spark, scratch_path(spark, "pass"))
-    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, source).where("conv % 5 <> 0").select("context_id", "response")))
+    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, sf_dir).where("conv % 5 <> 0").select("context_id", "response")))
     totals = done.totals().select("sessions", "failed", "topics_created", "topics_updated", "duplicates_skipped")
     return totals.withColumns({"processed": F.lit(store.heads().count()).cast("long"), "topics": F.lit(store.topics.read().count()).cast("long")})
 
@@ -402,7 +402,7 @@ select concat('T', conv_id) as title, 'CREATE' as outcome, 0::bigint as stored f
 def dry_pass(spark, sf_dir):
     """What a pass would do, and the topics that there are after it."""
     source, store = made(spark, sf_dir, "codex"), Store(spark, scratch_path(spark, "pass"))
-    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, source).where("conv % 5 <> 0").select("context_id", "response")), dry_run=True)
+    done = run_pass(spark, source, store, _all_sessions(), answers(_told(spark, sf_dir).where("conv % 5 <> 0").select("context_id", "response")), dry_run=True)
     return done.outcomes.select("title", "outcome", F.lit(store.topics.read().count() + store.heads().count()).cast("long").alias("stored"))
 
 

@@ -107,7 +107,7 @@ def run_pass(spark: SparkSession, source, store: Store, config: Config, model: M
     tags = tags.first()["tags"]  # one text of the prompt, as every session is told the whole vocabulary
     system = R.system_prompt(R.EXTRACT_SYSTEM, config.dedupe.regime, F.lit(tags))
     prompts = checkpointed(reduced.select("context_id", system.alias("system"), R.extraction_prompt(F.col("context_id"), transcript.with_project(F.col("transcript"), F.col("project"))).alias("prompt")))
-    responses = checkpointed(model(prompts))
+    responses = checkpointed(model(prompts).repartition(spark.sparkContext.defaultParallelism, "context_id"))  # few bytes, so one task would parse them all
     learned, wrong = R.parse_extractions(responses)
     silent = prompts.select("context_id").join(responses.select("context_id"), "context_id", "left_anti").withColumn("error", F.lit("no answer"))
     errors = unread.unionByName(wrong).unionByName(silent).groupBy("context_id").agg(F.min("error").alias("error"))

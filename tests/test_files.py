@@ -26,3 +26,11 @@ def test_lines_of_a_log_keep_their_order(spark, tmp_path):
     for n in range(2):
         want = [str(k) if k > 3 else "" for k in range(2998 + n, -1, -2)]
         assert (tmp_path / f"p{n}" / f"s{n}.log").read_text().split("\n") == [*want, ""]
+
+
+def test_answers_of_a_pass_are_parsed_in_several_tasks(spark, sf_dir, monkeypatch):
+    """They are few bytes, so Spark would make one partition of them."""
+    seen, parse = [], files.R.parse_extractions
+    monkeypatch.setattr(files.R, "parse_extractions", lambda rows: seen.append(rows.rdd.getNumPartitions()) or parse(rows))
+    files.whole_pass(spark, sf_dir).collect()
+    assert seen == [spark.sparkContext.defaultParallelism]

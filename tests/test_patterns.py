@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from sparklore.config import PatternConfig
 from sparklore.operators import patterns
 
@@ -47,6 +48,32 @@ def test_pairs_that_are_not_similar_leave_no_task(spark, capsys):
     assert "Join" not in capsys.readouterr().out
 
 
+def test_sets_of_sizes_too_far_apart_meet_in_no_task(spark, monkeypatch):
+    """Sets of 5 tokens cannot be similar to sets of 50, so they are not brought together (but in the block that has both)."""
+    dealt, repartition = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *by: dealt.append(self) or repartition(self, *by))
+    df = spark.createDataFrame([(i, [f"w{i}-{k}" for k in range(5 if i < 60 else 50)]) for i in range(120)], "idx long, tokens array<string>")
+    assert patterns.similar_pairs(df, 0.4).count() == 0
+    tasks = dealt[-1].groupBy("p", "q").agg(F.count_if(F.col("n") == 5).alias("small"), F.count_if(F.col("n") == 50).alias("large"))
+    assert tasks.agg(F.sum(F.col("small") * F.col("large"))).first()[0] < 60 * 60 / 4
+
+
+@pytest.mark.parametrize(("blocks", "counted"), [(1, (1,)), (4, (1, 2, 4, 8, 16)), (25, (4,))])
+def test_pairs_of_many_sizes(spark, monkeypatch, blocks, counted):
+    """Sizes from 1 to some hundreds, copies of parts of sets at and around the threshold, one block and many, one size in several blocks."""
+    monkeypatch.setattr(patterns, "BLOCKS", blocks)
+    monkeypatch.setattr(patterns, "COUNTED", counted)
+    monkeypatch.setattr(patterns, "COMMON", 40)
+    rng = random.Random(blocks)
+    sets = [{f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(int(2 ** rng.uniform(0, 8)))} for _ in range(150)]
+    sets += [set(rng.sample(sorted(s), max(1, round(len(s) * share)))) | {f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))} for s in sets for share in (rng.choice((0.4, 0.41, 0.39, 0.7, 1)),)]
+    sets = list({frozenset(s): s for s in sets}.values())
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "idx long, tokens array<string>")
+    want = {(i, j): jaccard(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.4}
+    got = patterns.similar_pairs(df, 0.4).collect()
+    assert {(r.i, r.j): r.similarity for r in got} == want and len(got) == len(want) > 100
+
+
 def test_pairs_with_more_tokens_than_tasks_know(spark, monkeypatch):
     monkeypatch.setattr(patterns, "COMMON", 9)
     monkeypatch.setattr(patterns, "PAIRS", 3)
